@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import chat, decontamination, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +27,19 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), all_columns=False)
 
 
-QUERIES = {f.__name__: f for f in (op5_sharding, op6_exact_dedup, op8_mixing)}
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import conversation_digests
+
+    return conversation_digests(_table(spark, sf_dir, "conversations"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contamination_report
+
+    return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op5_sharding, op6_exact_dedup, op7_chat_formatting, op8_mixing, op10_decontamination)}
 
 LOWER_SQL = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -36,5 +48,7 @@ ORACLE = {
         WITH d AS (SELECT doc_id, sha256({LOWER_SQL.format("text")}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op7_chat_formatting": chat.CHAT_SQL,
     "op8_mixing": mixing.mix_sql(),
+    "op10_decontamination": decontamination.CONTAMINATION_SQL,
 }
