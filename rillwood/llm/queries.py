@@ -39,13 +39,20 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(_table(spark, sf_dir, "conversations"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    scored = score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "quality_score", "text_score", "meta_score", "accepted")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contamination_report
 
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op5_sharding, op6_exact_dedup, op7_chat_formatting, op8_mixing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op5_sharding, op6_exact_dedup, op7_chat_formatting, op8_mixing, op9_quality_classifier, op10_decontamination)}
 
 LOWER_SQL = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
