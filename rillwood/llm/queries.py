@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, mixing
+from . import chat, decontamination, mixing, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import repeats_report
+
+    return repeats_report(_table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import language_report
 
@@ -58,11 +64,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_language_id, op5_sharding, op6_exact_dedup, op7_chat_formatting, op8_mixing, op9_quality_classifier, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_substring_dedup, op4_language_id, op5_sharding, op6_exact_dedup, op7_chat_formatting, op8_mixing, op9_quality_classifier, op10_decontamination)}
 
 LOWER_SQL = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op3_substring_dedup": substring_dedup.REPEATS_SQL,
     "op6_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({LOWER_SQL.format("text")}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
