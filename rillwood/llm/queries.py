@@ -17,6 +17,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import repeats_report
 
@@ -64,7 +70,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_substring_dedup, op4_language_id, op5_sharding, op6_exact_dedup, op7_chat_formatting, op8_mixing, op9_quality_classifier, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_scoring, op3_substring_dedup, op4_language_id, op5_sharding, op6_exact_dedup, op7_chat_formatting, op8_mixing, op9_quality_classifier, op10_decontamination)}
 
 LOWER_SQL = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
