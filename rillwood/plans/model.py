@@ -82,21 +82,25 @@ class Forest:
 
     # -- compiled into the plan --------------------------------------------------------------------------------------
 
-    def leaf_expr(self, tree: int) -> Column:
-        """The number of the node where a row's walk ends."""
+    def walk_expr(self, tree: int, value) -> Column:
+        """``value(node)`` of the node where a row's walk ends, as one CASE of the size of the tree."""
         nodes = self.trees[tree]
 
         def walk(i: int) -> Column:
             n = nodes[i]
             if n.kind == LEAF:
-                return F.lit(i)
+                return value(n)
             left, right, x = walk(n.left), walk(n.right), F.col(f"`{n.attr}`")
             missing = x.isNull() if n.kind == CATEGORIC else x.isNull() | F.isnan(x.cast("double"))
             goes_left = x.cast("string") != F.lit(n.value) if n.kind == CATEGORIC else x <= F.lit(n.split)
-            return F.when(missing, F.lit(i)).when(goes_left, left).otherwise(right)
+            return F.when(missing, value(n)).when(goes_left, left).otherwise(right)
 
         return walk(0)
 
+    def leaf_expr(self, tree: int) -> Column:
+        """The number of the node where a row's walk ends."""
+        return self.walk_expr(tree, lambda n: F.lit(n.node))
+
     def path_expr(self, tree: int) -> Column:
         """The inner nodes that a row's walk passes and has a value for, as an array."""
         nodes = self.trees[tree]
@@ -113,13 +117,6 @@ class Forest:
 
         return walk(0)
 
-    def _lookup(self, tree: int, leaf: Column, value) -> Column:
-        out = None
-        for n in self.trees[tree]:
-            lit = value(n)
-            out = F.when(leaf == n.node, lit) if out is None else out.when(leaf == n.node, lit)
-        return out
-
     def counts_expr(self, vote: bool = False, normalise: bool = False) -> Column:
         """Class weights of a row: the counts of its leaves summed over the trees, so larger leaves weigh more; with
         ``vote`` each tree has one vote, with ``normalise`` each leaf's counts sum to 1."""
@@ -133,7 +130,7 @@ class Forest:
                     c = c / c.sum()
                 return F.array(*[F.lit(float(x)) for x in c])
 
-            arrays.append(self._lookup(t, self.leaf_expr(t), value))
+            arrays.append(self.walk_expr(t, value))
         out = arrays[0]
         for a in arrays[1:]:
             out = F.zip_with(out, a, lambda x, y: x + y)
@@ -141,7 +138,7 @@ class Forest:
 
     def mean_expr(self) -> Column:
         """Mean of the trees' leaf means; trees whose leaf is empty don't count."""
-        means = [self._lookup(t, self.leaf_expr(t), lambda n: F.lit(n.total / n.n if n.n else None).cast("double")) for t in range(len(self.trees))]
+        means = [self.walk_expr(t, lambda n: F.lit(n.total / n.n if n.n else None).cast("double")) for t in range(len(self.trees))]
         held = F.filter(F.array(*means), lambda m: m.isNotNull())
         return F.try_divide(F.aggregate(held, F.lit(0.0), lambda s, m: s + m), F.size(held))
 
