@@ -52,9 +52,7 @@ def exponential_averages(df: DataFrame, order: str, value: Column, weights: tupl
     The recursion has the closed form sum over k of c/n * prod (k - j) / (n - j) * x_k for j < c, so it needs each row's
     number and one aggregation. Null until there are c rows.
     """
-    rows = numbered(df.select(order, value.cast("double").alias("x")), order, "k")
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.crossJoin(F.broadcast(n))  # one row
+    rows = _in_order(df, order, value)
 
     def average(c: int) -> Column:
         w = reduce(lambda a, j: a * ((F.col("k") - j) / (F.col("n") - j)), range(1, c), F.lit(float(c)) / F.col("n"))
@@ -65,9 +63,13 @@ def exponential_averages(df: DataFrame, order: str, value: Column, weights: tupl
 
 def ema(df: DataFrame, order: str, value: Column, alpha: float) -> DataFrame:
     """One row: s = alpha * x + (1 - alpha) * s from s = 0, after all rows in order."""
-    rows = numbered(df.select(order, value.cast("double").alias("x")), order, "k")
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
-    return rows.crossJoin(F.broadcast(n)).agg(F.sum(alpha * F.pow(F.lit(1 - alpha), F.col("n") - F.col("k")) * F.col("x")).alias("ema"))
+    return _in_order(df, order, value).agg(F.sum(alpha * F.pow(F.lit(1 - alpha), F.col("n") - F.col("k")) * F.col("x")).alias("ema"))
+
+
+def _in_order(df: DataFrame, order: str, value: Column) -> DataFrame:
+    """(x, k, n): values with their number in the order, and how many there are."""
+    rows = numbered(df.select(F.col(order).alias("_order"), value.cast("double").alias("x")), "_order", "k")
+    return rows.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n"))))  # one row
 
 
 def regression_summary(df: DataFrame, actual: str, predicted: str) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import csv
 import re
+import zlib
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,12 +84,8 @@ def parse_event_batches(batches: DataFrame, body: str) -> DataFrame:
 
 def inflate_batches(df: DataFrame, body: str) -> DataFrame:
     """Adds ``body_text``: zlib-compressed bodies as text, in Arrow batches; null where a body can't be inflated."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def inflate(bodies: pd.Series) -> pd.Series:
-        import zlib
-
         def one(b):
             try:
                 return zlib.decompress(b).decode()
