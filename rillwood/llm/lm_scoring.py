@@ -84,7 +84,7 @@ def _bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, np.array(tops, np.uint64)), [len(keys)]])
 
 
-def _batch_rows(batch: int, docs: list[tuple[int | None, int, np.ndarray]], buckets: int, teaching: bool) -> Iterator[pa.RecordBatch]:
+def _batch_rows(batch: int, docs: list[tuple[int | None, int, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
     """The questions of a batch of (doc_id, role, tokens) and its record. Roles: 0 counts, 1 teaches the weights, 2 is held
     out."""
     sizes = np.array([len(t) for _, _, t in docs], np.int64)
@@ -111,7 +111,7 @@ def _batch_rows(batch: int, docs: list[tuple[int | None, int, np.ndarray]], buck
     start_at = int(np.searchsorted(pairs, _START))
     ids = np.array([0 if i is None else i for i, _, _ in docs], np.int64)
     flags = np.array([(i is None) + 2 * (r == 2) for i, r, _ in docs], np.uint8)
-    record = _together(_squeeze(ids), _squeeze(flags), _squeeze(sizes), _squeeze(word_at.astype(np.int32)), _squeeze(pair_at[: len(words)].astype(np.int32)), struct.pack("<QQ?", len(words), start_at, teaching))
+    record = _together(_squeeze(ids), _squeeze(flags), _squeeze(sizes), _squeeze(word_at.astype(np.int32)), _squeeze(pair_at[: len(words)].astype(np.int32)), struct.pack("<QQ", len(words), start_at))
     yield _rows([(batch, _RECORD, -1, len(docs), record)])
 
 
@@ -122,15 +122,15 @@ def _ask(docs: DataFrame, buckets: int, batch_tokens: int) -> DataFrame:
         held: dict[bool, list] = {True: [], False: []}  # documents that teach the weights have batches of their own
         size, part, made = {True: 0, False: 0}, None, 0
 
-        def name(docs: list) -> int:
-            # a batch's number: the same when a lost task runs again, another one for each batch
+        def name(docs: list, kind: bool) -> int:
+            # a batch's number: the same when a lost task runs again, another one for each batch; odd if it teaches
             nonlocal made
             made += 1
             h = xxhash.xxh64(f"{part} {made}")
             for i, _, t in docs:
                 h.update(repr((i, len(t))).encode())
                 h.update(t.tobytes())
-            return h.intdigest() >> 1
+            return (h.intdigest() >> 2) * 2 + kind
 
         for b in batches:
             if b.num_rows == 0:
@@ -141,11 +141,11 @@ def _ask(docs: DataFrame, buckets: int, batch_tokens: int) -> DataFrame:
                 held[kind].append((i, r, t))
                 size[kind] += len(t)
                 if size[kind] >= batch_tokens:
-                    yield from _batch_rows(name(held[kind]), held[kind], buckets, kind)
+                    yield from _batch_rows(name(held[kind], kind), held[kind], buckets)
                     held[kind], size[kind] = [], 0
         for kind, rest in held.items():
             if rest:
-                yield from _batch_rows(name(rest), rest, buckets, kind)
+                yield from _batch_rows(name(rest, kind), rest, buckets)
 
     return docs.select("doc_id", "role", "text", F.spark_partition_id().alias("part")).mapInArrow(run, _SCHEMA)
 
@@ -192,7 +192,7 @@ class _Resolved:
     def __init__(self, record: tuple[int, bytes], counts: dict[int, list[tuple[int, bytes]]]):
         n, data = record
         ids, flags, sizes, word_at, pair_at, rest = _apart(data)
-        total, start_at, self.teaching = struct.unpack("<QQ?", rest)
+        total, start_at = struct.unpack("<QQ", rest)
         self.ids, self.flags, self.sizes = _opened(ids, n, np.int64), _opened(flags, n, np.uint8), _opened(sizes, n, np.int64)
         self.word_at, self.pair_at = _opened(word_at, total, np.int32), _opened(pair_at, total, np.int32)
         self.start_at, self.starts = start_at, np.cumsum(self.sizes) - self.sizes
@@ -296,8 +296,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             codes, counts = np.unique((context_bucket(v) * steps + _level(f[0])) * steps + _level(f[1]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
 
-    teaching = told.filter((F.col("kind") == _RECORD) & (F.substring("data", -1, 1) == F.lit(b"\x01"))).select("batch")
-    lessons = told.join(teaching, "batch", "left_semi").select(*_NAMES).repartition("batch").sortWithinPartitions("batch", "kind", "bucket")
+    lessons = told.filter(F.col("batch") % 2 == 1).repartition("batch").sortWithinPartitions("batch", "kind", "bucket")
     found = np.array(lessons.mapInArrow(histogram, "code long, n long").groupBy("code").agg(F.sum("n")).collect(), np.int64).reshape(-1, 2)
     found = found[np.argsort(found[:, 0])]
     weights = learn_weights(found[:, 0], found[:, 1].astype(np.float64), v_fit)
