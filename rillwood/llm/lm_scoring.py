@@ -27,7 +27,7 @@ from .common import crc_mod, write_table
 
 #: Tokens of a batch of documents; buckets of context counts, 0 for unseen ones; steps of expectation-maximisation; steps of
 #: the histogram for each power of two, and powers of two of it at most.
-BATCH_TOKENS, CONTEXTS, STEPS, FINE, POWERS = 2_000_000, 26, 40, 4, 40
+BATCH_TOKENS, CONTEXTS, STEPS, FINE, POWERS = 1_250_000, 26, 40, 4, 40
 #: One in so many training documents teaches the weights.
 KEPT_OUT = 8
 _END, _START = np.uint64(xxhash.xxh64_intdigest(b"\n")), np.uint64(xxhash.xxh64_intdigest(b"\n\n"))  # no word has a line break
@@ -49,6 +49,14 @@ def pairs_of(before: np.ndarray, words: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
+def _pair_keys(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The bigram of each token with its predecessor, or the start of its text; then a start for each text."""
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
+    before[starts] = _START
+    return np.concatenate([pairs_of(before, words), np.full(len(starts), _START)])
+
+
 def _squeeze(a: np.ndarray, level: int = 3) -> bytes:
     """Bytes of the same rank together, compressed."""
     return zstandard.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), level)
@@ -90,28 +98,27 @@ def _batch_rows(batch: int, docs: list[tuple[int | None, int, np.ndarray]], buck
     sizes = np.array([len(t) for _, _, t in docs], np.int64)
     role = np.repeat(np.array([r for _, r, _ in docs], np.int8), sizes)
     words = np.concatenate([t for _, _, t in docs])
-    before = np.concatenate([[_START], words[:-1]]).astype(np.uint64)
     starts = np.cumsum(sizes) - sizes
-    before[starts] = _START
-    pair = pairs_of(before, words)
-    parts = []
-    for kind, keys, roles in ((_WORDS, words, role), (_PAIRS, np.concatenate([pair, np.full(len(docs), _START)]), np.concatenate([role, role[starts]]))):
+    at = None
+    for kind, keys, roles in ((_WORDS, words, role), (_PAIRS, _pair_keys(words, starts), np.concatenate([role, role[starts]]))):
         distinct, where = np.unique(keys, return_inverse=True)
-        fit = np.bincount(where[roles == 0], minlength=len(distinct))
-        taught = np.bincount(where[roles == 1], minlength=len(distinct))
+        fit = np.bincount(where[roles == 0], minlength=len(distinct)).astype(np.int32)
+        taught = np.bincount(where[roles == 1], minlength=len(distinct)).astype(np.int32)
         edges = _bucket_edges(distinct, buckets)
         rows = []
         for b, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
             if hi > lo:
                 step = np.diff(distinct[lo:hi], prepend=np.uint64(0))
-                rows.append((batch, kind, b, hi - lo, _together(_squeeze(step), _squeeze(fit[lo:hi].astype(np.int32)), _squeeze(taught[lo:hi].astype(np.int32)))))
+                rows.append((batch, kind, b, hi - lo, _together(_squeeze(step), _squeeze(fit[lo:hi]), _squeeze(taught[lo:hi]))))
         yield _rows(rows)
-        parts.append((distinct, where))
-    (_, word_at), (pairs, pair_at) = parts
-    start_at = int(np.searchsorted(pairs, _START))
+        at = where if at is None else at
+    # frequent words have small numbers, which take little room; bigrams follow from the words
+    order = np.argsort(-np.bincount(at), kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
     ids = np.array([0 if i is None else i for i, _, _ in docs], np.int64)
     flags = np.array([(i is None) + 2 * (r == 2) for i, r, _ in docs], np.uint8)
-    record = _together(_squeeze(ids), _squeeze(flags), _squeeze(sizes), _squeeze(word_at.astype(np.int32)), _squeeze(pair_at[: len(words)].astype(np.int32)), struct.pack("<QQ", len(words), start_at))
+    record = _together(_squeeze(ids), _squeeze(flags), _squeeze(sizes), _squeeze(rank[at]), _squeeze(order.astype(np.int32)), struct.pack("<QQ", len(words), len(order)))
     yield _rows([(batch, _RECORD, -1, len(docs), record)])
 
 
@@ -154,9 +161,10 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums each bucket's counts and answers every question in the order it was asked; records pass through."""
 
     def answers(bucket: int, kind: int, asked: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        keys, fit, taught = [], [], []
-        for _, n, data in asked:
+        keys, fit, taught, steps = [], [], [], {}
+        for batch, n, data in asked:
             k, f, t = _apart(data)
+            steps[batch] = k if kind == _WORDS else b""  # words go back with their hashes
             keys.append(np.cumsum(_opened(k, n, np.uint64), dtype=np.uint64))
             fit.append(_opened(f, n, np.int32))
             taught.append(_opened(t, n, np.int32))
@@ -169,7 +177,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, n, _ in asked:
             own = where[at : at + n]
             at += n
-            yield _rows([(batch, kind, bucket, n, _together(_squeeze(fits[own]), _squeeze(every[own] - fits[own])))])
+            yield _rows([(batch, kind, bucket, n, _together(_squeeze(fits[own]), _squeeze(every[own] - fits[own]), steps[batch]))])
 
     now, asked = None, []
     for b in batches:
@@ -191,16 +199,23 @@ class _Resolved:
 
     def __init__(self, record: tuple[int, bytes], counts: dict[int, list[tuple[int, bytes]]]):
         n, data = record
-        ids, flags, sizes, word_at, pair_at, rest = _apart(data)
-        total, start_at = struct.unpack("<QQ", rest)
+        ids, flags, sizes, rank_at, order, rest = _apart(data)
+        total, kinds = struct.unpack("<QQ", rest)
         self.ids, self.flags, self.sizes = _opened(ids, n, np.int64), _opened(flags, n, np.uint8), _opened(sizes, n, np.int64)
-        self.word_at, self.pair_at = _opened(word_at, total, np.int32), _opened(pair_at, total, np.int32)
-        self.start_at, self.starts = start_at, np.cumsum(self.sizes) - self.sizes
-        self.counts = {}
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.word_at = _opened(order, kinds, np.int32)[_opened(rank_at, total, np.int32)]
+        self.counts, hashes = {}, []
         for kind, parts in counts.items():
-            both = [(_opened(f, k, np.int64), _opened(t, k, np.int64)) for k, d in parts for f, t in [_apart(d)]]
+            both = []
+            for k, d in parts:
+                f, t, step = _apart(d)
+                both.append((_opened(f, k, np.int64), _opened(t, k, np.int64)))
+                if kind == _WORDS:
+                    hashes.append(np.cumsum(_opened(step, k, np.uint64), dtype=np.uint64))
             fit, more = np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both])
             self.counts[kind] = (fit, fit + more)
+        _, where = np.unique(_pair_keys(np.concatenate(hashes)[self.word_at], self.starts), return_inverse=True)
+        self.pair_at, self.start_at = where[:total], int(where[-1])
 
     def numbers(self, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(c(w), c(v, w), c(v)) of every token."""
