@@ -371,6 +371,7 @@ def near_groups(
     ids = named.groupBy("least").agg(F.min("first_id").alias("component_id"))
     linked = named.join(ids, "least").select("fp", "component_id")
     every = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    every = write_table(every, "named")  # so that the last join stands alone and a fingerprint of very many rows is split
     out = found.join(every, "fp")
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
