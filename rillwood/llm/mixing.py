@@ -73,7 +73,7 @@ def edf_period(slots: DataFrame) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, source: str = "source", id_col: str = "doc_id", block: int = 8, period: int = 1000, natural: int = 3, uniform: int = 1, parts: int = 251, all_columns: bool = True
+    docs: DataFrame, source: str = "source", id_col: str = "doc_id", block: int = 8, period: int = 1000, natural: int = 3, uniform: int = 1, parts: int = 4099, all_columns: bool = True
 ) -> DataFrame:
     """``docs`` mixed to target weights: rows with ``mix_position`` and ``mix_epoch``; sorted by position they interleave
     the sources in blocks of ``block`` rows, each source within less than one block of its weight at every point.
@@ -81,8 +81,9 @@ def mix(
     No row is lost: the mix is as long as the source that its weight stretches furthest needs to appear in full once, and
     the others start over (``mix_epoch`` 1, 2, ...) to hold their weight until then. Rows of a source are taken in the order
     (id mod ``parts``, id); a null source is a source of its own named '', a null id counts as part 0 and comes first;
-    rows alike keep places of their own. A schedule of at most ``MAX_PERIOD`` rows and a table of sources times ``parts``
-    counts are broadcast; more sources than a period holds raise an error. An empty table gives an empty result.
+    rows alike keep places of their own. A schedule of at most ``MAX_PERIOD`` rows and one row a source are broadcast; the table
+    of sources times ``parts`` counts is joined where the rows lie for their ranks. ``parts`` is how many tasks can share
+    one source's rows. More sources than a period holds raise an error. An empty table gives an empty result.
     """
     src, part, rank, before, k, n, c, h, goal, slot, longest = free_name(docs, "src", "part", "rank", "before", "k", "n", "c", "h", "goal", "slot", "longest")
     counts = write_table(source_counts(docs, source, parts, id_col), "mix-counts")
@@ -99,7 +100,7 @@ def mix(
     held = held.withColumns({src: F.coalesce(F.col(source).cast("string"), F.lit("")), part: part_of(id_col, parts)})
     place = W.partitionBy(src, part).orderBy(F.col(id_col))
     held = held.withColumn(rank, F.row_number().over(place) - 1)
-    held = held.join(F.broadcast(starts), [src, part]).join(F.broadcast(goals), src)
+    held = held.join(starts, [src, part]).join(F.broadcast(goals), src)  # the window has dealt by the same keys: only starts move
     held = held.withColumn(rank, F.col(rank) + F.col(before))
     # row `rank` of a source comes again every n rows of it until the source has had its goal
     held = held.withColumn("mix_epoch", F.explode(F.expr(f"sequence(0L, (`{goal}` - 1 - `{rank}`) div `{n}`)")))
@@ -139,5 +140,5 @@ FROM pos JOIN pla ON pla.src = pos.src AND pla.k = (r // {block}) % c
 """
 
 
-def mix_sql(docs: str = "documents", columns: str = "doc_id, source", block: int = 8, period: int = 1000, natural: int = 3, uniform: int = 1, parts: int = 251) -> str:
+def mix_sql(docs: str = "documents", columns: str = "doc_id, source", block: int = 8, period: int = 1000, natural: int = 3, uniform: int = 1, parts: int = 4099) -> str:
     return MIX_SQL.format(docs=docs, columns=columns, block=block, period=period, natural=natural, uniform=uniform, parts=parts)
