@@ -100,7 +100,7 @@ def mix(
     held = held.withColumns({src: F.coalesce(F.col(source).cast("string"), F.lit("")), part: part_of(id_col, parts)})
     place = W.partitionBy(src, part).orderBy(F.col(id_col))
     held = held.withColumn(rank, F.row_number().over(place) - 1)
-    held = held.join(starts, [src, part]).join(F.broadcast(goals), src)  # the window has dealt by the same keys: only starts move
+    held = held.join(starts.hint("merge"), [src, part]).join(F.broadcast(goals), src)  # the window has dealt by the same keys: only starts move
     held = held.withColumn(rank, F.col(rank) + F.col(before))
     # row `rank` of a source comes again every n rows of it until the source has had its goal
     held = held.withColumn("mix_epoch", F.explode(F.expr(f"sequence(0L, (`{goal}` - 1 - `{rank}`) div `{n}`)")))
