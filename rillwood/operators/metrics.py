@@ -96,6 +96,23 @@ def auc(df: DataFrame, positive: Column, score: Column) -> DataFrame:
     return run.agg(F.try_divide(won.cast("double"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
+def online_auc(df: DataFrame, order: str, positive: Column, score: Column, depth: int = 10) -> DataFrame:
+    """One row: the running estimate after the last row of ``order`` (a unique number), where each score meets the latest
+    ``depth`` scores of the other class before it; the share it beats, ties half, is averaged by class. Rows without such
+    scores count as a half. Rows with a null class or score are left out; no rows give a half."""
+    d = df.select(F.col(order).alias("o"), positive.cast("int").alias("y"), score.cast("double").alias("s")).filter("y IS NOT NULL AND s IS NOT NULL")
+    d = running_sums(d, "o", {"pos": F.col("y").cast("bigint"), "neg": 1 - F.col("y").cast("bigint")})
+    d = d.select("o", "y", "s", F.when(F.col("y") == 1, F.col("pos")).otherwise(F.col("neg")).alias("k"), F.when(F.col("y") == 1, F.col("neg")).otherwise(F.col("pos")).alias("met"))
+    # row k of a class is asked for by its number: a row of the other class has at most `depth` questions
+    asks = d.filter("met > 0").select("o", "s", (1 - F.col("y")).alias("y"), F.explode(F.sequence(F.greatest(F.col("met") - (depth - 1), F.lit(1)), "met")).alias("k"))
+    found = asks.join(d.select("y", "k", F.col("s").alias("v")), ["y", "k"])
+    shares = found.groupBy("o", (1 - F.col("y")).alias("y")).agg(F.avg(F.when(F.col("s") > F.col("v"), 1.0).when(F.col("s") == F.col("v"), 0.5).otherwise(0.0)).alias("m"))
+    sums = d.groupBy("y").agg(F.count(F.lit(1)).alias("n")).join(shares.groupBy("y").agg(F.sum("m").alias("t"), F.count(F.lit(1)).alias("c")), "y", "left")
+    mean = (F.coalesce("t", F.lit(0.0)) + (F.col("n") - F.coalesce("c", F.lit(0))) / 2) / F.col("n")
+    side = lambda y: F.coalesce(F.max(F.when(F.col("y") == y, mean)), F.lit(0.5))
+    return sums.agg(((1 + side(1) - side(0)) / 2).alias("auc"))
+
+
 def entropy_by(df: DataFrame, group: str, label: str) -> DataFrame:
     """(group, entropy in bits of the labels)"""
     n = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n"))

@@ -315,6 +315,11 @@ def auc_exact(spark, sf):
     return rounded(M.auc(d, F.col("quality"), F.col("n_chars")), "auc")
 
 
+@query("WITH d AS (SELECT event_id AS o, event_type = 'purchase' AS y, value AS s FROM events), r AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY o))::BIGINT AS k, (count(*) OVER (ORDER BY o) - row_number() OVER (PARTITION BY y ORDER BY o))::BIGINT AS met FROM d), m AS (SELECT a.o, a.y, coalesce(avg(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 WHEN b.s IS NOT NULL THEN 0.0 END), 0.5) AS m FROM (SELECT *, unnest(range(least(met, greatest(met - 9, 1)), met + 1)) AS j FROM r) AS a LEFT JOIN r AS b ON b.y <> a.y AND b.k = a.j GROUP BY a.o, a.y) SELECT round((1 + avg(m) FILTER (y) - avg(m) FILTER (NOT y)) / 2, 6) AS auc FROM m")
+def auc_online(spark, sf):
+    return rounded(M.online_auc(_events(spark, sf), "event_id", F.col("event_type") == "purchase", F.col("value")), "auc")
+
+
 @query("WITH c AS (SELECT user_id % 10 AS g, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT g, round(-sum(n / t * log2(n / t)), 6) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY g) AS t FROM c) GROUP BY g")
 def entropy_by_group(spark, sf):
     return rounded(M.entropy_by(_events(spark, sf).withColumn("g", F.col("user_id") % 10), "g", "event_type"), "entropy")

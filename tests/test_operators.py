@@ -35,6 +35,19 @@ def test_exponential_averages_follow_the_recursion(spark):
     assert short["exp_avg_1"] == 1.0 and short["exp_avg_2"] is None
 
 
+def test_online_auc_is_that_of_a_loop(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(i > 3 and rng.random() < 0.3), float(rng.integers(0, 7))) for i in range(300)] + [(300, None, 1.0), (301, 1, None)]
+    last, means, seen = {0: [], 1: []}, {0: 0.5, 1: 0.5}, {0: 0, 1: 0}
+    for _, y, s in rows[:300]:
+        last[y], seen[y] = [*last[y], s][-10:], seen[y] + 1
+        if other := last[1 - y]:
+            means[y] += (sum((s > v) + (s == v) / 2 for v in other) / len(other) - means[y]) / seen[y]
+    df = spark.createDataFrame(rows, "o long, y int, s double")
+    assert math.isclose(M.online_auc(df, "o", F.col("y"), F.col("s")).first()[0], (1 + means[1] - means[0]) / 2, rel_tol=1e-9)
+    assert M.online_auc(df.filter("o < 0"), "o", F.col("y"), F.col("s")).first()[0] == 0.5
+
+
 def test_auc_with_ties(spark):
     rng = np.random.default_rng(2)
     rows = [(int(rng.integers(2)), float(rng.integers(8))) for _ in range(200)]
