@@ -10,14 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RANGES = 64
+RANGES = 1024
+#: Cuts are found in two steps of about this many comparisons.
+_STEP = 32
 
 
 def _range_of(df: DataFrame, key: str, ranges: int) -> Column:
     shares = [k / ranges for k in range(1, ranges)]
-    cuts = df.agg(F.percentile_approx(F.col(key).cast("double"), shares, 10_000)).first()[0] or []
-    at = F.col(key).cast("double")
-    return F.aggregate(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>"), F.lit(0), lambda n, c: n + F.when(at > c, 1).otherwise(0))
+    found = df.agg(F.percentile_approx(F.col(key).cast("double"), shares, 10 * ranges)).first()[0] or []
+    cuts, at = sorted(set(found)), F.col(key).cast("double")
+    if not cuts:
+        return F.when(at.isNotNull(), 0)
+    blocks = [cuts[i : i + _STEP] for i in range(0, len(cuts), _STEP)]
+    above = lambda some: F.aggregate(some, F.lit(0), lambda n, c: n + F.when(at > c, 1).otherwise(0))
+    block = above(F.lit([b[-1] for b in blocks]))  # blocks that lie wholly below
+    inside = F.get(F.array(*[F.lit(b) for b in blocks]), block)
+    return F.when(at.isNotNull(), block * _STEP + F.coalesce(above(inside), F.lit(0)))
 
 
 def running_sums(df: DataFrame, key: str, values: dict[str, Column], ranges: int = RANGES) -> DataFrame:
