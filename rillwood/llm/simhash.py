@@ -19,7 +19,7 @@ Wider fingerprints (``lanes`` of 64 bits) estimate the similarity of whole shing
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import write_table
+from .jaccard import digest, hashes, hub_links, lists, whole_set
 
 #: Fingerprints of a shard beyond which it is cut again, and how often that is tried.
 SHARD_LIMIT, REFINEMENTS = 20_000, 2
 #: Fingerprints in the trees of one broadcast wave (16 bytes each).
 WAVE = 400_000
-_CHUNK = 1 << 16
 
 
 def _lane_keys(lanes: int) -> list[np.uint64]:
@@ -46,15 +46,14 @@ def _lane_keys(lanes: int) -> list[np.uint64]:
 def fingerprint(text: bytes | None, shingle: int = 4, lanes: int = 1) -> bytes:
     """64 bits a lane, each set if it is set in over half the hashes of the shingles, repeats included; bytes in order of
     value. Hashes of the first lane are XXH64 (seed 42); the others spread those anew."""
-    words = text.lower().split() if text else []
-    if not words:
-        return bytes(8 * lanes)
-    n = max(1, len(words) - shingle + 1)
-    shingle = min(shingle, len(words))
-    digest, total, keys = xxhash.xxh64_intdigest, np.zeros((lanes, 64), np.int64), _lane_keys(lanes)
-    for at in range(0, n, _CHUNK):
-        part = words[at : min(at + _CHUNK, n) + shingle - 1]
-        h = np.array([digest(b" ".join(s), 42) for s in zip(*(part[i:] for i in range(shingle)))], np.uint64)
+    return fingerprint_of(hashes(text, shingle), lanes)
+
+
+def fingerprint_of(parts: Iterable[np.ndarray], lanes: int) -> bytes:
+    """The fingerprint of the hashes in ``parts``, each counted as often as it is there."""
+    n, total, keys = 0, np.zeros((lanes, 64), np.int64), _lane_keys(lanes)
+    for h in parts:
+        n += len(h)
         for k in range(lanes):
             if k:
                 h = (h ^ (h >> np.uint64(29))) * keys[k - 1]
@@ -382,11 +381,34 @@ def near_groups(
 SIMILAR = Plan.sampled(4, 50, 56, 16)
 
 
+def shingle_sets(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
+    """(doc_id, digest, fp, n) of the whole set of shingles and the fingerprint of each text of (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [whole_set(t.as_py(), shingle) for t in b.column(1).cast(pa.large_binary())]
+            fps = [fingerprint(t.as_py(), shingle, lanes) for t in b.column(1).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(digest, sets), pa.binary()), pa.array(fps, pa.binary()), pa.array(map(len, sets), pa.int64())], names=["doc_id", "digest", "fp", "n"])
+
+    return docs.mapInArrow(run, "doc_id long, digest binary, fp binary, n long")
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, plan: Plan = SIMILAR) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the smallest id; of rows alike in the id all
-    stay or go together. Rows with a null id stay."""
-    # a null id is smaller than none: with it out of the way, groups are named by ids alone
-    named = docs.filter(F.col(id_col).isNotNull())
-    groups = near_groups(named, id_col, text_col, shingle, plan)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
+    stay or go together. Rows with a null id stay.
+
+    A group is what chains of pairs join whose whole sets of shingles have a Jaccard similarity of 0.8 or more. Fingerprints
+    only find likely groups; each link is verified. Texts without words are one group.
+    """
+    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = write_table(shingle_sets(texts, shingle, plan.lanes), "sets")
+    nodes = write_table(found.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.min("n").alias("n")), "nodes")
+    reach = components(link_fingerprints(nodes.select("fp").distinct(), plan)).withColumnRenamed("node", "fp")
+    likely = nodes.join(reach, "fp", "left").select("digest", "n", F.coalesce("least", "fp").alias("grp"))
+    links = hub_links(likely, texts, nodes, shingle)
+    named = nodes.join(components(links).withColumnRenamed("node", "digest"), "digest")
+    ids = named.groupBy("least").agg(F.min("first_id").alias("component_id"))
+    linked = named.join(ids, "least").select("digest", "component_id")
+    every = write_table(nodes.join(linked, "digest", "left").select("digest", F.coalesce("component_id", "first_id").alias("component_id")), "named")
+    gone = found.join(every, "digest").filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs[id_col].cast("long") == gone["gone_id"], "left_anti")
