@@ -382,12 +382,13 @@ SIMILAR = Plan.sampled(4, 50, 56, 16)
 
 
 def shingle_sets(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
-    """(doc_id, digest, fp, n) of the whole set of shingles and the fingerprint of each text of (doc_id, text)."""
+    """(doc_id, digest, fp, n) of the whole set of shingles of each text of (doc_id, text), with a fingerprint in which a repeated
+    shingle counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [whole_set(t.as_py(), shingle) for t in b.column(1).cast(pa.large_binary())]
-            fps = [fingerprint(t.as_py(), shingle, lanes) for t in b.column(1).cast(pa.large_binary())]
+            fps = [fingerprint_of([x], lanes) for x in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(digest, sets), pa.binary()), pa.array(fps, pa.binary()), pa.array(map(len, sets), pa.int64())], names=["doc_id", "digest", "fp", "n"])
 
     return docs.mapInArrow(run, "doc_id long, digest binary, fp binary, n long")

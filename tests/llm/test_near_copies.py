@@ -48,3 +48,13 @@ def test_links_are_verified(spark):
     want = kept_by_brute_force(rows)
     assert len(want) == len(rows)
     assert kept(spark, rows) == want
+
+
+def test_a_line_repeated_in_one_copy(spark):
+    rng, rows = random.Random(9), []
+    for i in range(15):
+        text, line = " ".join(words(rng, 250)), " ".join(words(rng, 9))
+        rows += [(2 * i, text), (2 * i + 1, "\n".join([text, *[line] * 20]))]
+    want = kept_by_brute_force(rows)
+    assert want == {2 * i for i in range(15)}
+    assert kept(spark, rows) == want
