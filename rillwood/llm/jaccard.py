@@ -3,7 +3,8 @@
 A set of n shingles that is similar to another shares at least 4/5 of its own with it, so in any one order of all shingles
 its first n - ceil(4n/5) + 1 hold one that both have. Those are its prefix, and sets meet in the bucket of each prefix
 shingle. Shingles that many documents have come last in the order, so buckets are small; which ones those are is counted on
-a sample, and no pair depends on it. Bounds by size and place leave few pairs of a bucket, and all of those are verified.
+a sample, and no pair depends on it. Bounds by size, place and a
+sketch of the whole set, none of which loses a similar pair, leave few pairs of a bucket, and all of those are verified.
 """
 
 from __future__ import annotations
@@ -59,6 +60,26 @@ def prefix(members: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.
     return members[: n - (4 * n + 4) // 5 + 1]
 
 
+def sketch(members: np.ndarray) -> bytes:
+    """For each value of the low bits of the members whether an odd number of them has it; a bit a member or more, as far
+    as 32768. Of two sets, at most as many bits differ as members are in one only."""
+    m = 1 << min(15, max(8, len(members).bit_length()))
+    return np.packbits(np.bincount((members & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1, bitorder="little").tobytes()
+
+
+def _folded(x: bytes, size: int) -> int:
+    out = 0
+    for k in range(0, len(x), size):
+        out ^= int.from_bytes(x[k : k + size], "little")
+    return out
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ, the larger one folded to the size of the other."""
+    size = min(len(x), len(y))
+    return (_folded(x, size) ^ _folded(y, size)).bit_count()
+
+
 def lists(of: list[np.ndarray]) -> pa.Array:
     flat = np.concatenate([np.empty(0, np.uint64), *of]).view(np.int64)
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in of])]).astype(np.int32)), pa.array(flat))
@@ -119,3 +140,66 @@ def hub_links(groups: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int
         found = found.unionByName(links)
         left = pairs.join(links.select("a"), "a", "left_anti").select(F.col("a").alias("digest"), "n", "grp")
     return found
+
+
+def candidates(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b): pairs of digests of which no similar one is missing but those that ``links`` (a, b), to hubs, join already.
+    nodes: (digest, n, prefix, sketch). Pairs of a bucket are told by hashes of digests, so one too many at worst is verified.
+    Sketches, which bound the members that are in one set only, leave few of them."""
+    key = lambda c: F.xxhash64(c)
+    joined = nodes.join(links.select(F.col("a").alias("digest"), "b"), "digest", "left")
+    posts = joined.select(F.posexplode("prefix").alias("pos", "token"), key("digest").alias("key"), key(F.coalesce("b", "digest")).alias("comp"), "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # rows of the last bucket so far
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            rows = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("token", "n", "pos", "key", "comp")])
+            rows = rows if held is None else np.hstack([held, rows])
+            last = int(np.flatnonzero(rows[0] != rows[0, -1])[-1]) + 1 if rows[0, 0] != rows[0, -1] else 0
+            yield from _pairs(rows[:, :last])
+            held = rows[:, last:]
+        if held is not None:
+            yield from _pairs(held)
+
+    found = posts.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(run, "x long, y long").distinct()
+    keys = nodes.filter("n > 3").select(key("digest").alias("key"), "digest", "n", "sketch")
+    end = lambda k, d, n, s: keys.toDF(k, d, n, s)
+    ends = found.join(end("x", "a", "nx", "sx"), "x").join(end("y", "b", "ny", "sy"), "y").select("a", "b", F.col("nx") + F.col("ny"), "sx", "sy")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [9 * apart(x, y) <= n for n, x, y in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            kept = b.filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns[:2], names=["a", "b"])
+
+    return ends.mapInArrow(near, _PAIRS)
+
+
+def _pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Keys of the pairs in the buckets of rows (token, n, pos, key, comp), sorted, that can be similar and aren't joined yet.
+    A pair's first shared prefix shingle passes the bound by place, so it is found in that bucket if in no other."""
+    if not rows.size:
+        return
+    starts = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
+    mixed = np.minimum.reduceat(rows[4], starts) != np.maximum.reduceat(rows[4], starts)
+    rows = rows[:, np.repeat(mixed, np.diff(np.append(starts, rows.shape[1])))]
+    token, n, pos, key, comp = rows
+    at, gap, held, size = np.arange(len(token)), 1, [], 0
+    while True:  # each row with the next one, the one after it and so on, while sizes allow
+        at = at[at + gap < len(token)]
+        at = at[(token[at] == token[at + gap]) & (5 * n[at] >= 4 * n[at + gap])]
+        if len(at):
+            to = at + gap
+            ok = (comp[at] != comp[to]) & (9 * np.minimum(n[at] - pos[at], n[to] - pos[to]) >= 4 * (n[at] + n[to]))
+            x, y = key[at[ok]], key[to[ok]]
+            held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+            size += len(x)
+        if held and (not len(at) or size > 200_000):
+            out = np.unique(np.concatenate(held), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["x", "y"])
+            held, size = [], 0
+        if not len(at):
+            return
+        gap += 1

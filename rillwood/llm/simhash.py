@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import write_table
-from .jaccard import digest, hashes, hub_links, lists, whole_set
+from .jaccard import candidates, digest, frequent_shingles, hashes, hub_links, lists, prefix, sketch, verified, whole_set
 
 #: Fingerprints of a shard beyond which it is cut again, and how often that is tried.
 SHARD_LIMIT, REFINEMENTS = 20_000, 2
@@ -375,38 +375,43 @@ def near_groups(
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-#: For whole sets of five-word shingles at a similarity of 0.8 or more: 256 bits, of which pairs just that similar differ in
-#: 39 on average (arccos(2s / (1 + s)) / pi of the bits for similarity s) and in 50 or fewer nearly always; they meet in one
-#: of 56 tables of 16 bits with probability 0.98.
+#: Likely groups for whole sets of five-word shingles at a similarity of 0.8 or more: 256 bits, of which pairs just that
+#: similar differ in 39 on average (arccos(2s / (1 + s)) / pi of the bits for similarity s) and in 50 or fewer nearly always;
+#: those mostly meet in one of 56 tables of 16 bits. What this misses, the join of prefixes finds.
 SIMILAR = Plan.sampled(4, 50, 56, 16)
 
 
 def shingle_sets(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
-    """(doc_id, digest, fp, n) of the whole set of shingles of each text of (doc_id, text), with a fingerprint in which a repeated
-    shingle counts once."""
+    """(doc_id, digest, fp, n, prefix, sketch) of the whole set of shingles of each text of (doc_id, text), with a fingerprint in
+    which a repeated shingle counts once."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [whole_set(t.as_py(), shingle) for t in b.column(1).cast(pa.large_binary())]
-            fps = [fingerprint_of([x], lanes) for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(digest, sets), pa.binary()), pa.array(fps, pa.binary()), pa.array(map(len, sets), pa.int64())], names=["doc_id", "digest", "fp", "n"])
+            fps, heads = [fingerprint_of([x], lanes) for x in sets], lists([prefix(x, *frequent.value) for x in sets])
+            columns = [b.column(0), pa.array(map(digest, sets), pa.binary()), pa.array(fps, pa.binary()), pa.array(map(len, sets), pa.int64()), heads, pa.array(map(sketch, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "fp", "n", "prefix", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, fp binary, n long")
+    return docs.mapInArrow(run, "doc_id long, digest binary, fp binary, n long, prefix array<long>, sketch binary")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, plan: Plan = SIMILAR) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the smallest id; of rows alike in the id all
     stay or go together. Rows with a null id stay.
 
-    A group is what chains of pairs join whose whole sets of shingles have a Jaccard similarity of 0.8 or more. Fingerprints
-    only find likely groups; each link is verified. Texts without words are one group.
+    A group is what chains of pairs join whose whole sets of shingles have a Jaccard similarity of 0.8 or more. Links
+    within likely groups of fingerprints are verified first; then a join that misses no pair gives the pairs not joined by
+    those, which are verified too. Texts without words are one group.
     """
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = write_table(shingle_sets(texts, shingle, plan.lanes), "sets")
-    nodes = write_table(found.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.min("n").alias("n")), "nodes")
+    nodes = write_table(found.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "nodes")
     reach = components(link_fingerprints(nodes.select("fp").distinct(), plan)).withColumnRenamed("node", "fp")
     likely = nodes.join(reach, "fp", "left").select("digest", "n", F.coalesce("least", "fp").alias("grp"))
     links = hub_links(likely, texts, nodes, shingle)
+    pairs = write_table(candidates(nodes, links), "candidates")
+    links = links.unionByName(verified(pairs, texts, nodes, shingle))
     named = nodes.join(components(links).withColumnRenamed("node", "digest"), "digest")
     ids = named.groupBy("least").agg(F.min("first_id").alias("component_id"))
     linked = named.join(ids, "least").select("digest", "component_id")

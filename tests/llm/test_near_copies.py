@@ -58,3 +58,26 @@ def test_a_line_repeated_in_one_copy(spark):
     want = kept_by_brute_force(rows)
     assert want == {2 * i for i in range(15)}
     assert kept(spark, rows) == want
+
+
+def test_no_pair_is_missed(spark):
+    rng, rows = random.Random(11), [(-1, ""), (-2, None), (-3, " \n")]
+    line = " ".join(words(rng, 12))
+    for i in range(60):  # short texts: one word more gives 4 of 5 shingles, and 3 of 4 for shorter ones
+        base = words(rng, 7 + i % 3)
+        rows += [(10 * i, " ".join(base)), (10 * i + 1, " ".join([*base, "more"]))]
+    for i in range(60, 160):  # pairs on both sides of 0.8, with a line that all have, repeated in some
+        base = words(rng, 120 + i)
+        edited = list(base)
+        for k in range(i % 10):
+            edited[7 + 11 * k] = f"edit{i}"
+        rows += [(10 * i, "\n".join([line, " ".join(base)])), (10 * i + 1, "\n".join([" ".join(edited), *[line] * (i % 4)]))]
+    for i in range(160, 170):  # chains: each next to the one before only
+        chain = words(rng, 200)
+        for k in range(6):
+            rows.append((10 * i + k, " ".join(chain)))
+            for e in range(4):
+                chain[20 * k + 5 * e + 3] = f"edit{i}.{k}.{e}"
+    want = kept_by_brute_force(rows)
+    assert len(rows) // 2 < len(want) < len(rows)
+    assert kept(spark, rows) == want
