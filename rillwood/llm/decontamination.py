@@ -29,13 +29,13 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_TABLE).split() if text else []
 
 
-def windows_of(items: list[tuple[str, bytes]], size: int) -> dict[tuple[bytes, ...], set[str]]:
-    """Windows of item words -> the items that have them."""
+def windows_of(items: list[tuple[str | None, bytes]], size: int) -> dict[tuple[bytes, ...], set[str]]:
+    """Windows of item words -> the items that have them; an item without an id adds none."""
     out: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
     for item, text in items:
         w = words_of(text)
         for i in range(max(1, len(w) - size + 1) if w else 0):
-            out[tuple(w[i : i + size])].add(item)
+            out[tuple(w[i : i + size])].update([] if item is None else [item])
     return out
 
 
@@ -70,12 +70,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    held = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").cast("binary").alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    held = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").cast("binary").alias("text")).filter("text IS NOT NULL")
     total = held.agg(F.sum(F.length("text") + 64)).first()[0] or 0
     n = total // block_bytes + 1
     for k in range(n):
-        part = held if n == 1 else held.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
+        part = held if n == 1 else held.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
         yield [(r[0], bytes(r[1])) for r in part.toLocalIterator()]
 
 
@@ -101,8 +101,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     strings): every occurrence of every benchmark window. Columns of these names are replaced; all others pass through.
 
     The benchmark is broadcast in blocks of bounded size, each held against all documents in one pass without a shuffle.
-    Null text has no words; items with a null id or no words are never found; repeated items share their windows; an empty
-    benchmark hits nothing; an empty table gives an empty result.
+    Null text has no words; items without words are never found; those with a null id give spans and no item; repeated items
+    share their windows; an empty benchmark hits nothing; an empty table gives an empty result.
     """
     docs = docs.drop("n_words", "hit_spans", "hit_items")
     (raw,) = free_name(docs, "raw_text")
@@ -138,7 +138,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = find_benchmark(docs.select("doc_id", "text"), benchmark)
     n_hit = F.expr("aggregate(hit_spans, 0L, (a, x) -> x - a)")  # start, end, start, end: each step flips the sign of all before it
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (F.size("hit_items") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (F.size("hit_spans") > 0).alias("contaminated"))
 
 
 
