@@ -81,3 +81,8 @@ def test_no_pair_is_missed(spark):
     want = kept_by_brute_force(rows)
     assert len(rows) // 2 < len(want) < len(rows)
     assert kept(spark, rows) == want
+
+
+def test_sf001_matches_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == kept_by_brute_force([(r.doc_id, r.text) for r in docs.collect()])
