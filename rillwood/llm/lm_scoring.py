@@ -14,7 +14,7 @@ are told apart by 64-bit XXH64.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +23,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, write_table
+from .common import crc_mod, input_bytes, write_table
 
 #: Tokens of a batch of documents; buckets of context counts, 0 for unseen ones; steps of expectation-maximisation; steps of
 #: the histogram for each power of two, and powers of two of it at most.
 BATCH_TOKENS, CONTEXTS, STEPS, FINE, POWERS = 1_250_000, 26, 40, 4, 40
+#: Tokens that are scored at a time; keys of a bucket that are summed at a time, and how many such ranges have numbers of
+#: their own; bytes of input for each bucket, and buckets at most: with more a batch would ask each for a few keys only.
+SLICE, RANGE_KEYS, MOST_RANGES, BUCKET_BYTES, MOST_BUCKETS = 65_536, 4_000_000, 1 << 16, 8_000_000, 65_536
 #: One in so many training documents teaches the weights.
 KEPT_OUT = 8
 _END, _START = np.uint64(xxhash.xxh64_intdigest(b"\n")), np.uint64(xxhash.xxh64_intdigest(b"\n\n"))  # no word has a line break
 _WORDS, _PAIRS, _RECORD, _TOTALS = 0, 1, 2, 3
-_SCHEMA = "batch long, kind int, bucket int, n long, data binary"
+_SCHEMA = "batch long, kind int, bucket long, n long, data binary"
 _NAMES = ["batch", "kind", "bucket", "n", "data"]
 
 
@@ -82,7 +85,7 @@ def _apart(data: bytes) -> list[bytes]:
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=_NAMES)
 
 
@@ -92,6 +95,14 @@ def _bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, np.array(tops, np.uint64)), [len(keys)]])
 
 
+def _counted(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """How often each of the sorted distinct ``among`` is in ``keys``."""
+    out = np.zeros(len(among), np.int32)
+    have, counts = np.unique(keys, return_counts=True)
+    out[np.searchsorted(among, have)] = counts
+    return out
+
+
 def _batch_rows(batch: int, docs: list[tuple[int | None, int, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
     """The questions of a batch of (doc_id, role, tokens) and its record. Roles: 0 counts, 1 teaches the weights, 2 is held
     out."""
@@ -99,11 +110,15 @@ def _batch_rows(batch: int, docs: list[tuple[int | None, int, np.ndarray]], buck
     role = np.repeat(np.array([r for _, r, _ in docs], np.int8), sizes)
     words = np.concatenate([t for _, _, t in docs])
     starts = np.cumsum(sizes) - sizes
-    at = None
-    for kind, keys, roles in ((_WORDS, words, role), (_PAIRS, _pair_keys(words, starts), np.concatenate([role, role[starts]]))):
-        distinct, where = np.unique(keys, return_inverse=True)
-        fit = np.bincount(where[roles == 0], minlength=len(distinct)).astype(np.int32)
-        taught = np.bincount(where[roles == 1], minlength=len(distinct)).astype(np.int32)
+    ids = np.array([0 if i is None else i for i, _, _ in docs], np.int64)
+    flags = np.array([(i is None) + 2 * (r == 2) for i, r, _ in docs], np.uint8)
+    docs.clear()
+    at, kinds = None, 0
+    for kind in (_WORDS, _PAIRS):
+        keys, roles = (words, role) if kind == _WORDS else (_pair_keys(words, starts), np.concatenate([role, role[starts]]))
+        distinct = np.unique(keys)
+        fit, taught = _counted(keys[roles == 0], distinct), _counted(keys[roles == 1], distinct)
+        del keys, roles
         edges = _bucket_edges(distinct, buckets)
         rows = []
         for b, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
@@ -111,15 +126,14 @@ def _batch_rows(batch: int, docs: list[tuple[int | None, int, np.ndarray]], buck
                 step = np.diff(distinct[lo:hi], prepend=np.uint64(0))
                 rows.append((batch, kind, b, hi - lo, _together(_squeeze(step), _squeeze(fit[lo:hi]), _squeeze(taught[lo:hi]))))
         yield _rows(rows)
-        at = where if at is None else at
+        if kind == _WORDS:
+            at, kinds = np.searchsorted(distinct, words).astype(np.int32), len(distinct)
     # frequent words have small numbers, which take little room; bigrams follow from the words
-    order = np.argsort(-np.bincount(at), kind="stable")
+    order = np.argsort(-np.bincount(at, minlength=kinds), kind="stable")
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
-    ids = np.array([0 if i is None else i for i, _, _ in docs], np.int64)
-    flags = np.array([(i is None) + 2 * (r == 2) for i, r, _ in docs], np.uint8)
     record = _together(_squeeze(ids), _squeeze(flags), _squeeze(sizes), _squeeze(rank[at]), _squeeze(order.astype(np.int32)), struct.pack("<QQ", len(words), len(order)))
-    yield _rows([(batch, _RECORD, -1, len(docs), record)])
+    yield _rows([(batch, _RECORD, -1, len(ids), record)])
 
 
 def _ask(docs: DataFrame, buckets: int, batch_tokens: int) -> DataFrame:
@@ -148,8 +162,8 @@ def _ask(docs: DataFrame, buckets: int, batch_tokens: int) -> DataFrame:
                 held[kind].append((i, r, t))
                 size[kind] += len(t)
                 if size[kind] >= batch_tokens:
-                    yield from _batch_rows(name(held[kind], kind), held[kind], buckets)
-                    held[kind], size[kind] = [], 0
+                    yield from _batch_rows(name(held[kind], kind), held[kind], buckets)  # which empties it
+                    size[kind] = 0
         for kind, rest in held.items():
             if rest:
                 yield from _batch_rows(name(rest, kind), rest, buckets)
@@ -157,31 +171,56 @@ def _ask(docs: DataFrame, buckets: int, batch_tokens: int) -> DataFrame:
     return docs.select("doc_id", "role", "text", F.spark_partition_id().alias("part")).mapInArrow(run, _SCHEMA)
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums each bucket's counts and answers every question in the order it was asked; records pass through."""
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """Rows one at a time, so that a batch's data is there once."""
+    for b in batches:
+        numbers = [c.to_pylist() for c in b.columns[:4]]
+        for i in range(b.num_rows):
+            yield *(c[i] for c in numbers), b.column(4)[i].as_py()
+
+
+def _answering(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums each bucket's counts and answers every question in the order it was asked; records pass through.
+
+    Questions stay compressed, and a bucket of many keys is summed in ranges of hashes of about ``RANGE_KEYS`` keys, each of
+    which has answers of its own.
+    """
 
     def answers(bucket: int, kind: int, asked: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        keys, fit, taught, steps = [], [], [], {}
-        for batch, n, data in asked:
-            k, f, t = _apart(data)
-            steps[batch] = k if kind == _WORDS else b""  # words go back with their hashes
-            keys.append(np.cumsum(_opened(k, n, np.uint64), dtype=np.uint64))
-            fit.append(_opened(f, n, np.int32))
-            taught.append(_opened(t, n, np.int32))
-        distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-        fits = np.bincount(where, np.concatenate(fit), len(distinct)).astype(np.int64)
-        every = fits + np.bincount(where, np.concatenate(taught), len(distinct)).astype(np.int64)
+        ranges = min(MOST_RANGES, sum(n for _, n, _ in asked) // RANGE_KEYS + 1)
+        low, high, sums = (bucket << 64) // buckets, ((bucket + 1) << 64) // buckets, np.zeros(4, np.int64)
+        for r in range(ranges):
+            ends = np.array([low + (high - low) * r // ranges, low + (high - low) * (r + 1) // ranges - 1], np.uint64)
+            keys, fit, taught, batch_of = [], [], [], []
+            for batch, n, data in asked:
+                k, f, t = _apart(data)
+                k = np.cumsum(_opened(k, n, np.uint64), dtype=np.uint64)
+                lo, hi = int(np.searchsorted(k, ends[0])), int(np.searchsorted(k, ends[1], side="right"))
+                if hi > lo:
+                    keys.append(k[lo:hi].copy())
+                    fit.append(_opened(f, n, np.int32)[lo:hi].copy())
+                    taught.append(_opened(t, n, np.int32)[lo:hi].copy())
+                    batch_of.append(batch)
+            if not keys:
+                continue
+            every = np.concatenate(keys)
+            distinct = np.unique(every)
+            fits, more = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+            for k, f, t in zip(keys, fit, taught, strict=True):  # the keys of one batch are distinct
+                own = np.searchsorted(distinct, k)
+                fits[own] += f
+                more[own] += t
+            sums += [fits.sum(), (fits > 0).sum(), (fits + more).sum(), (fits + more > 0).sum()]
+            for batch, k in zip(batch_of, keys, strict=True):
+                own = np.searchsorted(distinct, k)
+                step = _squeeze(np.diff(k, prepend=np.uint64(0))) if kind == _WORDS else b""  # words go back with their hashes
+                yield _rows([(batch, kind, bucket * MOST_RANGES + r, len(k), _together(_squeeze(fits[own]), _squeeze(more[own]), step))])
         if kind == _WORDS:
-            yield _rows([(-1, _TOTALS, bucket, 0, struct.pack("<4q", fits.sum(), (fits > 0).sum(), every.sum(), (every > 0).sum()))])
-        at = 0
-        for batch, n, _ in asked:
-            own = where[at : at + n]
-            at += n
-            yield _rows([(batch, kind, bucket, n, _together(_squeeze(fits[own]), _squeeze(every[own] - fits[own]), steps[batch]))])
-
-    now, asked = None, []
-    for b in batches:
-        for batch, kind, bucket, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            yield _rows([(-1, _TOTALS, bucket, 0, struct.pack("<4q", *sums.tolist()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asked = None, []
+        for batch, kind, bucket, n, data in _each(batches):
             if kind == _RECORD:
                 yield _rows([(batch, kind, bucket, n, data)])
                 continue
@@ -190,8 +229,10 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield from answers(*now, asked)
                 now, asked = (bucket, kind), []
             asked.append((batch, n, data))
-    if asked:
-        yield from answers(*now, asked)
+        if asked:
+            yield from answers(*now, asked)
+
+    return run
 
 
 class _Resolved:
@@ -213,17 +254,29 @@ class _Resolved:
                 if kind == _WORDS:
                     hashes.append(np.cumsum(_opened(step, k, np.uint64), dtype=np.uint64))
             fit, more = np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both])
-            self.counts[kind] = (fit, fit + more)
-        _, where = np.unique(_pair_keys(np.concatenate(hashes)[self.word_at], self.starts), return_inverse=True)
-        self.pair_at, self.start_at = where[:total], int(where[-1])
-
-    def numbers(self, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(c(w), c(v, w), c(v)) of every token."""
+            more += fit
+            self.counts[kind] = (fit, more)
+            parts.clear()
+        self.hashes = np.concatenate(hashes)
+        self.pairs = np.unique(_pair_keys(self.hashes[self.word_at], self.starts))
+
+    def numbers(self, every: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(lo, hi, c(w), c(v, w), c(v)) of the tokens lo to hi - 1, ``SLICE`` at a time."""
         words, pairs = self.counts[_WORDS][every], self.counts[_PAIRS][every]
-        w = words[self.word_at]
-        v = np.concatenate([[0], w[:-1]])
-        v[self.starts] = pairs[self.start_at]
-        return w, pairs[self.pair_at], v
+        begun = pairs[np.searchsorted(self.pairs, _START)]
+        for lo in range(0, len(self.word_at), SLICE):
+            at = self.word_at[lo : lo + SLICE]
+            hi = lo + len(at)
+            before = self.word_at[max(0, lo - 1) : hi - 1] if lo else np.concatenate([at[:1], at[:-1]])
+            first = self.starts[np.searchsorted(self.starts, lo) : np.searchsorted(self.starts, hi)] - lo
+            w, v, left = words[at], words[before], self.hashes[before]
+            v[first], left[first] = begun, _START
+            yield lo, hi, w, pairs[np.searchsorted(self.pairs, pairs_of(left, self.hashes[at]))], v
+
+    def add(self, out: np.ndarray, lo: int, hi: int, x: np.ndarray) -> None:
+        """Adds what the tokens lo to hi - 1 have to the sums of their documents."""
+        first, last = np.searchsorted(self.starts, [lo, hi - 1], side="right") - 1
+        out[first : last + 1] += np.add.reduceat(x, np.maximum(self.starts[first : last + 1] - lo, 0))
 
 
 def context_bucket(c: np.ndarray) -> np.ndarray:
@@ -271,14 +324,19 @@ def _level(f: np.ndarray) -> np.ndarray:
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[_Resolved]:
     """Batches from rows sorted by (batch, kind, bucket)."""
     now, counts = None, {_WORDS: [], _PAIRS: []}
-    for b in batches:
-        for batch, kind, _, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if batch != now:
-                now, counts = batch, {_WORDS: [], _PAIRS: []}
-            if kind == _RECORD:  # the last of its batch
-                yield _Resolved((n, data), counts)
-            else:
-                counts[kind].append((n, data))
+    for batch, kind, _, n, data in _each(batches):
+        if batch != now:
+            now, counts = batch, {_WORDS: [], _PAIRS: []}
+        if kind == _RECORD:  # the last of its batch
+            yield _Resolved((n, data), counts)
+        else:
+            counts[kind].append((n, data))
+
+
+def bucket_count(docs: DataFrame) -> int:
+    """As many buckets as shuffle partitions, or more where the input is known to be large: one for each ``BUCKET_BYTES``."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(partitions, min(input_bytes(docs) // BUCKET_BYTES, MOST_BUCKETS))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out_fold: int = 1, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
@@ -291,14 +349,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     estimates are even shares. Other columns aren't read.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     crc = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     role = F.when(crc_mod(F.col(id_col), folds) == held_out_fold, 2).when(F.floor(crc / F.lit(folds)) % KEPT_OUT == 0, 1).otherwise(0)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), role.cast("int").alias("role"), F.col(text_col).cast("string").alias("text"))
+    buckets = bucket_count(rows)
 
-    place = F.when(F.col("kind") == _RECORD, F.pmod(F.col("batch"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
+    place = F.when(F.col("kind") == _RECORD, F.pmod(F.col("batch"), F.lit(buckets))).otherwise(F.col("bucket"))
     asked = _ask(rows, buckets, batch_tokens).repartition(buckets, place).sortWithinPartitions("bucket", "kind")
-    told = write_table(asked.mapInArrow(_answer, _SCHEMA), "counts")
+    told = write_table(asked.mapInArrow(_answering(buckets), _SCHEMA), "counts")
     sums = np.array([struct.unpack("<4q", bytes(r[0])) for r in told.filter(F.col("kind") == _TOTALS).select("data").collect()], np.int64).reshape(-1, 4).sum(axis=0)
     n_fit, v_fit, n_all, v_all = map(int, sums)
     told = told.filter(F.col("kind") != _TOTALS)
@@ -306,24 +364,28 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = FINE * POWERS + 2
         for r in _gathered(batches):
-            w, vw, v = r.numbers(False)
-            f = estimates(w, vw, v, n_fit, v_fit)
-            codes, counts = np.unique((context_bucket(v) * steps + _level(f[0])) * steps + _level(f[1]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
+            for _, _, w, vw, v in r.numbers(False):
+                f = estimates(w, vw, v, n_fit, v_fit)
+                codes, counts = np.unique((context_bucket(v) * steps + _level(f[0])) * steps + _level(f[1]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
 
-    lessons = told.filter(F.col("batch") % 2 == 1).repartition("batch").sortWithinPartitions("batch", "kind", "bucket")
+    # so many partitions that each has few batches; what is read again is sorted by batch, so one batch is held
+    lessons = told.filter(F.col("batch") % 2 == 1).repartition(buckets, "batch").sortWithinPartitions("batch", "kind", "bucket")
     found = np.array(lessons.mapInArrow(histogram, "code long, n long").groupBy("code").agg(F.sum("n")).collect(), np.int64).reshape(-1, 2)
     found = found[np.argsort(found[:, 0])]
     weights = learn_weights(found[:, 0], found[:, 1].astype(np.float64), v_fit)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _gathered(batches):
-            w, vw, v = r.numbers(True)
-            p = (weights[context_bucket(v)].T * estimates(w, vw, v, n_all, v_all)).sum(axis=0)
-            base = np.log10((w + 0.5) / (n_all + 0.5 * (v_all + 1)))
-            add = lambda x: np.add.reduceat(x, r.starts)
-            cols = [pa.array(r.ids, mask=(r.flags & 1).astype(bool)), pa.array((r.flags & 2) > 0), pa.array(r.sizes), pa.array(add((w > 0).astype(np.int64))), pa.array(np.full(len(r.ids), n_all)), pa.array(add(base)), pa.array(add(np.log10(p)))]
+            known, bases, scores = (np.zeros(len(r.ids), t) for t in (np.int64, np.float64, np.float64))
+            for lo, hi, w, vw, v in r.numbers(True):
+                mixed = weights[context_bucket(v)].T
+                p = (mixed * estimates(w, vw, v, n_all, v_all)).sum(axis=0)
+                r.add(known, lo, hi, (w > 0).astype(np.int64))
+                r.add(bases, lo, hi, np.log10((w + 0.5) / (n_all + 0.5 * (v_all + 1))))
+                r.add(scores, lo, hi, np.log10(p))
+            cols = [pa.array(r.ids, mask=(r.flags & 1).astype(bool)), pa.array((r.flags & 2) > 0), pa.array(r.sizes), pa.array(known), pa.array(np.full(len(r.ids), n_all)), pa.array(bases), pa.array(scores)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    ordered = told.repartition("batch").sortWithinPartitions("batch", "kind", "bucket")
+    ordered = told.repartition(buckets, "batch").sortWithinPartitions("batch", "kind", "bucket")
     return ordered.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
