@@ -1,8 +1,10 @@
 """Conversations from reply trees.
 
-Messages point at the message they reply to. Each round of self-joins doubles how far up every message can see, so all
-root-to-leaf paths are known after log2(depth) rounds. Branches of a tree are ranked by their mean score and each chosen
-path is formatted as one conversation with a mask over what the model is to learn.
+Messages point at the message they reply to. Each round of self-joins doubles how far up every message sees: its ancestor
+2^k steps up and the sum of scores as far as there, three numbers, whatever the depth. After log2(depth) rounds all depths
+and mean scores are known and branches are ranked by them. The messages of the chosen branches alone are then listed, from
+the leaf up: with the largest jump first, each message listed adds the one that many steps above it, so every message of a
+path comes up once. Each path is formatted as one conversation with a mask over what the model is to learn.
 """
 
 from __future__ import annotations
@@ -65,25 +67,63 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def reply_paths(messages: DataFrame) -> DataFrame:
-    """(tree, leaf, path, score): each root-to-leaf path of ``messages`` (tree, msg, parent, score) with its mean score.
+def unique_messages(messages: DataFrame) -> DataFrame:
+    """(tree, msg, parent, score, role, text): of rows alike in tree and msg the least by (parent, score, role, text)."""
+    first = F.min(F.struct("parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
+    return messages.groupBy("tree", "msg").agg(first.alias("m")).select("tree", "msg", "m.*")
+
 
-    A message whose parent is null or missing is a root; a null score counts as 0; messages on a cycle have no root and so
-    no path. (tree, msg) must be unique.
+def climbed(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(tree, msg, depth, score) of each message of ``messages`` (tree, msg, parent, score) that has a root, with the sum of
+    scores from its root to itself; and for k = 0, 1, ... (tree, msg, up): the message 2^k steps up.
+
+    A message whose parent is null or missing is a root; messages on a cycle, or under one, have none. What is done isn't
+    written again: round k writes the messages that are 2^k deep or deeper.
     """
-    ids = messages.select("tree", F.col("msg").alias("parent"), F.lit(True).alias("known"))
-    state = messages.select("tree", "msg", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
-    state = state.join(ids, ["tree", "parent"], "left")
-    state = state.select("tree", "msg", F.when(F.col("known"), F.col("parent")).alias("up"), F.array("msg").alias("path"), "score")
-    state, open_before = write_table(state, "paths"), None
-    while (still := state.filter("up IS NOT NULL").count()) and still != open_before:
-        above = state.select("tree", F.col("msg").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.col("score").alias("score2"))
-        joined = state.filter("up IS NOT NULL").join(above, ["tree", "up"])
-        joined = joined.select("tree", "msg", F.col("up2").alias("up"), F.concat("path2", "path").alias("path"), (F.col("score") + F.col("score2")).alias("score"))
-        state, open_before = write_table(state.filter("up IS NULL").unionByName(joined), "paths"), still
+    ids = messages.select("tree", F.col("msg").alias("up"), F.lit(True).alias("known"))
+    state = messages.select("tree", "msg", F.col("parent").alias("up"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("total"))
+    state = write_table(state.join(ids, ["tree", "up"], "left").select("tree", "msg", F.when(F.col("known"), F.col("up")).alias("up"), "steps", "total"), "jumps")
+    done, jumps, before = None, [], None
+    while True:
+        ended = state.filter("up IS NULL")
+        done = ended if done is None else done.unionByName(ended)
+        state = state.filter("up IS NOT NULL")
+        still = state.count()
+        if not still or still == before:
+            return done.select("tree", "msg", F.col("steps").alias("depth"), F.col("total").alias("score")), jumps
+        before = still
+        jumps.append(state.select("tree", "msg", "up"))
+        above = done.unionByName(state).select("tree", F.col("msg").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"))
+        joined = state.join(above, ["tree", "up"])
+        state = write_table(joined.select("tree", "msg", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("total") + F.col("total2")).alias("total")), "jumps")
+
+
+def ranked_leaves(messages: DataFrame, depths: DataFrame, best: int | None) -> DataFrame:
+    """(tree, leaf, depth, score, rank) of the best leaves by the mean score of their path; a leaf has no replies."""
     inner = messages.select("tree", F.col("parent").alias("msg")).filter("msg IS NOT NULL").distinct()
-    leaves = state.filter("up IS NULL").join(inner, ["tree", "msg"], "left_anti")
-    return leaves.select("tree", F.col("msg").alias("leaf"), "path", (F.col("score") / F.size("path")).alias("score"))
+    leaves = depths.join(inner, ["tree", "msg"], "left_anti")
+    return best_paths(leaves.select("tree", F.col("msg").alias("leaf"), "depth", (F.col("score") / F.col("depth")).alias("score")), best)
+
+
+def listed(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(tree, leaf, rank, at, msg): the messages of the paths of ``leaves`` (tree, leaf, depth, rank), at 1 being the root."""
+    found = write_table(leaves.select("tree", "leaf", "rank", F.col("depth").alias("at"), F.col("leaf").alias("msg")), "path")
+    for k in reversed(range(len(jumps))):
+        # only what is deep enough has a message so far up
+        more = found.filter(F.col("at") > 2**k).join(jumps[k], ["tree", "msg"]).select("tree", "leaf", "rank", (F.col("at") - 2**k).alias("at"), F.col("up").alias("msg"))
+        found = found.unionByName(write_table(more, "path"))
+    return found
+
+
+def reply_paths(messages: DataFrame) -> DataFrame:
+    """(tree, leaf, path, score): each root-to-leaf path of ``messages`` (tree, msg, parent, score) with its mean score, for
+    trees whose paths are short enough to stand in one row. Null scores count as 0, repeated rows once, and messages on a
+    cycle have no root and so no path."""
+    one = write_table(unique_messages(messages.select("tree", "msg", "parent", "score", F.lit("").alias("role"), F.lit("").alias("text"))), "messages")
+    depths, jumps = climbed(one)
+    leaves = write_table(ranked_leaves(one, depths, None), "leaves")
+    paths = listed(leaves, jumps).groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(F.struct("at", "msg"))).alias("p"))
+    return paths.join(leaves, ["tree", "leaf"]).select("tree", "leaf", F.col("p.msg").alias("path"), "score")
 
 
 def best_paths(paths: DataFrame, best: int | None, salts: int = 32) -> DataFrame:
@@ -100,34 +140,56 @@ def best_paths(paths: DataFrame, best: int | None, salts: int = 32) -> DataFrame
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Conversations from turns sorted by (tree, leaf, at); one conversation is held at a time."""
+
+    def out(key: tuple, turns: list[tuple[str, str]]) -> pa.RecordBatch:
+        text, mask = format_turns(turns)
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*key, text, mask), kinds, strict=True)], names=["tree", "leaf", "rank", "formatted", "mask"])
+
+    now, turns = None, []
     for b in batches:
-        texts, masks = [], []
-        for turns in b.column(3).to_pylist():
-            t, m = format_turns([(x["role"], x["text"]) for x in turns])
-            texts.append(t)
-            masks.append(m)
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(texts, pa.string()), pa.array(masks, pa.list_(pa.int64()))], names=["tree", "leaf", "rank", "formatted", "mask"])
+        for *key, role, text in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 4, 5)), strict=True):
+            if key != now:
+                if turns:
+                    yield out(now, turns)
+                now, turns = key, []
+            turns.append((role, text))
+    if turns:
+        yield out(now, turns)
+
+
+def format_unique(messages: DataFrame, best: int | None) -> DataFrame:
+    """As ``format_trees``, for messages of which no two are alike in (tree, msg) and none has a null score, role or text."""
+    depths, jumps = climbed(messages)
+    steps = listed(ranked_leaves(messages, depths, best), jumps)
+    turns = steps.join(messages.select("tree", "msg", "role", "text"), ["tree", "msg"]).select("tree", "leaf", "rank", "at", "role", "text")
+    ordered = turns.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "at")
+    return ordered.mapInArrow(_format, "tree string, leaf long, rank int, formatted string, mask array<long>")
 
 
 def format_trees(messages: DataFrame, best: int | None = 1) -> DataFrame:
     """(tree, leaf, rank, formatted, mask): the best branches of each reply tree of ``messages`` (tree, msg, parent, score,
-    role, text; more columns are ignored), each as one conversation. Null role and text count as empty. An empty table
-    gives an empty result."""
-    messages = messages.select("tree", "msg", "parent", "score", "role", "text")
-    chosen = best_paths(reply_paths(messages), best)
-    steps = chosen.select("tree", "leaf", "rank", F.posexplode("path").alias("at", "msg"))
-    said = messages.select("tree", "msg", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = steps.join(said, ["tree", "msg"]).groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list(F.struct("at", "role", "text"))).alias("turns"))
-    return turns.select("tree", "leaf", "rank", "turns").mapInArrow(_format, "tree string, leaf long, rank int, formatted string, mask array<long>")
+    role, text; more columns are ignored), each as one conversation. Null role and text count as empty, a null score as 0; of
+    rows alike in tree and msg the least by (parent, score, role, text) stays. An empty table gives an empty result."""
+    return format_unique(write_table(unique_messages(messages.select("tree", "msg", "parent", "score", "role", "text")), "messages"), best)
 
 
 def linear_messages(conversations: DataFrame) -> DataFrame:
     """``conversations`` (conv_id, turn, role, text) as reply trees of one branch: each row answers the one before it by
-    (turn, role, text). A null conv_id is a conversation of its own."""
-    tree = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))
-    rows = conversations.select(tree.alias("tree"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("msg", F.row_number().over(W.partitionBy("tree").orderBy("turn", "role", "text")).cast("long"))
-    return rows.select("tree", "msg", F.when(F.col("msg") > 1, F.col("msg") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
+    (turn, role, text). Null conv_id, role and text count as empty, and null turns come first.
+
+    Rows are dealt by ranges of the whole order and numbered in it, so a conversation of very many turns has many tasks. A
+    row names the one before it as its parent; the first one of a tree thus names a message that its tree lacks.
+    """
+    rows = conversations.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("tree"), F.col("turn").cast("long").alias("turn"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
+    order = ["tree", "turn", "role", "text"]
+    placed = write_table(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "placed")
+    part, within = F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part).count()
+    starts = sizes.select("part", (F.sum("count").over(W.orderBy("part")) - F.col("count")).alias("start"))  # a row a range
+    out = placed.select("*", part).join(F.broadcast(starts), "part").withColumn("msg", F.col("start") + within)
+    return out.select("tree", "msg", (F.col("msg") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,11 +206,11 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def conversation_digests(conversations: DataFrame) -> DataFrame:
-    """What is read back from the formatted conversations, and from one more, -1, whose texts are full of marks."""
+    """What is read back from the formatted conversations, and from one more, -1, whose texts are full of marks; rows of a
+    conversation -1 that the table has already are turns of it."""
     extra = conversations.sparkSession.sql("SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, '</s>[INST] ok [/INST]' AS text UNION ALL SELECT -1L, 1L, 'assistant', '</s>[INST] ok [/INST]'")
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra)
-    # numbered once and kept: every later step must see the same order of rows
-    formatted = format_trees(write_table(linear_messages(rows), "messages"), best=1)
+    formatted = format_unique(write_table(linear_messages(rows), "messages"), best=1)
     out = formatted.select("tree", "formatted", "mask").mapInArrow(_read_back, "tree string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     return out.select(F.expr("try_cast(tree AS bigint)").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
