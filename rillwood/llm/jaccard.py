@@ -3,8 +3,12 @@
 A set of n shingles that is similar to another shares at least 4/5 of its own with it, so in any one order of all shingles
 its first n - ceil(4n/5) + 1 hold one that both have. Those are its prefix, and sets meet in the bucket of each prefix
 shingle. Shingles that many documents have come last in the order, so buckets are small; which ones those are is counted on
-a sample, and no pair depends on it. Bounds by size, place and a
-sketch of the whole set, none of which loses a similar pair, leave few pairs of a bucket, and all of those are verified.
+a sample, and no pair depends on it. Bounds by size, place and a sketch of the whole set, none of which loses a similar
+pair, leave few pairs of a bucket, and all of those are verified.
+
+No task holds more than ``LIMIT`` rows of a bucket. With one more shingle in the prefix similar sets share one more of it, so
+a bucket over the limit is cut by the next shingle of each set's longer prefix, ``LEVELS`` times. What is still too large, or
+has few sets that aren't joined already, is cut into blocks, and each task has the rows of two blocks.
 """
 
 from __future__ import annotations
@@ -21,8 +25,8 @@ from .common import write_table
 
 #: Documents that the frequent shingles are counted on, and how many of those must have one.
 SAMPLE, FREQUENT = 10_000, 3
-#: Hubs in turn that the members of a likely group are verified against.
-HUBS = 3
+#: Rows of a bucket beyond which it is cut, and how often that is done by one more shingle.
+LIMIT, LEVELS = 2_048, 2
 #: Bits of the filter by which texts that no pair asks for are passed over.
 FILTER = 1 << 22
 _CHUNK = 1 << 16
@@ -49,15 +53,15 @@ def digest(members: np.ndarray) -> bytes:
 
 
 def prefix(members: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first n - ceil(4n/5) + 1 members by (count, hash). Sets of three or fewer are similar to equal ones only and
-    need none."""
+    """The first n - ceil(4n/5) + 1 members by (count, hash), and ``LEVELS`` more. Sets of three or fewer are similar to
+    equal ones only and need none."""
     n = len(members)
     if n < 4:
         return members[:0]
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, members), len(frequent) - 1)
         members = members[np.argsort(np.where(frequent[at] == members, counts[at], 0), kind="stable")]
-    return members[: n - (4 * n + 4) // 5 + 1]
+    return members[: n - (4 * n + 4) // 5 + 1 + LEVELS]
 
 
 def sketch(members: np.ndarray) -> bytes:
@@ -126,47 +130,98 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int)
     return both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
-def hub_links(groups: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(a, b): verified links of members to a hub of their likely group; groups: (digest, n, grp). Members that the first
-    hub isn't similar to try the next one, which is one of them. No member has two links, and no hub has one to a later."""
-    left, found = groups, groups.sparkSession.createDataFrame([], _PAIRS)
-    for _ in range(HUBS):
-        hubs = left.groupBy("grp").agg(F.min(F.struct("digest", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("grp", F.col("hub.digest").alias("b"), F.col("hub.n").alias("m"))
-        pairs = write_table(left.join(hubs, "grp").filter("digest <> b").withColumnRenamed("digest", "a"), "pairs")
-        if pairs.isEmpty():
-            break
-        likely = pairs.filter("5 * least(n, m) >= 4 * greatest(n, m)").select("a", "b")
-        links = write_table(verified(likely, docs, nodes, shingle), "links")
-        found = found.unionByName(links)
-        left = pairs.join(links.select("a"), "a", "left_anti").select(F.col("a").alias("digest"), "n", "grp")
-    return found
-
-
-def candidates(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(a, b): pairs of digests of which no similar one is missing but those that ``links`` (a, b), to hubs, join already.
-    nodes: (digest, n, prefix, sketch). Pairs of a bucket are told by hashes of digests, so one too many at worst is verified.
-    Sketches, which bound the members that are in one set only, leave few of them."""
-    key = lambda c: F.xxhash64(c)
-    joined = nodes.join(links.select(F.col("a").alias("digest"), "b"), "digest", "left")
-    posts = joined.select(F.posexplode("prefix").alias("pos", "token"), key("digest").alias("key"), key(F.coalesce("b", "digest")).alias("comp"), "n")
+def _bucketed(posts: DataFrame, limit: int | None) -> DataFrame:
+    """(x, y, hot): the pairs of keys of the buckets of posts (token, n, pos, key, comp), and the tokens of buckets over the
+    limit, of which no pair is made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # rows of the last bucket so far
+        held, over = np.empty((5, 0), np.int64), None  # rows of the last bucket so far; its token if it is over the limit
         for b in batches:
-            if b.num_rows == 0:
-                continue
             rows = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("token", "n", "pos", "key", "comp")])
-            rows = rows if held is None else np.hstack([held, rows])
-            last = int(np.flatnonzero(rows[0] != rows[0, -1])[-1]) + 1 if rows[0, 0] != rows[0, -1] else 0
-            yield from _pairs(rows[:, :last])
+            if over is not None:
+                rows = rows[:, rows[0] != over]
+            rows = np.hstack([held, rows])
+            if not rows.size:
+                continue
+            over, last = None, int(np.searchsorted(rows[0], rows[0, -1]))
+            yield from _within(rows[:, :last], limit)
             held = rows[:, last:]
-        if held is not None:
-            yield from _pairs(held)
+            if limit and held.shape[1] > limit:
+                over = int(held[0, 0])
+                yield _hot([over])
+                held = held[:, :0]
+        yield from _within(held, limit)
+
+    return posts.select("token", "n", "pos", "key", "comp").repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(run, "x long, y long, hot long").distinct()
+
+
+def _hot(tokens) -> pa.RecordBatch:
+    t = pa.array(np.array(tokens, np.int64))
+    return pa.RecordBatch.from_arrays([pa.nulls(len(t), pa.int64()), pa.nulls(len(t), pa.int64()), t], names=["x", "y", "hot"])
+
+
+def _within(rows: np.ndarray, limit: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs of whole buckets, and the tokens of those over the limit."""
+    if limit and rows.size:
+        tokens, sizes = np.unique(rows[0], return_counts=True)
+        if (large := sizes > limit).any():
+            yield _hot(tokens[large])
+            rows = rows[:, ~np.isin(rows[0], tokens[large])]
+    for pairs in _pairs(rows):
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())], names=["x", "y", "hot"])
+
+
+def bucket_pairs(rows: DataFrame, limit: int = LIMIT, levels: int = LEVELS) -> DataFrame:
+    """(x, y): pairs of keys of ``rows`` (key, comp, n, prefix), of which no similar one is missing but those of one comp."""
+    own = F.expr("cast(n - (4 * n + 4) div 5 + 1 as int)")
+    posts = rows.select("n", "key", "comp", F.posexplode(F.slice("prefix", F.lit(1), own)).alias("pos", "token"))
+    found = None
+    for level in range(levels + 1):
+        out = write_table(_bucketed(posts, limit), "found")
+        part = out.filter("hot IS NULL").select("x", "y")
+        found = part if found is None else found.unionByName(part)
+        hot = out.filter("hot IS NOT NULL").select(F.col("hot").alias("token"))
+        if hot.isEmpty():
+            break
+        held = write_table(posts.join(hot, "token"), "hot")
+        shape = held.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max(F.struct("c", "comp")).alias("big"), F.sum("c").alias("m"))
+        # blocks of the largest comp, whose rows needn't meet, and of all others
+        shape = shape.select("token", F.col("big.comp").alias("big"), F.ceil(F.col("big.c") * 2 / limit).alias("a"), F.ceil((F.col("m") - F.col("big.c")) * 2 / limit).alias("o")).filter("o > 0")
+        shape = write_table(shape, "shape")
+        now = F.lit(True) if level == levels else F.col("o") <= 4
+        of_big = F.col("comp") == F.col("big")
+        block = F.pmod(F.xxhash64("key"), F.when(of_big, F.col("a")).otherwise(F.col("o"))) + F.when(of_big, F.col("o")).otherwise(F.lit(0))
+        met = F.when(of_big, F.sequence(F.lit(0).cast("long"), F.col("o") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("o") + F.col("a") - 1))
+        cut = held.join(shape.filter(now), "token").withColumn("own", block).withColumn("other", F.explode(met))
+        cut = cut.withColumn("token", F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")))
+        found = found.unionByName(write_table(_bucketed(cut, None).select("x", "y"), "found"))
+        later = shape.filter(~now).select("token")
+        if level == levels or later.isEmpty():
+            break
+        # the last shingle's place is pos + level; those after it, as far as a prefix that is level + 1 longer
+        at = F.col("pos") + F.lit(level)
+        longer = held.join(later, "token").select("token", "pos", "key").join(rows, "key")
+        after = F.slice("prefix", at + 2, F.greatest(F.lit(0), own + F.lit(level) - at))
+        posts = longer.select("n", "key", "comp", "token", "pos", F.posexplode(after).alias("i", "next"))
+        posts = posts.select("n", "key", "comp", (F.col("pos") + F.col("i")).cast("int").alias("pos"), F.xxhash64("token", "next").alias("token"))
+    return found.distinct()
+
+
+def candidates(nodes: DataFrame, stars: DataFrame) -> DataFrame:
+    """(a, b): pairs of digests of which no similar one is missing but those of one star of ``stars`` (node, least).
+    nodes: (digest, n, prefix). Pairs of a bucket are told by hashes of digests, so one too many at worst is verified."""
+    key = lambda c: F.xxhash64(c)
+    joined = nodes.join(stars.select(F.col("node").alias("digest"), "least"), "digest", "left")
+    found = bucket_pairs(joined.select(key("digest").alias("key"), key(F.coalesce("least", "digest")).alias("comp"), "n", "prefix"))
+    keys = nodes.filter("n > 3").select(key("digest").alias("key"), "digest")
+    return found.join(keys.toDF("x", "a"), "x").join(keys.toDF("y", "b"), "y").select("a", "b")
+
 
-    found = posts.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(run, "x long, y long").distinct()
-    keys = nodes.filter("n > 3").select(key("digest").alias("key"), "digest", "n", "sketch")
-    end = lambda k, d, n, s: keys.toDF(k, d, n, s)
-    ends = found.join(end("x", "a", "nx", "sx"), "x").join(end("y", "b", "ny", "sy"), "y").select("a", "b", F.col("nx") + F.col("ny"), "sx", "sy")
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs of digests (a, b) that sizes and sketches, which bound the members that are in one set only, don't rule
+    out; nodes: (digest, n, sketch)."""
+    end = lambda k, n, s: nodes.select(F.col("digest").alias(k), F.col("n").alias(n), F.col("sketch").alias(s))
+    ends = pairs.join(end("a", "nx", "sx"), "a").join(end("b", "ny", "sy"), "b").filter("5 * least(nx, ny) >= 4 * greatest(nx, ny)").select("a", "b", F.col("nx") + F.col("ny"), "sx", "sy")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,7 +232,7 @@ def candidates(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return ends.mapInArrow(near, _PAIRS)
 
 
-def _pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _pairs(rows: np.ndarray) -> Iterator[np.ndarray]:
     """Keys of the pairs in the buckets of rows (token, n, pos, key, comp), sorted, that can be similar and aren't joined yet.
     A pair's first shared prefix shingle passes the bound by place, so it is found in that bucket if in no other."""
     if not rows.size:
@@ -197,8 +252,7 @@ def _pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
             size += len(x)
         if held and (not len(at) or size > 200_000):
-            out = np.unique(np.concatenate(held), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["x", "y"])
+            yield np.unique(np.concatenate(held), axis=0)
             held, size = [], 0
         if not len(at):
             return

@@ -5,8 +5,9 @@ and every fingerprint of the shard searches it, following only edges within the
 found become a spanning star for each group of a shard, and stars are joined to components by alternating large and small
 stars.
 
-Sharding loses no link. 64 bits are cut into radius + 2 blocks, so two fingerprints within the radius agree in at least two
-of them; every pair of blocks is a table, and a shard is the fingerprints with the same bits in the two blocks of a table.
+Sharding loses no link. 64 bits are cut into radius + j blocks, so two fingerprints within the radius agree in at least j of
+them; every choice of j blocks is a table, and a shard is the fingerprints with the same bits in the blocks of a table. j
+grows with the number of fingerprints, so that a shard has a tree of a useful size whatever the input.
 A shard over ``SHARD_LIMIT`` is cut again: its fingerprints differ in the other bits only, of which radius + 1 blocks are
 made, and again two within the radius agree in one. A shard that is still too large after ``REFINEMENTS`` such cuts becomes
 several trees of bounded size, which are broadcast in bounded waves to the fingerprints of that shard.
@@ -31,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import write_table
-from .jaccard import candidates, digest, frequent_shingles, hashes, hub_links, lists, prefix, sketch, verified, whole_set
+from .jaccard import candidates, digest, frequent_shingles, hashes, lists, possible, prefix, sketch, verified, whole_set
 
 #: Fingerprints of a shard beyond which it is cut again, and how often that is tried.
 SHARD_LIMIT, REFINEMENTS = 20_000, 2
+#: Fingerprints of an average shard beyond which its key takes one more block of bits.
+SHARD_MEAN = 4_096
 #: Fingerprints in the trees of one broadcast wave (16 bytes each).
 WAVE = 400_000
 
@@ -68,18 +71,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t.as_py(), shingle, lanes) for t in b.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), column(matrix(pa.array(fps, pa.binary())))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id long, fp {sql_type(lanes)}")
+
+
+def sql_type(lanes: int) -> str:
+    """Fingerprints of one lane are numbers, by which joins and sums are hashed in place."""
+    return "long" if lanes == 1 else "binary"
 
 
 def matrix(fps: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Rows of fingerprints as a (rows, lanes) array of unsigned 64-bit numbers."""
+    if pa.types.is_int64(fps.type):
+        return fps.to_numpy().view(np.uint64).reshape(-1, 1)
     raw = fps.to_pylist()
     return np.frombuffer(b"".join(raw), ">u8").astype(np.uint64).reshape(len(raw), -1)
 
 
-def binary(fps: np.ndarray) -> pa.Array:
+def column(fps: np.ndarray) -> pa.Array:
+    if fps.shape[1] == 1:
+        return pa.array(np.ascontiguousarray(fps[:, 0]).view(np.int64))
     raw, size = np.ascontiguousarray(fps).astype(">u8").tobytes(), 8 * fps.shape[1]
     return pa.array([raw[i : i + size] for i in range(0, len(raw), size)], pa.binary())
 
@@ -160,6 +172,27 @@ def shard_links(key: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarr
     return fps[moved], fps[label[moved]]
 
 
+def shard_nearest(key: np.ndarray, fps: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, another of its group): the ``most`` nearest ones within the radius for rows sorted by key."""
+    first = np.concatenate([[True], key[1:] != key[:-1]])
+    root = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+    held = np.bincount(root, minlength=len(key))[root] > 1
+    if not held.any():
+        return fps[:0], fps[:0]
+    fps, root = fps[held], (np.cumsum(held) - 1)[root[held]]
+    kept = np.empty((3, 0), np.int64)
+    for q, node in BKForest(fps, root).search(fps, root, radius):
+        other = q != node
+        q, node = q[other], node[other]
+        kept = np.hstack([kept, np.stack([q, distance(fps[q], fps[node]), node])])
+        kept = kept[:, np.lexsort((kept[2] ^ kept[0], kept[1], kept[0]))]  # of equally near ones not the same for all
+        start = np.concatenate([[True], kept[0, 1:] != kept[0, :-1]])[: kept.shape[1]]
+        place = np.arange(kept.shape[1]) - np.maximum.accumulate(np.where(start, np.arange(kept.shape[1]), 0))
+        kept = kept[:, place < most]
+    a, b = np.unique(np.sort(kept[[0, 2]], axis=0), axis=1) if kept.size else kept[:2]
+    return fps[a], fps[b]
+
+
 def _cut(bits: list[int], parts: int) -> list[list[int]]:
     return [list(map(int, x)) for x in np.array_split(np.array(bits, dtype=int), parts)]
 
@@ -167,25 +200,30 @@ def _cut(bits: list[int], parts: int) -> list[list[int]]:
 @dataclass(frozen=True)
 class Plan:
     """How fingerprints go to shards: the bits of each table, and into how many blocks a further cut makes of the rest
-    (0: none is made)."""
+    (0: none is made). Links join groups of a shard in stars, or, with ``nearest``, each fingerprint to so many nearest ones."""
 
     lanes: int
     radius: int
     tables: tuple[tuple[int, ...], ...]
     cuts: int
+    nearest: int = 0
 
     @classmethod
-    def exact(cls, radius: int) -> Plan:
-        """64 bits; no pair within the radius is lost."""
-        blocks = _cut(list(range(64)), radius + 2)
-        return cls(1, radius, tuple(tuple(a + b) for a, b in combinations(blocks, 2)), radius + 1)
+    def exact(cls, radius: int, rows: int = 0) -> Plan:
+        """64 bits; no pair within the radius is lost. The more rows, the more blocks are in a shard's key."""
+        for take in range(1, 4):
+            blocks = _cut(list(range(64)), radius + take)
+            tables = tuple(tuple(sorted(sum(c, []))) for c in combinations(blocks, take))
+            if rows <= SHARD_MEAN << min(map(len, tables)):
+                break
+        return cls(1, radius, tables, radius + 1)
 
     @classmethod
     def sampled(cls, lanes: int, radius: int, tables: int, bits: int, seed: int = 11) -> Plan:
         """``tables`` draws of ``bits`` bits: a pair with a share p of its bits apart meets with probability
         1 - (1 - (1 - p) ** bits) ** tables."""
         rng = random.Random(seed)
-        return cls(lanes, radius, tuple(tuple(sorted(rng.sample(range(64 * lanes), bits))) for _ in range(tables)), 0)
+        return cls(lanes, radius, tuple(tuple(sorted(rng.sample(range(64 * lanes), bits))) for _ in range(tables)), 0, 2)
 
     def bits(self, path: tuple[int, ...]) -> list[int]:
         have = list(self.tables[path[0]])
@@ -222,10 +260,10 @@ def _sharded(rows: DataFrame, plan: Plan, refined: bool) -> DataFrame:
                     name = pa.array([".".join(map(str, path))] * len(fps), pa.string())
                     yield pa.RecordBatch.from_arrays([name, pa.array(plan.key(fps, path)), own], names=["path", "key", "fp"])
 
-    return rows.mapInArrow(run, "path string, key long, fp binary")
+    return rows.mapInArrow(run, f"path string, key long, fp {sql_type(plan.lanes)}")
 
 
-def _linked(shards: DataFrame, radius: int, limit: int) -> DataFrame:
+def _linked(shards: DataFrame, plan: Plan, limit: int) -> DataFrame:
     """(a, b, path, key): a link for each fingerprint of a group but its least, and the fingerprints a of shards over the
     limit, with b null. Rows come sorted by shard, so a task holds one batch and one shard of the limit at most."""
 
@@ -240,21 +278,21 @@ def _linked(shards: DataFrame, radius: int, limit: int) -> DataFrame:
             other = np.flatnonzero(key != key[-1])
             last = int(other[-1]) + 1 if len(other) else 0
             if last:  # shards before the last one are whole
-                yield from _links_of(t.slice(0, last), radius, limit, over)
+                yield from _links_of(t.slice(0, last), plan, limit, over)
                 over = None
             held = t.slice(last)
             if len(held) > limit:
                 over = int(key[-1])
-                yield from _links_of(held, radius, limit, over)
+                yield from _links_of(held, plan, limit, over)
                 held = None
         if held is not None:
-            yield from _links_of(held, radius, limit, over)
+            yield from _links_of(held, plan, limit, over)
 
     ordered = shards.repartition("key").sortWithinPartitions("key", "fp")
-    return ordered.mapInArrow(run, "a binary, b binary, path string, key long")
+    return ordered.mapInArrow(run, "a {0}, b {0}, path string, key long".format(sql_type(plan.lanes)))
 
 
-def _links_of(t: pa.Table, radius: int, limit: int, over: int | None) -> Iterator[pa.RecordBatch]:
+def _links_of(t: pa.Table, plan: Plan, limit: int, over: int | None) -> Iterator[pa.RecordBatch]:
     """Links of the shards of sorted rows; those over the limit, and what follows of the one named ``over``, are left."""
     names = ["a", "b", "path", "key"]
     key = t["key"].to_numpy()
@@ -267,30 +305,31 @@ def _links_of(t: pa.Table, radius: int, limit: int, over: int | None) -> Iterato
     if large.any():
         left = t.filter(pa.array(large)).combine_chunks()
         for b in left.to_batches():
-            yield pa.RecordBatch.from_arrays([b["fp"], pa.nulls(len(b), pa.binary()), b["path"], b["key"]], names=names)
+            yield pa.RecordBatch.from_arrays([b["fp"], pa.nulls(len(b), b["fp"].type), b["path"], b["key"]], names=names)
     if not large.all():
-        a, b = shard_links(key[~large], matrix(t["fp"].filter(pa.array(~large))), radius)
-        yield pa.RecordBatch.from_arrays([binary(a), binary(b), pa.nulls(len(a), pa.string()), pa.nulls(len(a), pa.int64())], names=names)
+        own = key[~large], matrix(t["fp"].filter(pa.array(~large)))
+        a, b = shard_nearest(*own, plan.radius, plan.nearest) if plan.nearest else shard_links(*own, plan.radius)
+        yield pa.RecordBatch.from_arrays([column(a), column(b), pa.nulls(len(a), pa.string()), pa.nulls(len(a), pa.int64())], names=names)
 
 
-def _by_broadcast(rest: DataFrame, radius: int) -> DataFrame:
+def _by_broadcast(rest: DataFrame, lanes: int, radius: int) -> DataFrame:
     """(a, b): links within shards that cuts don't make small enough; rest: (path, key, fp). Waves of trees of bounded size
     are broadcast, and each fingerprint searches those of its own shards."""
     spark = rest.sparkSession
-    n_waves = rest.count() // WAVE + 1
+    n_waves, schema = rest.count() // WAVE + 1, "a {0}, b {0}".format(sql_type(lanes))
     found = None
     for w in range(n_waves):
         part = rest.filter(F.pmod(F.xxhash64("path", "key", "fp"), F.lit(n_waves)) == w).select("key", "fp").distinct().orderBy("key", "fp")
         keys, fps = [], []
         for r in part.toLocalIterator():
             keys.append(r[0])
-            fps.append(bytes(r[1]))
+            fps.append(r[1] if lanes == 1 else bytes(r[1]))
         if not keys:
             continue
         key = np.array(keys, np.int64)
         first = np.concatenate([[True], key[1:] != key[:-1]])
         root = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
-        trees = spark.sparkContext.broadcast((BKForest(matrix(pa.array(fps, pa.binary())), root), dict(zip(key[first].tolist(), np.flatnonzero(first).tolist(), strict=True))))
+        trees = spark.sparkContext.broadcast((BKForest(matrix(pa.array(fps, pa.int64() if lanes == 1 else pa.binary())), root), dict(zip(key[first].tolist(), np.flatnonzero(first).tolist(), strict=True))))
 
         def run(batches: Iterator[pa.RecordBatch], trees=trees) -> Iterator[pa.RecordBatch]:
             forest, roots = trees.value
@@ -306,30 +345,39 @@ def _by_broadcast(rest: DataFrame, radius: int) -> DataFrame:
                     x = np.concatenate([forest.fps[nodes[:, 0]], own[queries]])
                     y = np.concatenate([forest.fps[nodes[:, 1]], forest.fps[least[queries]]])
                     apart = (x != y).any(axis=1)
-                    yield pa.RecordBatch.from_arrays([binary(x[apart]), binary(y[apart])], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([column(x[apart]), column(y[apart])], names=["a", "b"])
 
-        links = write_table(rest.select("key", "fp").mapInArrow(run, "a binary, b binary").distinct(), "wave")
+        links = write_table(rest.select("key", "fp").mapInArrow(run, schema).distinct(), "wave")
+        trees.unpersist()
         found = links if found is None else found.unionByName(links)
-    return found if found is not None else spark.createDataFrame([], "a binary, b binary")
+    return found if found is not None else spark.createDataFrame([], schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, least): the least node that each node of (a, b) can reach, by alternating large and small stars; every node
-    of an edge is there. Joins are by node, sums are partial first, and each round is written out."""
+    of an edge is there. Sums are partial first and written out before they are joined, so both sides of a join are
+    shuffles alone and the rows of a hub can be split."""
     small = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    small, before = write_table(small, "edges"), None
+    small = write_table(small, "edges")
     while True:
-        seen = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == before:
+        roles = small.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(small.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        roles = roles.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if roles.filter("up + down > 1 AND up > 0").isEmpty():  # all are stars: no node has two links up, or one up and one down
             return small.select(F.col("u").alias("node"), F.col("v").alias("least")).unionByName(small.select(F.col("v").alias("node"), F.col("v").alias("least")).distinct())
-        before = seen
         both = small.unionByName(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.filter("u > v")
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        star = down.join(low, "u")
-        small = write_table(star.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        low = write_table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = write_table(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct(), "large")
+        low = write_table(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        star = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = write_table(star.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+
+
+def named_components(nodes: DataFrame, reach: DataFrame, key: str) -> DataFrame:
+    """(key, component_id) of all ``nodes`` (key, first_id): the least first_id of the component; reach: (node, least)."""
+    named = write_table(nodes.select(key, "first_id").join(reach.withColumnRenamed("node", key), key), "reached")
+    ids = write_table(named.groupBy("least").agg(F.min("first_id").alias("component_id")), "ids")
+    linked = named.join(ids, "least").select(key, "component_id")
+    return write_table(nodes.select(key, "first_id").join(linked, key, "left").select(key, F.coalesce("component_id", "first_id").alias("component_id")), "named")
 
 
 def link_fingerprints(fps: DataFrame, plan: Plan, limit: int = SHARD_LIMIT, refinements: int = REFINEMENTS) -> DataFrame:
@@ -337,13 +385,13 @@ def link_fingerprints(fps: DataFrame, plan: Plan, limit: int = SHARD_LIMIT, refi
     found, rest = [], _sharded(fps.select("fp"), plan, False)
     refinements = refinements if plan.cuts else 0
     for k in range(refinements + 1):
-        out = write_table(_linked(rest, plan.radius, limit), "links")
+        out = write_table(_linked(rest, plan, limit), "links")
         found.append(out.filter("b IS NOT NULL").select("a", "b"))
         left = out.filter("b IS NULL").select("path", "key", F.col("a").alias("fp"))
         if left.isEmpty():
             break
         if k == refinements:
-            found.append(_by_broadcast(write_table(left, "large"), plan.radius))
+            found.append(_by_broadcast(write_table(left, "large"), plan.lanes, plan.radius))
         else:
             rest = _sharded(left.select("path", "fp"), plan, True)
     edges = found[0]
@@ -362,17 +410,13 @@ def near_groups(
     other; repeated ids keep their rows; null ids never name a component unless all ids of it are null. An empty table
     gives an empty result. Other columns aren't read.
     """
-    plan = plan or Plan.exact(4)
-    found = write_table(fingerprints(docs, id_col, text_col, shingle, plan.lanes), "fingerprints")
+    found = write_table(fingerprints(docs, id_col, text_col, shingle, plan.lanes if plan else 1), "fingerprints")
     nodes = write_table(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    reach = components(link_fingerprints(nodes, plan, limit, refinements)).withColumnRenamed("node", "fp")
-    named = nodes.join(reach, "fp")
-    ids = named.groupBy("least").agg(F.min("first_id").alias("component_id"))
-    linked = named.join(ids, "least").select("fp", "component_id")
-    every = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    every = write_table(every, "named")  # so that the last join stands alone and a fingerprint of very many rows is split
+    plan = plan or Plan.exact(4, nodes.count())
+    # what is joined last is written first, so that a fingerprint of very many rows is split
+    every = named_components(nodes, components(link_fingerprints(nodes, plan, limit, refinements)), "fp")
     out = found.join(every, "fp")
-    return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16 * plan.lanes, "0").alias("fingerprint"), "component_id")
 
 
 #: Likely groups for whole sets of five-word shingles at a similarity of 0.8 or more: 256 bits, of which pairs just that
@@ -400,21 +444,20 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` with one document of each group of near copies, the one with the smallest id; of rows alike in the id all
     stay or go together. Rows with a null id stay.
 
-    A group is what chains of pairs join whose whole sets of shingles have a Jaccard similarity of 0.8 or more. Links
-    within likely groups of fingerprints are verified first; then a join that misses no pair gives the pairs not joined by
-    those, which are verified too. Texts without words are one group.
+    A group is what chains of pairs join whose whole sets of shingles have a Jaccard similarity of 0.8 or more. BK-trees give
+    each fingerprint its nearest ones, which are verified first; then a join that misses no pair gives the pairs that those
+    links don't join, which are verified too. Texts without words are one group.
     """
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = write_table(shingle_sets(texts, shingle, plan.lanes), "sets")
     nodes = write_table(found.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "nodes")
-    reach = components(link_fingerprints(nodes.select("fp").distinct(), plan)).withColumnRenamed("node", "fp")
-    likely = nodes.join(reach, "fp", "left").select("digest", "n", F.coalesce("least", "fp").alias("grp"))
-    links = hub_links(likely, texts, nodes, shingle)
-    pairs = write_table(candidates(nodes, links), "candidates")
-    links = links.unionByName(verified(pairs, texts, nodes, shingle))
-    named = nodes.join(components(links).withColumnRenamed("node", "digest"), "digest")
-    ids = named.groupBy("least").agg(F.min("first_id").alias("component_id"))
-    linked = named.join(ids, "least").select("digest", "component_id")
-    every = write_table(nodes.join(linked, "digest", "left").select("digest", F.coalesce("component_id", "first_id").alias("component_id")), "named")
-    gone = found.join(every, "digest").filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    reps = write_table(nodes.groupBy("fp").agg(F.min("digest").alias("rep")), "reps")
+    near = link_fingerprints(reps, plan).distinct()
+    near = near.join(reps.toDF("a", "ra"), "a").join(reps.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    near = near.unionByName(nodes.join(reps, "fp").filter("digest <> rep").select(F.col("digest").alias("a"), F.col("rep").alias("b")))
+    stars = write_table(components(verified(write_table(possible(near, nodes), "near"), texts, nodes, shingle)), "stars")
+    more = write_table(possible(candidates(nodes, stars), nodes), "candidates")
+    links = stars.toDF("a", "b").unionByName(verified(more, texts, nodes, shingle))
+    every = named_components(nodes, components(links), "digest")
+    gone = write_table(found.join(every, "digest").filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
     return docs.join(gone, docs[id_col].cast("long") == gone["gone_id"], "left_anti")

@@ -2,7 +2,10 @@
 
 import random
 
-from rillwood.llm import simhash
+import numpy as np
+import pytest
+
+from rillwood.llm import jaccard, simhash
 
 
 def shingles(text, k=5):
@@ -86,3 +89,34 @@ def test_no_pair_is_missed(spark):
 def test_sf001_matches_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == kept_by_brute_force([(r.doc_id, r.text) for r in docs.collect()])
+
+
+@pytest.mark.parametrize(("limit", "levels"), [(10_000, 2), (6, 2), (6, 1), (6, 0), (2, 2)])
+def test_cut_buckets_lose_nothing(spark, limit, levels):
+    """Sets of one crowded universe, so that buckets are over the limit again and again; some rows are joined already."""
+    rng = random.Random(13)
+    sets = []
+    for _ in range(12):
+        base = rng.sample(range(60), rng.randint(8, 30))
+        for _ in range(6):
+            edited = set(base) - set(rng.sample(base, rng.randint(0, 3))) | set(rng.sample(range(60), rng.randint(0, 2)))
+            sets.append(np.array(sorted(edited), np.uint64))
+    none = np.empty(0, np.uint64), np.empty(0, np.int64)
+    comp = [k if k % 4 else 0 for k in range(len(sets))]
+    rows = [(k, comp[k], len(x), [int(v) for v in jaccard.prefix(x, *none)]) for k, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "key long, comp long, n long, prefix array<long>")
+    got = {(r.x, r.y) for r in jaccard.bucket_pairs(df, limit, levels).collect()}
+    members = [set(x.tolist()) for x in sets]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if comp[i] != comp[j] and 5 * len(members[i] & members[j]) >= 4 * len(members[i] | members[j])}
+    assert len(want) > 50 and want <= got
+    assert all(comp[i] != comp[j] for i, j in got)
+
+
+def test_odd_rows(spark):
+    schema = "doc_id long, text string, digest string, fp int, gone_id int, component_id string"
+    texts = [(None, None), (None, "same words of one text here now"), (3, None), (2, ""), (4, " \t"), (5, "same words of one text here now"), (5, "same words of one text here now"), (6, "Same words of one text here now"), (7, "w " * 50_000), (8, "w " * 50_001), (9, "x")]
+    df = spark.createDataFrame([(i, t, "d", 1, 2, "c") for i, t in texts], schema)
+    got = simhash.drop_near_copies(df)
+    assert got.columns == df.columns
+    assert sorted((str(r.doc_id) for r in got.collect())) == ["2", "5", "5", "7", "9", "None", "None"]
+    assert simhash.drop_near_copies(df.limit(0)).count() == 0

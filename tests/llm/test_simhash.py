@@ -40,8 +40,8 @@ def test_fingerprint(text):
     assert int.from_bytes(simhash.fingerprint(None if text is None else text.encode())) == brute_fingerprint(text)
 
 
-@pytest.mark.parametrize(("limit", "refinements"), [(20_000, 2), (3, 2), (3, 0)])
-def test_links_lose_nothing(spark, limit, refinements):
+@pytest.mark.parametrize(("limit", "refinements", "rows_planned"), [(20_000, 2, 1), (20_000, 2, 10**9), (20_000, 2, 10**13), (3, 2, 1), (3, 0, 1)])
+def test_links_lose_nothing(spark, limit, refinements, rows_planned):
     rng, fps = random.Random(3), []
     for _ in range(12):
         base = rng.getrandbits(64)
@@ -53,9 +53,12 @@ def test_links_lose_nothing(spark, limit, refinements):
     fps = sorted(set(fps))
     rows = list(enumerate(fps))
     want = brute_components(rows)
-    edges = simhash.link_fingerprints(spark.createDataFrame([(f.to_bytes(8),) for f in fps], "fp binary"), simhash.Plan.exact(4), limit, refinements)
-    got = {bytes(r.node): bytes(r.least) for r in simhash.components(edges).collect()}
-    by = {f.to_bytes(8): i for i, f in enumerate(fps)}
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    plan = simhash.Plan.exact(4, rows_planned)
+    assert len(plan.tables) == {1: 5, 10**9: 15, 10**13: 35}[rows_planned]
+    edges = simhash.link_fingerprints(spark.createDataFrame([(signed(f),) for f in fps], "fp long"), plan, limit, refinements)
+    got = {r.node: r.least for r in simhash.components(edges).collect()}
+    by = {signed(f): i for i, f in enumerate(fps)}
     groups: dict = {}
     for s, i in by.items():
         groups.setdefault(got.get(s, s), set()).add(i)
