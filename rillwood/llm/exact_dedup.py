@@ -15,7 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import input_bytes, write_table
+
+#: Bytes of input for each bucket of a new index, and buckets at least and at most.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 1_000_000_000, 64, 100_000
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,17 +58,19 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None, batches: int = 2, buckets: int = 64) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None, batches: int = 2, buckets: int | None = None) -> DataFrame:
     """One row per row of ``docs``: its digest, the id that stays, the size of its group and whether it stays.
 
     Batches go to the index from the largest ids to the smallest, so what the index has always outranks what comes. With
-    an ``index`` of earlier data its rows stay and ``docs`` equal to them go. Null text equals the empty text; repeated
+    an ``index`` of earlier data its rows stay, ``docs`` equal to them go, and what is new is kept in it for later data; without
+    one the index is dropped at the end, and has as many ``buckets`` as the input calls for if they aren't given. Null text equals the empty text; repeated
     ids are rows of their own in ``group_size`` and the first alone (by digest and id) can't be told apart, so all rows
     with the kept id stay; a null id never outranks a number, and a group of null ids alone keeps them. An empty table
     gives an empty result. Other columns of ``docs`` aren't read.
     """
     spark = docs.sparkSession
     found = write_table(digests(docs, id_col, text_col), "digests")
+    buckets = buckets or min(MOST_BUCKETS, max(LEAST_BUCKETS, input_bytes(docs) // BUCKET_BYTES))
     own = index or DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets)
     low, high = found.agg(F.min("id"), F.max("id")).first()
     if low is None or high - low < batches:
@@ -77,7 +82,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for k in reversed(range(batches)):
             own.add(found.filter(part == k))
     sizes = found.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
-    groups = sizes.join(own.read(), "digest")
+    # written first, so that the last join has a shuffle alone on either side and a digest of very many rows is split
+    groups = write_table(sizes.join(own.read(), "digest"), "groups")
+    if index is None:
+        own.drop()
     return found.join(groups, "digest").select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
