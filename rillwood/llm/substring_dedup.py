@@ -11,7 +11,6 @@ digest, where sums are partial before they are shuffled, so no task ever holds a
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,7 +26,7 @@ from .common import free_name, write_table
 
 #: Words of a minimiser; text that a task holds back to find equal super-k-mers; text that a bucket may gather; buckets for
 #: each shuffle partition.
-PIECE, HOLD_BYTES, BUCKET_BYTES, BUCKETS = 8, 48_000_000, 64_000_000, 48
+PIECE, HOLD_BYTES, BUCKET_BYTES, BUCKETS = 8, 48_000_000, 32_000_000, 48
 #: Stands for a null id, which is larger than every other.
 NO_ID = (1 << 63) - 1
 _HEAD = struct.Struct("<QqqiiI")  # minimiser, document, text key, first window, windows, bytes of text
@@ -66,9 +65,17 @@ def super_kmers(words: list[bytes], window: int, piece: int) -> Iterator[tuple[i
         yield m, s, n, joined[a:b]
 
 
-def _windows(text: bytes, n: int, window: int) -> list[bytes]:
-    words = text.split(b" ")
-    return [b" ".join(words[i : i + window]) for i in range(n)]
+def _edges(text: bytes, n: int, window: int) -> tuple[list[int], list[int]]:
+    """Where each of the n windows of a packed string begins and ends."""
+    gaps = np.flatnonzero(np.frombuffer(text, np.uint8) == 0x20)
+    starts, ends = np.concatenate([[0], gaps + 1]), np.append(gaps, len(text))
+    return starts[:n].tolist(), ends[window - 1 : window - 1 + n].tolist()
+
+
+def _digests(text: bytes, n: int, window: int) -> np.ndarray:
+    """128 bits of each window, a row each; the windows themselves are never all there at once."""
+    out = b"".join(xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(*_edges(text, n, window), strict=True))
+    return np.frombuffer(out, np.int64).reshape(-1, 2)
 
 
 def _pack(spans: list[tuple[int, int, int, int]]) -> bytes:
@@ -148,22 +155,43 @@ def repeats_of(bucket: list[tuple[int, int, int, int, int, bytes]], window: int)
             whole.append((text, [a for a in at if a[0] == least]))
         if len(whole) < 2:
             continue
-        sort = sorted((w, at[0][0], k, i) for k, (text, at) in enumerate(whole) for i, w in enumerate(_windows(text, at[0][3], window)))
-        flags = [[False] * at[0][3] for _, at in whole]
-        for (w, doc, k, i), (w0, doc0) in zip(sort, _leaders(sort), strict=True):
-            flags[k][i] = w == w0 and doc > doc0
-        for (_, at), f in zip(whole, flags, strict=True):
-            out += [(doc, key, start + a, start + b) for a, b in _runs(f) for doc, key, start, _ in at]
+        for k, runs in _repeated([(text, at[0][0], at[0][3]) for text, at in whole], window):
+            out += [(doc, key, start + a, start + b) for a, b in runs for doc, key, start, _ in whole[k][1]]
     return out
 
 
-def _leaders(sort: list[tuple]) -> Iterator[tuple[bytes, int]]:
-    """For each of the sorted windows the first that equals it, which is of the smallest document."""
-    lead: tuple[bytes, int] = (b"", 0)
-    for k, row in enumerate(sort):
-        if k == 0 or row[0] != lead[0]:
-            lead = (row[0], row[1])
-        yield lead
+def _repeated(packed: list[tuple[bytes, int, int]], window: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(place, runs of its windows that a smaller document has) for packed strings (text, document, windows).
+
+    Windows are sorted by 128 bits and document, 40 bytes a window; each is then compared with the first of its equals.
+    """
+    counts = [n for _, _, n in packed]
+    bits = np.concatenate([_digests(text, n, window) for text, _, n in packed])
+    of = np.repeat(np.arange(len(packed), dtype=np.int32), counts)
+    docs = np.array([d for _, d, _ in packed], np.int64)[of]
+    within = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    order = np.lexsort((docs, bits[:, 1], bits[:, 0]))
+    bits = bits[order]
+    first = np.concatenate([[True], (bits[1:] != bits[:-1]).any(axis=1)])
+    del bits
+    lead = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    later = docs[order] > docs[lead]
+    edges: dict[int, tuple[list[int], list[int]]] = {}
+
+    def words(at: int) -> bytes:
+        k, i = int(of[at]), int(within[at])
+        if k not in edges:
+            edges[k] = _edges(packed[k][0], packed[k][2], window)
+        return packed[k][0][edges[k][0][i] : edges[k][1][i]]
+
+    flags = np.zeros(len(of), bool)
+    for at, one in zip(order[later].tolist(), lead[later].tolist(), strict=True):
+        if words(at) != words(one):
+            raise ValueError("two windows have the same 128 bits")
+        flags[at] = True
+    starts = np.cumsum(counts) - counts
+    for k in np.unique(of[flags]).tolist():
+        yield k, list(_runs(flags[starts[k] : starts[k] + counts[k]].tolist()))
 
 
 def repeated_spans(docs: DataFrame, window: int = 50, piece: int = PIECE, bucket_bytes: int = BUCKET_BYTES, hold_bytes: int = HOLD_BYTES) -> DataFrame:
@@ -191,7 +219,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, piece: int = PIECE, bucket
 
     def given_up(bucket: list) -> Iterator[pa.RecordBatch]:
         for _, doc, key, start, n, text in bucket:
-            digests = np.array([np.frombuffer(hashlib.blake2b(w, digest_size=16).digest(), np.int64) for w in _windows(text, n, window)]).reshape(-1, 2)
+            digests = _digests(text, n, window)
             yield rows([(doc, key, start + i, start + i + 1) for i in range(n)], np.ascontiguousarray(digests[:, 0]), np.ascontiguousarray(digests[:, 1]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +245,8 @@ def repeated_spans(docs: DataFrame, window: int = 50, piece: int = PIECE, bucket
     found = judged.filter("high IS NULL").select("doc", "key", "a", "b")
     left = judged.filter("high IS NOT NULL")
     if not left.isEmpty():
-        least = left.groupBy("high", "low").agg(F.min("doc").alias("least"))
+        # written first, so that the join has a shuffle alone on either side and a window of very many documents is split
+        least = write_table(left.groupBy("high", "low").agg(F.min("doc").alias("least")), "least")
         found = found.unionByName(left.join(least, ["high", "low"]).filter("doc > least").select("doc", "key", "a", "b"))
     return found
 
