@@ -3,8 +3,8 @@
 Time runs in slots; a slot takes one block of rows of one source. With weight w (slots out of a period of H), block k
 (from 0) of a source is released at floor(k/w) and due at ceil((k+1)/w). Serving the released block with the earliest
 deadline keeps every source within less than one block of its share at every slot, and because weights are whole slots
-out of H the schedule repeats each period: one period of at most ``max_period`` slots is worked out on a single row, and
-each row of the input computes its own place from it.
+out of H the schedule repeats each period: one period of H slots is worked out on a single row, and each row of the input
+computes its own place from it.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import free_name, write_table
 
-#: Sources and slots of one period at most; the schedule, and so what is broadcast, has no more rows than this.
-MAX_PERIOD = 20_000
+#: Slots of a period for each source at least; epochs of a row that one task makes.
+SLOTS, CHUNK = 4, 1024
 
 
 def source_counts(df: DataFrame, source: str, parts: int, id_col: str) -> DataFrame:
@@ -31,12 +31,11 @@ def part_of(id_col: str, parts: int):
 def blended_slots(counts: DataFrame, period: int, natural: int, uniform: int) -> DataFrame:
     """(src, n, c, h): rows and slots a period of each source, for a target of ``natural`` parts the source's own share
     and ``uniform`` parts an equal share. Whole-number arithmetic; what rounding leaves goes to the largest remainders,
-    then by name; each source has a slot at least."""
-    one = W.partitionBy()  # over at most MAX_PERIOD sources
+    then by name; each source has a slot at least. A period has ``SLOTS`` slots a source where that is more than ``period``."""
+    one = W.partitionBy()  # over a row a source
     t = counts.groupBy("src").agg(F.sum("n").alias("n"))
     t = t.withColumns({"total": F.sum("n").over(one), "s": F.count(F.lit(1)).over(one)})
-    t = t.withColumn("h", F.greatest(F.lit(period).cast("long"), F.col("s") * 4))
-    t = t.withColumn("h", F.when(F.col("s") * 4 <= MAX_PERIOD, F.col("h")).otherwise(F.raise_error(F.lit(f"more sources than a period of {MAX_PERIOD} slots has room for")).cast("long")))
+    t = t.withColumn("h", F.greatest(F.lit(period).cast("long"), F.col("s") * SLOTS))
     # share = (natural * n * s + uniform * total) / ((natural + uniform) * total * s), of the h - s slots beyond one each
     top = ((F.lit(natural) * F.col("n") * F.col("s") + F.lit(uniform) * F.col("total")).cast("decimal(38,0)")) * (F.col("h") - F.col("s"))
     bottom = (F.lit(natural + uniform) * F.col("total") * F.col("s")).cast("decimal(38,0)")
@@ -81,11 +80,13 @@ def mix(
     No row is lost: the mix is as long as the source that its weight stretches furthest needs to appear in full once, and
     the others start over (``mix_epoch`` 1, 2, ...) to hold their weight until then. Rows of a source are taken in the order
     (id mod ``parts``, id); a null source is a source of its own named '', a null id counts as part 0 and comes first;
-    rows alike keep places of their own. A schedule of at most ``MAX_PERIOD`` rows and one row a source are broadcast; the table
-    of sources times ``parts`` counts is joined where the rows lie for their ranks. ``parts`` is how many tasks can share
-    one source's rows. More sources than a period holds raise an error. An empty table gives an empty result.
+    rows alike keep places of their own. The schedule (``period`` rows, or ``SLOTS`` a source) and one row a source are
+    broadcast; the table of sources times ``parts`` counts is joined where the rows lie for their ranks. ``parts`` is how many
+    tasks can share one source's rows. Rows that come more than ``CHUNK`` times are dealt to many tasks for it. The schedule
+    takes time by the square of the number of sources, which are meant to be corpora, not hosts. An empty table gives an
+    empty result.
     """
-    src, part, rank, before, k, n, c, h, goal, slot, longest = free_name(docs, "src", "part", "rank", "before", "k", "n", "c", "h", "goal", "slot", "longest")
+    src, part, rank, before, k, n, c, h, goal, slot, last, chunk = free_name(docs, "src", "part", "rank", "before", "k", "n", "c", "h", "goal", "slot", "last", "chunk")
     counts = write_table(source_counts(docs, source, parts, id_col), "mix-counts")
     starts = counts.withColumn("before", F.sum("n").over(W.partitionBy("src").orderBy("part").rowsBetween(W.unboundedPreceding, -1))).select(
         F.col("src").alias(src), F.col("part").alias(part), F.coalesce("before", F.lit(0)).alias(before)
@@ -97,17 +98,29 @@ def mix(
     plan = edf_period(slots).select(F.col("src").alias(src), F.col("k").alias(k), F.col("slot").alias(slot))
 
     held = docs if all_columns else docs.select(id_col, source)
-    held = held.withColumns({src: F.coalesce(F.col(source).cast("string"), F.lit("")), part: part_of(id_col, parts)})
-    place = W.partitionBy(src, part).orderBy(F.col(id_col))
-    held = held.withColumn(rank, F.row_number().over(place) - 1)
-    held = held.join(starts.hint("merge"), [src, part]).join(F.broadcast(goals), src)  # the window has dealt by the same keys: only starts move
-    held = held.withColumn(rank, F.col(rank) + F.col(before))
+    held = held.drop("mix_position", "mix_epoch").withColumns({src: F.coalesce(F.col(source).cast("string"), F.lit("")), part: part_of(id_col, parts)})
+    names = held.columns
+
+    def ranked(some: DataFrame) -> DataFrame:
+        """Rows of some sources with their rank and how often they come."""
+        rows = held.join(F.broadcast(some), src)
+        rows = rows.withColumn(rank, F.row_number().over(W.partitionBy(src, part).orderBy(F.col(id_col))) - 1)
+        rows = rows.join(starts.hint("merge"), [src, part])  # the window has dealt by the same keys: only starts move
+        return rows.withColumn(rank, F.col(rank) + F.col(before)).withColumn(last, F.expr(f"(`{goal}` - 1 - `{rank}`) div `{n}`"))
+
     # row `rank` of a source comes again every n rows of it until the source has had its goal
-    held = held.withColumn("mix_epoch", F.explode(F.expr(f"sequence(0L, (`{goal}` - 1 - `{rank}`) div `{n}`)")))
+    often = F.col(goal) > F.col(n) * CHUNK
+    if goals.filter(often).isEmpty():
+        held = ranked(goals).withColumn("mix_epoch", F.explode(F.expr(f"sequence(0L, `{last}`)")))
+    else:
+        few = ranked(goals.filter(~often)).withColumn("mix_epoch", F.explode(F.expr(f"sequence(0L, `{last}`)")))
+        many = ranked(goals.filter(often)).withColumn(chunk, F.explode(F.expr(f"sequence(0L, `{last}` div {CHUNK})"))).repartition(src, rank, chunk)
+        many = many.withColumn("mix_epoch", F.explode(F.expr(f"sequence(`{chunk}` * {CHUNK}, least(`{last}`, `{chunk}` * {CHUNK} + {CHUNK - 1}))"))).drop(chunk)
+        held = few.unionByName(many)
     held = held.withColumn(rank, F.col(rank) + F.col("mix_epoch") * F.col(n))
     held = held.withColumn(k, F.expr(f"(`{rank}` div {block}) % `{c}`")).join(F.broadcast(plan), [src, k])
     position = F.expr(f"((`{rank}` div {block}) div `{c}` * `{h}` + `{slot}`) * {block} + `{rank}` % {block}")
-    return held.select(*[F.col(x) for x in (docs.columns if all_columns else [id_col, source])], position.alias("mix_position"), F.col("mix_epoch"))
+    return held.select(*[F.col(x) for x in names if x not in (src, part)], position.alias("mix_position"), F.col("mix_epoch"))
 
 
 #: DuckDB SQL for mix() over a view {docs} with columns doc_id and source, with its default parameters.
