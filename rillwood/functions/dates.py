@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,6 +123,19 @@ def _worded(text: Column, now: Column) -> Column:
     return out.when(month.isNotNull(), F.make_date(F.year(today), month, F.lit(1)).cast("timestamp"))
 
 
+def _absolute(t: Column) -> Column:
+    """A date in one of the fixed patterns. Only patterns of the text's shape are tried: a failed try costs an exception."""
+    shape, tries = F.regexp_replace(F.regexp_replace(t, r"[0-9]+", "9"), r"\p{L}+", "a"), {}
+    for d in DATE_PATTERNS:
+        for h in TIME_PATTERNS:
+            found = F.try_to_timestamp(F.initcap(t) if "MMM" in d else F.upper(t), F.lit(d + h))
+            tries.setdefault(re.sub("[dyHhmsS]+|M{1,2}(?!M)(?<!MMM)", "9", re.sub("M{3,}|a", "a", d + h)), []).append(found)
+    out = F.lit(None).cast("timestamp")
+    for form, found in tries.items():
+        out = F.when(shape == form, F.coalesce(*found)).otherwise(out)
+    return out
+
+
 def parse_date(text: Column, now: Column) -> Column:
     """A timestamp from an absolute date, a time of day, or words relative to ``now``; null where nothing fits.
 
@@ -130,10 +145,10 @@ def parse_date(text: Column, now: Column) -> Column:
     """
     t = F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")
     today = F.date_trunc("day", now)
-    absolute = [F.try_to_timestamp(F.initcap(t) if "MMM" in d else F.upper(t), F.lit(d + h)) for d in DATE_PATTERNS for h in TIME_PATTERNS]
+    absolute = _absolute(t)
     md = r"(\d{1,2})/(\d{1,2})"
     short = F.when(_has(t, md), F.try_to_timestamp(F.concat_ws("/", F.year(now).cast("string"), t), F.lit("yyyy/M/d")))
-    return F.coalesce(_worded(t, now), _clock(t, today), short, F.when(_has(t, r"(next|last)\s+(\w+)"), _next_last(t, today, now)), _shift(t, now), *absolute)
+    return F.coalesce(_worded(t, now), _clock(t, today), short, F.when(_has(t, r"(next|last)\s+(\w+)"), _next_last(t, today, now)), _shift(t, now), absolute)
 
 
 def parse_date_strict(text: Column, now: Column) -> Column:

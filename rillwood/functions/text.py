@@ -11,7 +11,7 @@ from .hashing import hashed_bucket
 
 def clean_words(col: Column) -> Column:
     """Lower-cased runs of letters; null text has none."""
-    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), r"[^\p{L}]+", " "), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(col, F.lit(""))), r"[^\p{L}]+"), "")
 
 
 def word_ngrams(words: Column, longest: int = 2) -> Column:

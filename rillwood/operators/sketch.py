@@ -318,8 +318,10 @@ def sketch_by(df: DataFrame, group: list[str], value: str, target: str | None =
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[tuple, Sketch] = {}
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                made.setdefault(row[:n], Sketch(max_bins, **options)).insert(row[n], row[n + 1])
+            # rows alike are inserted as one of their number
+            alike = pa.Table.from_batches([b]).group_by(b.schema.names, use_threads=False).aggregate([([], "count_all")]).sort_by([(c, "ascending") for c in b.schema.names])
+            for *row, count in zip(*(c.to_pylist() for c in alike.select([*b.schema.names, "count_all"]).columns), strict=True):
+                made.setdefault(tuple(row[:n]), Sketch(max_bins, **options)).insert(row[n], row[n + 1], float(count))
         keys = list(made)
         cols = [pa.array([k[i] for k in keys], b_type) for i, b_type in enumerate(types)] + [pa.array([made[k].to_json() for k in keys], pa.string())]
         yield pa.RecordBatch.from_arrays(cols, names=schema.names)
@@ -357,3 +359,11 @@ def sketch_numbers(sketch: str, what: str, *args: float):
 def native_histogram(df: DataFrame, group: list[str], value: str, bins: int = 64) -> DataFrame:
     """The case without targets wholly in the engine: (group..., bins array<struct<x, y>>)."""
     return df.groupBy(*group).agg(F.histogram_numeric(value, F.lit(bins)).alias("bins"))
+
+
+def bin_rows(df: DataFrame, sketch: str) -> DataFrame:
+    """``df`` without its sketch column, a row a bin: mean, n and the sums of a numeric target (null without one)."""
+    bins = F.from_json(F.get_json_object(sketch, "$.bins"), "array<array<string>>")
+    one = df.withColumn("_b", F.explode(bins)).drop(sketch)
+    at = lambda k: F.get("_b", F.lit(k))
+    return one.select("*", at(0).cast("double").alias("mean"), at(1).cast("double").alias("n"), F.from_json(at(2), "array<double>").alias("sums")).drop("_b")

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rillwood.functions.arrays import entropy, total
+from rillwood.functions.hashing import md5_int
 
 
 def class_histogram(df: DataFrame, group: list[str], attr: Column, bin_: Column, label: Column, classes: list) -> DataFrame:
@@ -111,10 +112,10 @@ def uniform_candidates(df: DataFrame, column: str, splits: int = 16) -> DataFram
 
 def random_candidate(candidates: DataFrame, seed: int) -> DataFrame:
     """One of the candidates by a hash, as extremely randomised trees take it."""
-    return candidates.orderBy(F.xxhash64("split", F.lit(seed))).limit(1)
+    return candidates.orderBy(md5_int(F.concat_ws("|", F.lit(str(seed)), F.col("split").cast("string"))), "split").limit(1)
 
 
 def random_attributes(attrs: DataFrame, group: list[str], attr: str, most: int, seed: int) -> DataFrame:
     """``most`` attributes of each group by a hash of group, attribute and seed."""
-    order = W.partitionBy(*group).orderBy(F.xxhash64(*group, attr, F.lit(seed)), attr)
+    order = W.partitionBy(*group).orderBy(md5_int(F.concat_ws("|", *[F.col(g).cast("string") for g in group], attr, F.lit(str(seed)))), attr)
     return attrs.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).drop("_r")

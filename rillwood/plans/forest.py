@@ -25,6 +25,7 @@ from rillwood.operators.transforms import group_by_parent, top_fields
 
 from .model import CATEGORIC, COMPILED_NODES, LEAF, NUMERIC, Forest, Node, route
 
+#: Values of a category that can be split on, the most frequent ones; rows of others train and go with those that aren't equal.
 MAX_VALUES = 255
 
 
@@ -104,13 +105,14 @@ class ForestTrainer:
 
     def fit(self, df: DataFrame, key: str, numeric: list[str], categoric: list[str], target: str, regression: bool = False) -> Forest:
         """A forest for ``target`` from the rows that have one. ``key`` is a whole number that tells rows apart; attributes
-        may have nulls. Labels are the target's values by frequency, at most MAX_VALUES of them."""
+        may have nulls. Every value of the target is a label: they are meant to be few, since a cell of a histogram has a
+        weight for each."""
         p, attrs = self.p, numeric + categoric
         rows = df.filter(F.col(target).isNotNull())
         enc = Encoding.fit(rows, numeric, categoric, p.bins)
         classes = None
         if not regression:
-            classes = sorted(r["t"] for r in rows.groupBy(F.col(target).cast("string").alias("t")).count().orderBy(F.desc("count"), "t").limit(MAX_VALUES).collect())
+            classes = sorted(r["t"] for r in rows.select(F.col(target).cast("string").alias("t")).distinct().collect())
             y = F.array_position(F.array(*[F.lit(c) for c in classes]).cast("array<string>"), F.col(target).cast("string")).cast("double") - 1
         else:
             y = F.col(target).cast("double")
