@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,10 +47,6 @@ class Params:
     bagging: bool = True
 
 
-def _below(x: Column):
-    return lambda edge: edge < x
-
-
 @dataclass
 class Encoding:
     """How attributes become small whole numbers: edges of bins, values by frequency. Null is -1."""
@@ -70,18 +67,23 @@ class Encoding:
             out.values[c] = [r["v"] for r in top.collect()]
         return out
 
-    def codes(self) -> list[Column]:
-        """A code column for each attribute; values beyond the kept ones share the last code."""
-        out = []
-        for c, e in self.edges.items():
-            x = F.col(f"`{c}`").cast("double")
-            place = F.size(F.filter(F.array(*[F.lit(v) for v in e]).cast("array<double>"), _below(x)))
-            out.append(F.when(x.isNull() | F.isnan(x), -1).otherwise(place).cast("int").alias(c))
-        for c, v in self.values.items():
-            x = F.col(f"`{c}`").cast("string")
-            at = F.array_position(F.array(*[F.lit(s) for s in v]).cast("array<string>"), x).cast("int") - 1
-            out.append(F.when(x.isNull(), -1).otherwise(F.when(at < 0, MAX_VALUES).otherwise(at)).cast("int").alias(c))
-        return out
+    def coded(self, df: DataFrame) -> DataFrame:
+        """(_key, _y, a code for each attribute) of (_key, _y, attributes); values beyond the kept ones share the last code."""
+        raw = df.select("_key", "_y", *[F.col(f"`{c}`").cast("double").alias(c) for c in self.edges], *[F.col(f"`{c}`").cast("string").alias(c) for c in self.values])
+        edges, values = [np.array(e) for e in self.edges.values()], [pa.array(v, pa.string()) for v in self.values.values()]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for k, e in enumerate(edges):
+                    x = b.column(2 + k).to_numpy(zero_copy_only=False)  # null is NaN
+                    out.append(np.where(np.isnan(x), -1, np.searchsorted(e, x)))  # edges below
+                for k, v in enumerate(values, 2 + len(edges)):
+                    at = pc.fill_null(pc.index_in(b.column(k), v), MAX_VALUES).to_numpy(zero_copy_only=False)
+                    out.append(np.where(pc.is_null(b.column(k)).to_numpy(zero_copy_only=False), -1, at))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x.astype(np.int32)) for x in out)], names=b.schema.names)
+
+        return raw.mapInArrow(run, "_key long, _y double, " + ", ".join(f"`{c}` int" for c in [*self.edges, *self.values]))
 
 
 def bag_weights(keys: np.ndarray, tree: int, seed: int) -> np.ndarray:
@@ -116,7 +118,7 @@ class ForestTrainer:
             y = F.array_position(F.array(*[F.lit(c) for c in classes]).cast("array<string>"), F.col(target).cast("string")).cast("double") - 1
         else:
             y = F.col(target).cast("double")
-        coded = rows.select(F.col(key).cast("long").alias("_key"), y.alias("_y"), *enc.codes()).filter("_y >= 0" if classes else "_y IS NOT NULL")
+        coded = enc.coded(rows.select(F.col(key).cast("long").alias("_key"), y.alias("_y"), *[F.col(f"`{c}`") for c in attrs]).filter("_y IS NOT NULL"))
         coded.persist()
         try:
             trees = [[Node(t, 0)] for t in range(p.trees)]

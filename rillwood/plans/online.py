@@ -1,18 +1,18 @@
 """Hoeffding trees that learn one event at a time, a task a tree.
 
-A tree's own events come in order, so each tree is a group: events are dealt to the trees with their Poisson weights, and
-the trees of a forest grow side by side. Per leaf and attribute a mergeable sketch (numbers) or counts (categories) is kept.
+A tree's own events come in order, so each tree is a sorted stream: events are dealt to the trees with their Poisson weights,
+and the trees of a forest grow side by side. Per leaf and attribute a mergeable sketch (numbers) or counts (categories) is kept.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,44 +192,62 @@ class HoeffdingTree:
         return self.nodes
 
 
-_STATE = "tree int, model binary, tested long, correct long, abs_error double"
+_KEPT = [("model", "binary"), ("tested", "long"), ("correct", "long"), ("abs_error", "double")]
+_STATE = "tree int, " + ", ".join(f"{c} {k}" for c, k in _KEPT)
 
 
 def train_online(df: DataFrame, order: str, numeric: list[str], categoric: list[str], target: str, regression: bool = False, trees: int = 10, params: OnlineParams = OnlineParams(), state: DataFrame | None = None) -> DataFrame:
     """(tree, model, tested, correct, abs_error): trees grown over the events of ``df`` in order, from ``state`` if given.
 
     Each event is first predicted by the tree and then learned as often as its weight says, so ``correct`` is the tree's
-    running quality on events it hadn't seen. One task grows one tree; a tree's model is bounded by its depth.
+    running quality on events it hadn't seen. A tree's events are sorted by the engine, which spills, and stream through one
+    task a batch at a time; the task holds the tree alone, which is bounded by its depth.
     """
     y = F.col(target).cast("double" if regression else "string").alias("_y")
     cols = [*[F.col(c).cast("double").alias(c) for c in numeric], *[F.col(c).cast("string").alias(c) for c in categoric]]
     held = df.select(F.col(order).cast("long").alias("_order"), y, *cols)
     dealt = held.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(trees)]))).withColumn("_w", poisson_weight(F.col("_order"), F.col("tree"), F.lit(params.seed)))
 
-    def grow(key: tuple, events: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        t = int(key[0])
-        if len(before):
-            model, tested, correct, error = pickle.loads(before.model[0]), *(int(before[c][0]) for c in ("tested", "correct")), float(before.abs_error[0])
-        else:
-            model, tested, correct, error = HoeffdingTree(numeric, categoric, regression, params, t), 0, 0, 0.0
-        names = numeric + categoric
-        events = events.sort_values("_order", kind="stable")
-        for row in zip(*(events[c].tolist() for c in events.columns), strict=True):
-            d = dict(zip(events.columns, row, strict=True))
-            y = d["_y"]
-            if y is None or (isinstance(y, float) and math.isnan(y)):
-                continue
-            x = {a: (None if d[a] is None or d[a] != d[a] else d[a]) for a in names}
-            if (p := model.predict(x)) is not None:
-                tested += 1
-                correct += int(not regression and p == y)
-                error += abs(p - y) if regression else 0.0
-            model.update(x, y, int(d["_w"]))
-        return pd.DataFrame({"tree": [t], "model": [pickle.dumps(model)], "tested": [tested], "correct": [correct], "abs_error": [error]})
-
-    if state is None:
-        state = df.sparkSession.createDataFrame([], _STATE)
-    return dealt.groupBy("tree").cogroup(state.groupBy("tree")).applyInPandas(grow, _STATE)
+    names = numeric + categoric
+    first = dealt.select("tree", F.lit(1).alias("_turn"), "_order", "_y", "_w", *names, *[F.lit(None).cast(k).alias(c) for c, k in _KEPT])
+    rows = first
+    if state is not None:  # what is known of a tree comes before its events
+        kinds = {f.name: f.dataType for f in dealt.schema.fields}
+        known = state.select("tree", F.lit(0).alias("_turn"), F.lit(0).cast("long").alias("_order"), *[F.lit(None).cast(kinds[c]).alias(c) for c in ("_y", "_w", *names)], *[c for c, _ in _KEPT])
+        rows = first.unionByName(known)
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, counts = None, [0, 0, 0.0]
+
+        def out() -> pa.RecordBatch:
+            values = [model.tree, pickle.dumps(model), *counts]
+            kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["tree", *(c for c, _ in _KEPT)])
+
+        for b in batches:
+            tree, turn, _, y, w, *rest = (c.to_pylist() for c in b.columns)
+            cells, kept = rest[: len(names)], rest[len(names) :]
+            for i in range(b.num_rows):
+                if model is None or tree[i] != model.tree:
+                    if model is not None:
+                        yield out()
+                    model, counts = HoeffdingTree(numeric, categoric, regression, params, tree[i]), [0, 0, 0.0]
+                if turn[i] == 0:
+                    model, counts = pickle.loads(kept[0][i]), [kept[1][i], kept[2][i], kept[3][i]]
+                    continue
+                if y[i] is None or y[i] != y[i]:
+                    continue
+                x = {a: (None if c[i] is None or c[i] != c[i] else c[i]) for a, c in zip(names, cells, strict=True)}
+                if (p := model.predict(x)) is not None:
+                    counts[0] += 1
+                    counts[1] += int(not regression and p == y[i])
+                    counts[2] += abs(p - y[i]) if regression else 0.0
+                model.update(x, y[i], int(w[i]))
+        if model is not None:
+            yield out()
+
+    ordered = rows.repartition("tree").sortWithinPartitions("tree", "_turn", "_order")
+    return ordered.mapInArrow(grow, _STATE)
 
 
 def collect_forest(state: DataFrame, target: str, numeric: list[str], categoric: list[str], regression: bool = False) -> Forest:
