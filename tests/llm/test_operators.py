@@ -75,6 +75,33 @@ def test_shards_are_even_and_repeatable(spark, sf_dir):
         assert a[r.doc_id][1:3] == (len(raw) + 1, zlib.crc32(raw))
 
 
+def feistel_of_one(x, n, seed):
+    half = 1
+    while 1 << 2 * half < n:
+        half += 1
+    mask, big = (1 << half) - 1, (1 << 64) - 1
+    while True:
+        left, right = x >> half, x & mask
+        for a, b in sharding._keys(seed):
+            m = ((right ^ b) * a) & big
+            m = ((m ^ (m >> 29)) * 0x94D049BB133111EB) & big
+            left, right = right, left ^ ((m >> 32) & mask)
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def test_shards_match_one_row_at_a_time(spark, sf_dir):
+    """Shard and slot of every document from its number in the order of (piece, id), by a permutation of single numbers."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    facts = docs.selectExpr("doc_id", "crc32(cast(coalesce(text, '') as binary)) AS crc", "octet_length(coalesce(text, '')) + 1L AS size")
+    rows = facts.selectExpr("doc_id", "crc", "size", "pmod(xxhash64(doc_id, crc, size), 4096) AS piece").collect()
+    numbered = sorted(rows, key=lambda r: (r.piece, r.doc_id, r.crc, r.size))
+    want = {r.doc_id: divmod(feistel_of_one(k, len(rows), 7), 16)[::-1] + (r.size, r.crc) for k, r in enumerate(numbered)}
+    got = {r.doc_id: (r.shard, r.slot, r.size, r.text_crc32) for r in sharding.shard_documents(docs).collect()}
+    assert got == want
+
+
 def test_shards_of_odd_rows(spark):
     got = sharding.shard(odd(spark, TEXTS), ["doc_id", "text"], 4).collect()
     assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(4) for k in range(3)][:9] or len({(r.shard, r.slot) for r in got}) == 9
@@ -102,6 +129,25 @@ def test_mix_holds_its_weights(spark):
     assert len({r.mix_position for r in got}) == len(got)
 
 
+def test_mix_of_a_row_that_comes_often(spark):
+    """One row alone in its source comes again until the others are through, from many tasks."""
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "if(id = 7, 'rare', 'common') AS source")
+    got = mixing.mix(docs, all_columns=False).collect()
+    often = sorted(r.mix_epoch for r in got if r.doc_id == 7)
+    assert often == list(range(len(often))) and len(often) > 2 * mixing.CHUNK
+    assert len({r.mix_position for r in got}) == len(got) and {r.doc_id for r in got} == set(range(40_000))
+
+
+def test_mix_of_many_sources(spark):
+    docs = spark.range(3_000).selectExpr("id AS doc_id", "concat('s', id % 1500) AS source")
+    got = mixing.mix(docs, block=1, all_columns=False).collect()
+    assert {r.doc_id for r in got} == set(range(3_000)) and len({r.mix_position for r in got}) == len(got)
+    seen = {}
+    for r in sorted(got, key=lambda r: r.mix_position):
+        seen[r.source] = seen.get(r.source, 0) + 1
+        assert abs(seen[r.source] - (r.mix_position + 1) / 1500) < 1.001  # equal sources: a block each 1500
+
+
 def test_mix_of_odd_rows(spark):
     got = mixing.mix(odd(spark, TEXTS)).collect()
     assert len(got) == 9 and all(r.mix_epoch == 0 for r in got)
@@ -179,6 +225,27 @@ def test_languages_are_told_apart(spark, sf_dir):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
 
 
+def test_language_is_the_smallest_encoding(spark, sf_dir):
+    """Every prediction of the query against Zstandard itself, text by text."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    learned = language_id.train_dictionaries(docs, language_id.crc_mod(language_id.F.col("doc_id"), 4) == 2)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.language_report(docs).collect()}
+    params = zstandard.ZstdCompressionParameters(**language_id._PARAMS, write_checksum=False, write_content_size=False, write_dict_id=False)
+    for r in docs.collect():
+        raw, sizes = (r.text or "").encode(), {}
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        for lang, d in learned.items():
+            encoder = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+            sizes[lang] = sum(len(encoder.compress(raw[i : i + 2048])) for i in range(0, len(raw), 2048))
+        first, second = sorted(sizes.values())[:2]
+        margin = (second - first) / first
+        assert sizes[got[r.doc_id][0]] == first and abs(got[r.doc_id][1] - margin / (margin + 0.01)) < 1e-12
+
+
 def test_language_of_odd_rows(spark):
     learned = {"aa": b"the one and the other " * 40, "bb": "être là où ça va ".encode() * 40}
     got = {r.doc_id: r for r in language_id.identify(odd(spark, [(1, None), (2, "12 !?"), (3, "the one and the other one"), (4, "où ça va être là"), (5, "")]), learned).collect()}
@@ -206,11 +273,35 @@ def test_views_teach_each_other():
     n, y = 300, None
     y = rng.integers(0, 2, n).astype(float)
     xt, xm = y[:, None] * 2 + rng.normal(size=(n, 1)), y[:, None] * 2 + rng.normal(size=(n, 1))
-    m = quality.co_train({}, xt[:40], xm[:40], y[:40], xt[40:200], xm[40:200], np.arange(40) % 4 == 0)
+    m = quality.co_train({}, xt[:40], xm[:40], y[:40], np.arange(40) % 4 == 0, quality.pick_from(np.arange(160), xt[40:200], xm[40:200]))
     p, a, b = m.score(xt[200:], xm[200:])
     assert ((p > 0.5) == y[200:]).mean() > 0.85
 
 
+def test_rounds_over_all_documents_match_arrays(spark, sf_dir, monkeypatch):
+    """The rounds over the whole table against the same rounds over arrays of all documents."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    seen = {}
+
+    def keep(vocabulary, xt, xm, y, fold, pick):
+        seen.update(args=(vocabulary, xt, xm, y, fold))
+        return train(vocabulary, xt, xm, y, fold, pick)
+
+    train = quality.co_train
+    monkeypatch.setattr(quality, "co_train", keep)
+    got = quality.fit_quality(docs, labels, pseudo=15, sure=0.6)
+    clear = {r.doc_id for r in labels.collect()}
+    rest = [r for r in docs.collect() if r.doc_id not in clear]
+    assert len(rest) > 50
+    ut = np.stack([quality.text_row((r.text or "").encode(), seen["args"][0]) for r in rest])
+    um = np.stack([quality.meta_row(r.source, r.lang, r.n_chars) for r in rest])
+    want = train(*seen["args"], quality.pick_from(np.array([r.doc_id for r in rest]), ut, um, 15, 0.6))
+    for a, b in zip((got.text, got.meta, got.blend), (want.text, want.meta, want.blend), strict=True):
+        assert np.allclose(a.weights, b.weights, atol=1e-6)
+    alone = train(*seen["args"], lambda judges, given: [])
+    assert not np.allclose(alone.text.weights, got.text.weights, atol=1e-3)  # labels were exchanged
+
+
 def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, 0), (None, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.score_quality(odd(spark, TEXTS), labels)
