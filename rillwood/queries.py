@@ -689,7 +689,7 @@ def clusters(spark, sf):
 def json_event_batches(spark, sf):
     e = _events(spark, sf).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
     wide = R.to_events(e.select("event_id", "ts", "event_type"), "event_id", "ts").withColumn("data", F.concat("data", F.array(F.struct(F.lit("event_id").alias("name"), F.col("event_id").cast("string").alias("value"), F.lit(None).cast("string").alias("type")))))
-    bodies = wide.groupBy((F.col("event_id") % 50).alias("b")).agg(F.to_json(F.collect_list(F.struct(F.col("ts").alias("timestamp"), "data"))).alias("body"))
+    bodies = wide.groupBy(F.floor(F.col("event_id") / 1000).alias("b")).agg(F.to_json(F.collect_list(F.struct(F.col("ts").alias("timestamp"), "data"))).alias("body"))
     back = parse_event_batches(bodies, "body").select(F.map_from_entries(F.transform("data", lambda x: F.struct(x["name"], x["value"]))).alias("m"))
     return back.select(F.col("m.event_id").cast("bigint").alias("event_id"), F.col("m.event_type").alias("event_type"))
 
@@ -698,7 +698,12 @@ def json_event_batches(spark, sf):
 def prequential_stream(spark, sf):
     from rillwood.streaming.streams import Config, Registry
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rillwood-")).rstrip("/")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="rillwood-")
+    root = root.rstrip("/")
     top = f"{root}/streams-{uuid.uuid4().hex}"
     lines = _lines(spark, sf).select("key", "l_quantity", "l_discount", "rule")
     lines.repartitionByRange(4, "key").write.parquet(f"{top}/landing")
