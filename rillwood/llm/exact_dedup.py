@@ -51,7 +51,9 @@ class DigestIndex:
         new = found.groupBy("digest").agg(F.max("id").alias("keep_id"))
         if self.exists():
             new = new.hint("merge").join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-        (new.repartition(self.buckets, "digest").write.mode("append").format("parquet")
+        # a task for each bucket, told by number: the optimizer drops a hash partitioning by digest after the sum's own, and
+        # each of its tasks would write a file into nearly every bucket
+        (new.repartitionById(self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets)).cast("int")).write.mode("append").format("parquet")
             .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
 
     def drop(self) -> None:
