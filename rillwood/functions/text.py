@@ -15,16 +15,11 @@ def clean_words(col: Column) -> Column:
 
 
 def word_ngrams(words: Column, longest: int = 2) -> Column:
-    """All runs of 1 to ``longest`` words, shorter ones first, joined by a space."""
-    grams = [words]
-    for n in range(2, longest + 1):
-        # words zipped with themselves, moved by one each time: one pass, however long the text
-        runs = F.slice(words, F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(0)))
-        for k in range(1, n):
-            rest = F.slice(words, F.lit(k + 1), F.greatest(F.size(words) - n + 1, F.lit(0)))
-            runs = F.zip_with(runs, rest, lambda a, b: F.concat_ws(" ", a, b))
-        grams.append(runs)
-    return F.concat(*grams)
+    """All runs of 1 to ``longest`` words, shorter ones first, joined by a space; words hold no space themselves."""
+    line, word = F.array_join(words, " "), "[^ ]++"
+    # an empty match at the start of each word looks ahead at the run: no lambda a word, so this stays in generated code
+    runs = lambda n: F.regexp_extract_all(line, F.lit(f"(?<![^ ])(?=({' '.join([word] * n)}))"), 1)
+    return F.concat(words, *[runs(n) for n in range(2, longest + 1)])
 
 
 def hashed_ngrams(df: DataFrame, key: str, text: str, longest: int = 2, probes: int = 2, buckets: int = 15) -> DataFrame:
@@ -38,7 +33,9 @@ def hashed_ngrams(df: DataFrame, key: str, text: str, longest: int = 2, probes:
 
 def term_counts(df: DataFrame, key: str, text: str, shortest: int = 1) -> DataFrame:
     """(key, term, tf)"""
-    terms = df.select(key, F.explode(clean_words(F.col(text))).alias("term")).filter(F.length("term") >= shortest)
+    # null terms, of which there are none, are left out here: a join would push that filter into one of its sides, and the
+    # two could no longer share this shuffle
+    terms = df.select(key, F.explode(clean_words(F.col(text))).alias("term")).filter(F.col("term").isNotNull() & (F.length("term") >= shortest))
     return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -48,23 +45,47 @@ def _weighed(counts: DataFrame, df_share: Column, log_tf: bool, binary: bool, lo
     return out.withColumn("weight", tf * (1 + F.log(1 / F.col("df"))))
 
 
+#: Documents a block of running shares.
+BLOCK = 1 << 16
+
+
+def _documents() -> Column:
+    """Documents of a group of counts. It asks for ``tf``, so that nothing is pruned and the counts are made once."""
+    return F.count_if(F.col("tf") > 0)
+
+
+def _by_term(counts: DataFrame, sums: DataFrame, *by: str) -> DataFrame:
+    """``counts`` with the sums of their terms. The length is a second key, by which neither side is dealt yet: both are
+    shuffled for the join alone, and the rows of a very common term are split."""
+    size = F.length("term")
+    return counts.withColumn("_size", size).join(sums.withColumn("_size", size), ["term", *by, "_size"]).drop("_size")
+
+
 def tfidf_batch(df: DataFrame, key: str, text: str, log_tf: bool = True, binary: bool = False, min_df: float = 0.0, max_df: float = 1.0, shortest: int = 1) -> DataFrame:
     """(key, term, tf, df, weight) with document shares over the whole table: weight = tf' * (1 + ln(1 / df))."""
     counts, n = term_counts(df, key, text, shortest), df.agg(F.count(F.lit(1)).alias("n_docs"))
-    shares = counts.groupBy("term").agg(F.count(F.lit(1)).alias("n_with"))
-    joined = counts.join(shares, "term").crossJoin(F.broadcast(n))  # one row
+    shares = counts.groupBy("term").agg(_documents().alias("n_with"))
+    joined = _by_term(counts, shares).crossJoin(F.broadcast(n))  # one row
     return _weighed(joined, F.col("n_with") / F.col("n_docs"), log_tf, binary, min_df, max_df).select(key, "term", "tf", "df", "weight")
 
 
 def tfidf_running(df: DataFrame, key: str, text: str, log_tf: bool = True, binary: bool = False) -> DataFrame:
     """As ``tfidf_batch``, with the shares as they stood when each document came, itself included; documents come in the
-    order of ``key``, whole numbers from 0 or 1 without gaps being their own count."""
+    order of ``key``, whole numbers from 0 or 1 without gaps being their own count.
+
+    Documents are counted in blocks, so a term's rows of one block at most are in one place, and one row a block is.
+    """
     from rillwood.operators.ordering import numbered
 
     place = numbered(df.select(key), key, "seen")
-    counts = term_counts(df, key, text).join(place, key)
-    running = F.row_number().over(W.partitionBy("term").orderBy(key))
-    return _weighed(counts.withColumn("n_with", running), F.col("n_with") / F.col("seen"), log_tf, binary, 0.0, 1.0).select(key, "term", "tf", "df", "weight")
+    counts = term_counts(df, key, text).join(place, key).withColumn("block", F.floor(F.col("seen") / BLOCK))
+    inside = counts.withColumn("inside", F.row_number().over(W.partitionBy("term", "block").orderBy("seen")))
+    before = W.partitionBy("term").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    # asks for all columns, so that nothing is pruned and the windows are made from one shuffle
+    all_held = (F.col("tf") > 0) & F.col(key).isNotNull()
+    starts = inside.groupBy("term", "block").agg(F.count_if(all_held).alias("n_in")).withColumn("before", F.coalesce(F.sum("n_in").over(before), F.lit(0)))
+    joined = inside.join(starts.drop("n_in"), ["term", "block"])
+    return _weighed(joined, (F.col("before") + F.col("inside")) / F.col("seen"), log_tf, binary, 0.0, 1.0).select(key, "term", "tf", "df", "weight")
 
 
 def hashed_tfidf(weights: DataFrame, key: str, probes: int = 2, buckets: int = 100) -> DataFrame:

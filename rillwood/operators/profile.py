@@ -53,17 +53,27 @@ def infer_event_types(events: DataFrame) -> DataFrame:
     return g.select("name", F.when(F.col("lo") != F.col("hi"), clash).otherwise(F.coalesce("lo", F.when(F.col("words") == 1, CATEGORIC).otherwise(NUMERIC))).alias("type"))
 
 
+def _coded(first: DataFrame, order: str) -> DataFrame:
+    """``first`` with a code from 0 by (order, value); values of equal order are numbered among themselves."""
+    from rillwood.operators.ordering import running_sums
+
+    # one row an order value, numbered in ranges; then its few values
+    groups = running_sums(first.groupBy(order).agg(F.count(F.lit(1)).alias("n")), order, {"upto": F.col("n")})
+    among = F.row_number().over(W.partitionBy(order).orderBy("value"))
+    return first.withColumn("among", among).join(groups, order).withColumn("code", F.col("upto") - F.col("n") + F.col("among") - 1)
+
+
 def dictionary(df: DataFrame, value: str, order: str) -> DataFrame:
-    """(value, code): codes from 0 in the order in which values first come. One row a distinct value."""
+    """(value, code): codes from 0 in the order in which values first come. One row a distinct value; ``order`` is a number."""
     first = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.min(order).alias("first"))
-    return first.select("value", (F.row_number().over(W.orderBy("first", "value")) - 1).alias("code"))
+    return _coded(first, "first").select("value", F.col("code").cast("long").alias("code"))
 
 
 def merge_dictionaries(first: DataFrame, more: DataFrame) -> DataFrame:
     """Codes of ``first`` stay; values only in ``more`` follow in its order."""
     base = first.agg(F.coalesce(F.max("code") + 1, F.lit(0)).alias("base"))
-    new = more.join(first, "value", "left_anti").crossJoin(F.broadcast(base))
-    return first.select("value", "code").unionByName(new.select("value", (F.col("base") + F.row_number().over(W.orderBy("code")) - 1).alias("code")))
+    new = _coded(more.join(first, "value", "left_anti").withColumnRenamed("code", "old"), "old").crossJoin(F.broadcast(base))  # one row
+    return first.select("value", "code").unionByName(new.select("value", (F.col("base") + F.col("code")).alias("code")))
 
 
 def encode(df: DataFrame, value: str, codes: DataFrame, name: str = "code") -> DataFrame:
