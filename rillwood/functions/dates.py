@@ -52,17 +52,29 @@ def _plus(at: Column, months: Column | int = 0, days: Column | int = 0, seconds:
     return at + F.make_interval(months=lit(months), days=lit(days)) + F.make_dt_interval(secs=lit(seconds).cast("decimal(18,6)"))
 
 
-_CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,3}))?)?\s*(am|pm)?(?:\s*(?:utc|gmt|z))?"
+#: Fixed offsets of named zones.
+ZONES = {"utc": "+00:00", "gmt": "+00:00", "z": "+00:00", "est": "-05:00", "edt": "-04:00", "cst": "-06:00", "cdt": "-05:00", "mst": "-07:00", "mdt": "-06:00", "pst": "-08:00", "pdt": "-07:00"}
+_OFFSET = r"[+-](?:0\d|1[0-4]):?[0-5]\d"
+_CLOCK = rf"(\d{{1,2}}):(\d{{2}})(?::(\d{{2}})(?:\.(\d{{1,3}}))?)?\s*(am|pm)?(?:\s*({'|'.join(ZONES)}|{_OFFSET}))?"
 _HOUR = r"(\d{1,2})\s*(am|pm)"
 
 
+def _in_zone(at: Column, zone: Column) -> Column:
+    """The time of day ``at`` as one of a named zone or an offset; as it is where there is none."""
+    offset = F.when(zone.rlike(f"^{_OFFSET}$"), F.regexp_replace(zone, r"^(...):?(..)$", "$1:$2"))
+    for name, by in ZONES.items():
+        offset = F.when(zone == name, by).otherwise(offset)
+    moved = F.convert_timezone(offset, F.current_timezone(), at.cast("timestamp_ntz")).cast("timestamp")
+    return F.when(zone == "", at).otherwise(moved)
+
+
 def _clock(text: Column, day: Column) -> Column:
     hour = lambda h, half: F.when(half == "pm", h % 12 + 12).when(half == "am", h % 12).otherwise(h)
     num = lambda p, k: F.coalesce(F.nullif(_got(text, p, k), F.lit("")).try_cast("int"), F.lit(0))
     h1, h2 = hour(num(_CLOCK, 1), _got(text, _CLOCK, 5)), hour(num(_HOUR, 1), _got(text, _HOUR, 2))
     millis = F.rpad(F.coalesce(F.nullif(_got(text, _CLOCK, 4), F.lit("")), F.lit("0")), 3, "0").try_cast("int")
     full = F.when((h1 < 24) & (num(_CLOCK, 2) < 60) & (num(_CLOCK, 3) < 60), _plus(day, seconds=h1 * 3600 + num(_CLOCK, 2) * 60 + num(_CLOCK, 3) + millis / 1000))
-    return F.when(_has(text, _CLOCK), full).when(_has(text, _HOUR), F.when(h2 < 24, _plus(day, seconds=h2 * 3600)))
+    return F.when(_has(text, _CLOCK), _in_zone(full, _got(text, _CLOCK, 6))).when(_has(text, _HOUR), F.when(h2 < 24, _plus(day, seconds=h2 * 3600)))
 
 
 _UNIT = r"([+-]?\s*\d+)\s*(second|sec|minute|min|hour|day|week|fortnight|month|year)s?"

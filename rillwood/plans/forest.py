@@ -254,8 +254,13 @@ def predict(df: DataFrame, forest: Forest, full: bool = False, vote: bool = Fals
     """``df`` with ``prediction`` and, with ``full``, ``distribution`` (label -> weight).
 
     A small forest is compiled into the plan, a large one sent to the tasks as arrays. ``out_of_bag`` (key, seed) asks only
-    the trees that haven't seen a row. A row without any tree to ask has a null prediction.
+    the trees that haven't seen a row. A row without any tree to ask has a null prediction, as has every row where the
+    forest has learned no label.
     """
+    kind = "double" if forest.classes is None else "string"
+    if not forest.trees or forest.classes == []:
+        nothing = {"prediction": F.lit(None).cast(kind)} | ({"distribution": F.lit(None).cast("map<string,double>")} if full and kind == "string" else {})
+        return df.withColumns(nothing)
     if forest.size <= COMPILED_NODES and not out_of_bag:
         if forest.classes is None:
             return df.withColumn("prediction", forest.mean_expr())
@@ -267,7 +272,7 @@ def predict(df: DataFrame, forest: Forest, full: bool = False, vote: bool = Fals
     shared = df.sparkSession.sparkContext.broadcast(forest.arrays())
     n_num, classes, n = len(forest.numeric), forest.classes, len(df.columns)
     held = df.select("*", *[F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(forest.numeric)], *[F.col(f"`{c}`").cast("string").alias(f"_x{n_num + i}") for i, c in enumerate(forest.categoric)], (F.col(out_of_bag[0]).cast("long") if out_of_bag else F.lit(0).cast("long")).alias("_key"))
-    extra = {"prediction": F.lit(None).cast("string" if classes else "double")} | ({"distribution": F.lit(None).cast("map<string,double>")} if full and classes else {})
+    extra = {"prediction": F.lit(None).cast(kind)} | ({"distribution": F.lit(None).cast("map<string,double>")} if full and classes else {})
     schema = df.withColumns(extra).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,18 +24,30 @@ def write_json(spark: SparkSession, value: dict, path: str) -> None:
     spark.range(1).select(F.lit(json.dumps(value)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def append_line(spark: SparkSession, value: dict, path: str) -> None:
+    """One more object in a folder of JSON lines, as a file of its own."""
+    spark.range(1).select(F.lit(json.dumps(value)).alias("value")).coalesce(1).write.mode("append").text(path)
+
+
 def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path).first()[0])
 
 
-def write_schema(df: DataFrame, path: str) -> None:
+def write_schema(df: DataFrame, path: str, profile: DataFrame | None = None) -> None:
+    """The columns with their types and metadata, and beside them the ``profile`` of their values."""
     write_json(df.sparkSession, json.loads(df.schema.json()), f"{path}/schema")
+    if profile is not None:
+        profile.write.mode("overwrite").parquet(f"{path}/profile")
 
 
 def read_schema(spark: SparkSession, path: str) -> T.StructType:
     return T.StructType.fromJson(read_json(spark, f"{path}/schema"))
 
 
+def read_profile(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/profile")
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     w = df.write.mode("overwrite")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)

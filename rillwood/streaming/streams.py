@@ -7,6 +7,7 @@ tested events with the epoch of its statistics. Restarting it goes on where its
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
@@ -16,23 +17,25 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rillwood.errors import StreamError
 from rillwood.operators import metrics
-from rillwood.operators.profile import NUMERIC, numeric_profile
+from rillwood.operators.profile import DATETIME, NUMERIC, numeric_profile
+from rillwood.operators.transforms import Transform, pipeline
 from rillwood.plans import forest as FO
 from rillwood.plans.estimator import learner_for
 from rillwood.plans.model import Forest
 from rillwood.plans.online import OnlineParams, collect_forest, train_online
-from rillwood.sources.sinks import read_json, write_json
+from rillwood.sources.files import new_files
+from rillwood.sources.sinks import append_line, read_json, write_json
 
 WAITING, PROCESSING, CLOSED, ERROR = "WAITING", "PROCESSING", "CLOSED", "ERROR"
 
 
 @dataclass
 class Config:
-    """Where streams live and how often a model that another process writes is looked for."""
+    """Where streams live, how often a model that another process writes is looked for, and how many files of a stream's own
+    events make a batch at most."""
 
     path: str
-    shuffle_partitions: int | None = None
-    reload_seconds: int = 10
+    reload_seconds: float = 10
     max_files_per_trigger: int = 16
 
 
@@ -46,14 +49,20 @@ class Description:
     trees: int = 10
     epoch: int = 0
     version: int = -1
+    batch: int = -1
     status: str = WAITING
     lineage: dict[str, str] = field(default_factory=dict)
 
 
 class Stream:
-    def __init__(self, spark: SparkSession, config: Config, about: Description, params: OnlineParams = OnlineParams()):
+    """``transforms`` make the attributes out of what comes, to be learned as well as asked for; functions aren't written
+    down, so whoever loads a stream gives them again."""
+
+    def __init__(self, spark: SparkSession, config: Config, about: Description, params: OnlineParams = OnlineParams(), transforms: tuple[Transform, ...] = ()):
         self.spark, self.config, self.about, self.params = spark, config, about, params
+        self.prepared = pipeline(*transforms)
         self.query: StreamingQuery | None = None
+        self._looked = time.monotonic()
         self._forest: tuple[int, Forest] | None = None
 
     # -- files -------------------------------------------------------------------------------------------------------
@@ -67,14 +76,15 @@ class Stream:
         write_json(self.spark, asdict(self.about), f"{self.path}/stream")
 
     @classmethod
-    def load(cls, spark: SparkSession, config: Config, stream_id: str) -> Stream:
-        return cls(spark, config, Description(**read_json(spark, f"{config.path}/{stream_id}/stream")))
+    def load(cls, spark: SparkSession, config: Config, stream_id: str, transforms: tuple[Transform, ...] = ()) -> Stream:
+        return cls(spark, config, Description(**read_json(spark, f"{config.path}/{stream_id}/stream")), transforms=transforms)
 
     def _model(self, version: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/model/{version}")
 
     def refresh(self) -> bool:
         """Takes over a newer version that another process has written; whether there was one."""
+        self._looked = time.monotonic()
         newer = Description(**read_json(self.spark, f"{self.path}/stream"))
         found = newer.version > self.about.version
         if found:
@@ -95,33 +105,50 @@ class Stream:
     def regression(self) -> bool:
         return self.about.learner.endswith("regressor")
 
-    def learn(self, batch: DataFrame, batch_id: int) -> None:
-        """Predicts a batch with the last model, records how it did, and learns it. A batch that was learned before is left
-        out, so a restart repeats nothing."""
-        if batch_id <= self.about.version:
+    def learn(self, batch: DataFrame, batch_id: int | None = None) -> None:
+        """Predicts a batch with the last model, records how it did, and learns it as the next version. A batch of a query that
+        was learned before is left out, so a restart repeats nothing; one without a number is always learned."""
+        if batch_id is not None and batch_id <= self.about.batch:
             return
+        batch, version = self.prepared(batch), self.about.version + 1
         known = self.about.version >= 0
         if known:
             tested = FO.predict(batch.filter(F.col(self.about.target).isNotNull()), self.forest())
         else:
             tested = batch.filter(F.col(self.about.target).isNotNull()).withColumn("prediction", F.lit(None).cast("double" if self.regression else "string"))
         actual = F.col(self.about.target).cast("double" if self.regression else "string").alias("actual")
-        tested.select(F.col(self.about.order).alias("order"), actual, "prediction", F.lit(self.about.epoch).alias("epoch"), F.lit(batch_id).alias("tick")).write.mode("overwrite").parquet(f"{self.path}/tested/tick={batch_id}")
+        tested.select(F.col(self.about.order).alias("order"), actual, "prediction", F.lit(self.about.epoch).alias("epoch"), F.lit(version).alias("tick")).write.mode("overwrite").parquet(f"{self.path}/tested/tick={version}")
         state = self._model(self.about.version) if known else None
         grown = train_online(batch, self.about.order, self.numeric, self.categoric, self.about.target, self.regression, self.about.trees, self.params, state)
-        grown.write.mode("overwrite").parquet(f"{self.path}/model/{batch_id}")
-        self.about.version = batch_id
+        grown.write.mode("overwrite").parquet(f"{self.path}/model/{version}")
+        self.about.version = version
+        self.about.batch = self.about.batch if batch_id is None else batch_id
         self.checkpoint()
 
-    def start(self, events: DataFrame) -> StreamingQuery:
-        """Learns from a streaming table of wide events until what is there is done."""
+    def start(self, events: DataFrame | None = None, seconds: float | None = None) -> StreamingQuery:
+        """Learns from a streaming table of wide events, or from those appended to the stream: until what is there is done, or
+        every so many ``seconds`` until it is stopped."""
         self.about.status = PROCESSING
-        self.query = events.writeStream.foreachBatch(self.learn).option("checkpointLocation", f"{self.path}/progress").trigger(availableNow=True).queryName(self.about.id).start()
+        when = {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
+        found = self.appended() if events is None else events
+        self.query = found.writeStream.foreachBatch(self.learn).option("checkpointLocation", f"{self.path}/progress").trigger(**when).queryName(self.about.id).start()
         return self.query
 
+    def append(self, event: dict) -> None:
+        """Keeps one event for the query that learns the stream's own events."""
+        if unknown := set(event) - {*self.about.types, self.about.order}:
+            raise StreamError(f"no attributes of {self.about.id}: {sorted(unknown)}")
+        append_line(self.spark, event, f"{self.path}/events")
+
+    def appended(self) -> DataFrame:
+        """The stream of appended events."""
+        kinds = {NUMERIC: "DOUBLE", DATETIME: "TIMESTAMP"}
+        columns = {self.about.order: "BIGINT"} | {c: kinds.get(k, "STRING") for c, k in self.about.types.items() if c != self.about.order}
+        return new_files(self.spark, f"{self.path}/events", ", ".join(f"`{c}` {k}" for c, k in columns.items()), per_trigger=self.config.max_files_per_trigger)
+
     def train(self, events: DataFrame) -> None:
         """Learns a plain table as one more batch."""
-        self.learn(events, self.about.version + 1)
+        self.learn(events)
 
     def join(self, seconds: int | None = None) -> None:
         if self.query:
@@ -145,6 +172,8 @@ class Stream:
     # -- asking ------------------------------------------------------------------------------------------------------
 
     def forest(self) -> Forest:
+        if not (self.query and self.query.isActive) and time.monotonic() - self._looked >= self.config.reload_seconds:
+            self.refresh()  # another process may be the one that learns
         if self.about.version < 0:
             raise StreamError(f"{self.about.id} has learned nothing yet")
         if self._forest is None or self._forest[0] != self.about.version:
@@ -152,13 +181,13 @@ class Stream:
         return self._forest[1]
 
     def predict(self, events: DataFrame, full: bool = False) -> DataFrame:
-        return FO.predict(events, self.forest(), full and not self.regression)
+        return FO.predict(self.prepared(events), self.forest(), full and not self.regression)
 
     def related_fields(self, k: int = -1) -> DataFrame:
         return FO.related_fields(self.spark, self.forest(), k, self.about.lineage)
 
     def related_fields_instance(self, events: DataFrame, key: str) -> DataFrame:
-        return FO.instance_importances(events, self.forest(), key)
+        return FO.instance_importances(self.prepared(events), self.forest(), key)
 
     def tested(self, start: int | None = None, end: int | None = None) -> DataFrame:
         """Tested events of the current epoch, of the ticks asked for."""
@@ -197,17 +226,17 @@ class Registry:
         self.spark, self.config = spark, config
         self.open: dict[str, Stream] = {}
 
-    def start_stream(self, types: dict[str, str], target: str, order: str, learner: str | None = None, trees: int = 10, stream_id: str | None = None, params: OnlineParams = OnlineParams()) -> Stream:
+    def start_stream(self, types: dict[str, str], target: str, order: str, learner: str | None = None, trees: int = 10, stream_id: str | None = None, params: OnlineParams = OnlineParams(), transforms: tuple[Transform, ...] = ()) -> Stream:
         """A new stream; the learner follows from the target's type unless it is given."""
         about = Description(stream_id or uuid.uuid4().hex, target, order, types, learner or learner_for(types[target]), trees)
-        s = Stream(self.spark, self.config, about, params)
+        s = Stream(self.spark, self.config, about, params, transforms)
         s.checkpoint()
         self.open[about.id] = s
         return s
 
-    def get_stream(self, stream_id: str) -> Stream:
+    def get_stream(self, stream_id: str, transforms: tuple[Transform, ...] = ()) -> Stream:
         if stream_id not in self.open:
-            self.open[stream_id] = Stream.load(self.spark, self.config, stream_id)
+            self.open[stream_id] = Stream.load(self.spark, self.config, stream_id, transforms)
         return self.open[stream_id]
 
     def streams(self) -> list[str]:

@@ -65,3 +65,34 @@ def test_dates_in_words(spark, text, at):
 def test_strict_dates_raise(spark):
     with pytest.raises(Exception, match="not a date"):
         one(spark, D.parse_date_strict(F.lit("whenever"), F.lit(NOW).cast("timestamp")))
+
+
+def test_clock_times_have_zones(spark):
+    now = F.lit(NOW).cast("timestamp")
+    wanted = {"10:30 -0500": (29, 15), "10:30 est": (29, 15), "10:30 +02:00": (29, 8), "10:30 gmt": (29, 10), "11:30 am pdt": (29, 18), "10:30": (29, 10)}
+    for text, (day, hour) in wanted.items():
+        assert one(spark, D.parse_date(F.lit(text), now)) == datetime(2024, 2, day, hour, 30)
+    assert one(spark, D.parse_date(F.lit("10:30 pm pst"), now)) == datetime(2024, 3, 1, 6, 30)
+    assert one(spark, D.parse_date(F.lit("10:30 +99:00"), now)) is None
+    assert one(spark, D.epoch_millis(F.lit("1970-01-01 00:00:01"))) == 1000
+
+
+def test_long_grams_are_those_of_a_loop(spark):
+    words = ["a", "bb", "a", "c.d", "é", "$1"]
+    want = words + [" ".join(words[i : i + n]) for n in (2, 3) for i in range(len(words) - n + 1)]
+    assert one(spark, X.word_ngrams(F.array(*map(F.lit, words)), 3)) == want
+    assert one(spark, X.word_ngrams(F.array(F.lit("a")), 3)) == ["a"]
+
+
+def test_running_shares_go_on_over_blocks(spark, monkeypatch):
+    texts = [(i, "all " + ("odd" if i % 2 else "even even")) for i in range(1, 40)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    whole = {(r["id"], r["term"]): r["df"] for r in X.tfidf_running(df, "id", "text").collect()}
+    monkeypatch.setattr(X, "BLOCK", 7)
+    cut = {(r["id"], r["term"]): r["df"] for r in X.tfidf_running(df, "id", "text").collect()}
+    assert cut == whole and len(cut) == 78
+    assert cut[39, "all"] == 1.0 and cut[39, "odd"] == 20 / 39 and cut[38, "even"] == 19 / 38
+
+
+def test_murmur_is_that_of_the_engine(spark):
+    assert one(spark, H.murmur(F.lit("x"))) == one(spark, F.hash(F.lit("x")))

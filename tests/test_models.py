@@ -162,3 +162,88 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "d.csv").write_text("x,k,y\n" + "".join(f"{i % 20},{'ab'[i % 2]},{'lo' if i % 20 < 10 else 'hi'}\n" for i in range(400)))
     out = main([str(tmp_path / "d.csv"), "y", "--trees", "3", "--depth", "3"], spark)
     assert out["rows"] == 400 and out["stats"]["accuracy"] > 0.95
+
+
+def test_stream_of_appended_events(spark, tmp_path):
+    from rillwood.operators.transforms import drop_where_null
+    from rillwood.streaming.streams import StreamError, describe
+
+    config = Config(str(tmp_path / "streams"), reload_seconds=0)
+    types, only = {"size": NUMERIC, "anomaly": CATEGORIC}, (drop_where_null(["size"]),)
+    s = Registry(spark, config).start_stream(types, "anomaly", "id", trees=1, stream_id="own", transforms=only)
+    reader = Registry(spark, config).get_stream("own", only)
+    for i in range(4):
+        s.append({"id": i, "size": float(i) if i else None, "anomaly": "ab"[i % 2]})
+    with pytest.raises(StreamError, match="colour"):
+        s.append({"colour": 1})
+    s.start()
+    s.join()
+    assert s.tested().count() == 3  # the transform has left one out
+    with pytest.raises(StreamError):
+        Registry(spark, config).start_stream(types, "anomaly", "id", stream_id="none").forest()
+    assert reader.about.version == -1 and reader.forest().info()["n_models"] == 1
+    assert reader.about.version == s.about.version  # looked for when it was asked
+    s.train(spark.createDataFrame([(9, 1.0, "a")], "id long, size double, anomaly string"))
+    s.append({"id": 10, "size": 2.0, "anomaly": "b"})
+    s.start()
+    s.join()
+    assert s.tested().count() == 5 and s.progress()["error"] is None  # neither way of learning hides the other's batches
+    assert '"own"' in describe(s) and s.get_info()["schema"] == types
+
+
+def test_stream_runs_until_stopped(spark, tmp_path):
+    import time
+
+    s = Registry(spark, Config(str(tmp_path / "streams"))).start_stream({"x": NUMERIC, "y": CATEGORIC}, "y", "id", trees=1)
+    s.append({"id": 1, "x": 1.0, "y": "a"})
+    s.start(seconds=0.2)
+    until = time.time() + 60
+    while s.about.version < 0 and time.time() < until:
+        time.sleep(0.2)
+    s.append({"id": 2, "x": 1.0, "y": "a"})
+    while s.about.version < 1 and time.time() < until:
+        time.sleep(0.2)
+    assert s.progress()["active"] and s.progress()["rows"] >= 1
+    s.stop()
+    assert s.about.version == 1 and not s.progress()["active"] and s.about.status == "CLOSED"
+
+
+def test_forest_without_labels_predicts_null(spark):
+    df = spark.createDataFrame([(1, 1.0)], "id long, x double")
+    for trees, classes, kind in (([], None, "double"), ([], [], "string")):
+        assert FO.predict(df, Forest(trees, classes, ["x"], [], "y")).dtypes[-1] == ("prediction", kind)
+    unlearned = collect_forest(train_online(df.withColumn("y", F.lit(None).cast("string")), "id", ["x"], [], "y", trees=2), "y", ["x"], [])
+    assert FO.predict(df, unlearned, full=True).first()[2:] == (None, None)
+
+
+def test_forest_is_saved_whole(spark, tmp_path):
+    from rillwood.plans.estimator import Classifier, Regressor
+
+    df = separator(spark, 400).withColumn("y", F.col("size") * 2)
+    c = Classifier(trees=2, depth=3).fit(df, "id", ["size"], ["type"], "anomaly")
+    c.model.save(spark, str(tmp_path / "m"))
+    assert Forest.load(spark, str(tmp_path / "m")).to_json() == c.model.to_json()
+    r = Regressor(trees=2, depth=3).fit(df, "id", ["size"], ["type"], "y")
+    assert r.stats(df).first()["mae"] < 10 * c.stats(df).count() * df.agg(F.stddev("y")).first()[0]
+
+
+def test_sketch_that_is_frozen_or_weighs_gaps():
+    frozen, weighed = Sketch(8, freeze=4), Sketch(2, gap_weighted=True)
+    for x in (1, 2, 3, 4, 2.2, 100):
+        frozen.insert(x)
+    assert frozen.means == [1, 2, 3, 4] and frozen.total == 6 and frozen.max == 100
+    for x in [0.0] * 50 + [10.0] * 50 + [21.0]:
+        weighed.insert(x)
+    assert weighed.means[0] == 0.0 and 10 < weighed.means[1] < 11  # the wider gap joins, for it is by a single value
+    mean = Sketch(8)
+    for x in (1, 2, 3):
+        mean.insert(x, 10.0 * x)
+    assert mean.average_target(2) is not None
+
+
+def test_profiles_of_batches(spark, tmp_path):
+    from rillwood.streaming.streams import profile_stream
+
+    spark.range(6).selectExpr("cast(id AS double) AS x").repartition(2).write.parquet(str(tmp_path / "in"))
+    profile_stream(spark.readStream.schema("x double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), ["x"], str(tmp_path / "out")).awaitTermination()
+    assert spark.read.json(str(tmp_path / "out/batch=*")).agg(F.sum("n")).first()[0] == 6

@@ -121,3 +121,26 @@ def test_derived_columns_know_their_parent(spark):
     assert R.parents(df)["d_mi"] == "d" and R.parents(df)["id"] == "id"
     r = df.first()
     assert (r.d_y, r.d_m, r.d_d, r.d_dm, r.d_h, r.d_mi, r.d_s) == (2024, 3, "5", 14, 1, 2, 3)
+
+
+def test_codes_of_equal_order(spark):
+    from rillwood.operators.profile import dictionary, merge_dictionaries
+
+    df = spark.createDataFrame([("b", 1), ("a", 1), ("c", 0), (None, 0), ("a", 0)], "v string, n long")
+    first = dictionary(df, "v", "n")
+    assert {r["value"]: r["code"] for r in first.collect()} == {"a": 0, "c": 1, "b": 2}
+    more = spark.createDataFrame([("z", 0), ("a", 1), ("y", 7)], "value string, code long")
+    assert {r["value"]: r["code"] for r in merge_dictionaries(first, more).collect()} == {"a": 0, "c": 1, "b": 2, "z": 3, "y": 4}
+    assert dictionary(df.limit(0), "v", "n").count() == 0
+
+
+def test_small_helpers(spark):
+    from rillwood.operators import metrics, transforms
+
+    df = spark.createDataFrame([("a", "a", 1.0, 2.0), ("b", "a", 2.0, 2.0)], "y string, p string, u double, v double")
+    assert metrics.error_estimate(df, "y", "p", False).first()[0] == 0.5
+    assert abs(metrics.error_estimate(df, "u", "v", True).first()[0] - 0.5**0.5) < 1e-12
+    assert {r["actual"]: r["a"] for r in metrics.confusion_wide(df, "y", "p", ["a", "b"]).collect()} == {"a": 1, "b": 1}
+    assert df.select(transforms.unmapped(F.array("u", "v"), ["x", "y"]).alias("m")).first()["m"] == {"x": 1.0, "y": 2.0}
+    ticks = spark.createDataFrame([(1, None), (None, 5)], "x int, tick int")
+    assert transforms.drop_ticks()(ticks).collect() == [(1,)]

@@ -79,3 +79,70 @@ def test_http_sources(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.format("json_lines_http").option("url", at + "/lines").load().collect()) == ['{"a": 1}', '{"a": 2}']
     assert sorted(r[0] for r in spark.read.format("paged_http").option("url", at + "/p1").load().collect()) == ['{"x": 1}', '{"x": 2}']
     server.shutdown()
+
+
+def test_lines_are_followed(spark, tmp_path):
+    import threading
+    import time
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from rillwood.sources.http import register
+
+    sent, asked = [f'{{"a": {i}}}\n' for i in range(5)] + ["broken\n"], []
+
+    class Endless(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.headers["Authorization"])
+            self.send_response(200)
+            self.end_headers()
+            at = 0
+            while at < len(sent) or at < 12:  # stays open until all twelve lines are there
+                if at < len(sent):
+                    self.wfile.write(sent[at].encode())
+                    at += 1
+                else:
+                    time.sleep(0.05)
+
+        def log_message(self, *a):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Endless)
+    server.daemon_threads = True
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    register(spark)
+    options = {"url": f"http://127.0.0.1:{server.server_port}/", "batch_seconds": "1", "batch_lines": "4", "auth": "me:secret"}
+    lines = spark.readStream.format("json_lines_http").options(**options).load()
+    query = lines.writeStream.format("memory").queryName("followed").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        until = time.time() + 60
+        while time.time() < until and spark.sql("SELECT count(*) FROM followed").first()[0] < 5:
+            time.sleep(0.3)
+        sent.extend(f'{{"a": {i}}}\n' for i in range(5, 11))
+        while time.time() < until and spark.sql("SELECT count(*) FROM followed").first()[0] < 11:
+            time.sleep(0.3)
+        assert sorted(json.loads(r[0])["a"] for r in spark.table("followed").collect()) == list(range(11))
+    finally:
+        query.stop()
+        server.shutdown()
+    assert set(asked) == {"Basic bWU6c2VjcmV0"}
+
+
+def test_profile_stays_with_the_schema(spark, tmp_path):
+    from rillwood.operators.profile import numeric_profile
+
+    df = spark.sql("SELECT cast(id AS double) AS x FROM range(5)")
+    sinks.write_schema(df, str(tmp_path / "s"), numeric_profile(df, ["x"]))
+    assert sinks.read_schema(spark, str(tmp_path / "s")) == df.schema
+    got = sinks.read_profile(spark, str(tmp_path / "s")).first()
+    assert (got["name"], got["n"], got["mean"], got["max"]) == ("x", 5, 2.0, 4.0)
+
+
+def test_new_files_come_once_and_are_logged(spark, tmp_path):
+    def run():
+        q = sinks.log_stream(files.new_files(spark, str(tmp_path / "in"), "a INT"), str(tmp_path / "log"), str(tmp_path / "c"))
+        q.awaitTermination()
+
+    for k in range(2):
+        sinks.append_line(spark, {"a": k}, str(tmp_path / "in"))
+        run()
+    assert sorted(r[0] for r in spark.read.schema("a INT").json(str(tmp_path / "log")).collect()) == [0, 1]
