@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, mixing, substring_dedup, topk
+from . import chat, decontamination, mixing, prefix_trie, substring_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +74,11 @@ def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_scoring, op3_substring_dedup, op4_language_id, op5_sharding, op6_exact_dedup, op7_chat_formatting, op8_mixing, op9_quality_classifier, op10_decontamination, op11_topk)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_scoring, op3_substring_dedup, op4_language_id, op5_sharding, op6_exact_dedup, op7_chat_formatting, op8_mixing, op9_quality_classifier, op10_decontamination, op11_topk, op13_prefix_trie)}
 
 LOWER_SQL = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -88,4 +92,5 @@ ORACLE = {
     "op8_mixing": mixing.mix_sql(),
     "op10_decontamination": decontamination.CONTAMINATION_SQL,
     "op11_topk": topk.TOP_SQL,
+    "op13_prefix_trie": prefix_trie.TRIE_SQL,
 }
