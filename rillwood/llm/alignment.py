@@ -6,7 +6,7 @@ these multiplicities into postings by side id (the first tokenizer's): the partn
 each is linked, and the documents with their multiplicities. Sums of the batch counts over the corpus, one list a side id,
 which the other vocabulary bounds, and the postings are then shuffled by side id and read as sorted streams that spill: each
 task has a side id's counts first, takes their maximum and reads its postings past them, a batch's at a time. What that adds
-to each document is summed by document. A side id with many postings is dealt to many tasks, each with a copy of its counts.
+to documents goes back packed by batch and is summed by document. A side id with many postings is dealt to many tasks, each with a copy of its counts.
 """
 
 from __future__ import annotations
@@ -207,17 +207,21 @@ def _aligner(files) -> Callable:
 
 
 def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, n_best, count_sum) of postings; the counts of a side id come before its postings."""
+    """What postings add to documents, packed by the batch that holds these; the counts of a side id come before its
+    postings."""
     partners = counts = best = None
-    held, size = [], 0
+    held, firsts, size = [], set(), 0
 
     def out() -> pa.RecordBatch:
-        rows, times, good, counted = (np.concatenate(x) for x in zip(*held)) if held else [np.zeros(0, np.int64)] * 4
+        rows, times, good, counted = (np.concatenate(x) for x in zip(*held))
         row, at = np.unique(rows, return_inverse=True)
         n_best, total = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
         np.add.at(n_best, at, times * good)
         np.add.at(total, at, times * counted)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (row, n_best, total)], names=["row", "n_best", "count_sum"])
+        first = np.array(sorted(firsts))
+        edges = np.append(np.searchsorted(row, first), len(row))  # batches are ranges of rows, apart from one another
+        docs = (row - np.repeat(first, np.diff(edges))).astype("<u2")
+        return pa.RecordBatch.from_arrays([pa.array(first), *(_binaries(x, edges) for x in (docs, n_best, total))], names=["first", "docs", "n_best", "count_sum"])
 
     for batch in batches:
         first = batch.column("first").to_pylist()
@@ -233,14 +237,36 @@ def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             docs, times = (np.frombuffer(batch.column(x)[k].as_buffer(), kind).astype(np.int64) for x, kind in (("docs", "<u2"), ("times", "<u4")))
             counted = np.repeat(counts[np.searchsorted(partners, b)], n)
             held.append((at + docs, times, counted == best, counted))
+            firsts.add(at)
             size += len(docs)
             if size >= POSTINGS:
                 yield out()
-                held, size = [], 0
+                held, firsts, size = [], set(), 0
     if held:
         yield out()
 
 
+def _document_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, n_best, count_sum) of contributions that come a batch of documents after another."""
+    first, sums = None, np.zeros((2, BATCH_DOCS), np.int64)
+
+    def out() -> pa.RecordBatch:
+        row = np.flatnonzero(sums[1])  # a document with a link counts at least 1
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (first + row, sums[0, row], sums[1, row])], names=["row", "n_best", "count_sum"])
+
+    for batch in batches:
+        for k, at in enumerate(batch.column("first").to_pylist()):
+            if at != first:
+                if first is not None:
+                    yield out()
+                first, sums = at, np.zeros((2, BATCH_DOCS), np.int64)
+            docs, n_best, total = (np.frombuffer(batch.column(x)[k].as_buffer(), kind) for x, kind in (("docs", "<u2"), ("n_best", "<i8"), ("count_sum", "<i8")))
+            sums[0, docs] += n_best
+            sums[1, docs] += total
+    if first is not None:
+        yield out()
+
+
 def align(documents: DataFrame, tokenizers: str = "/opt/tokenizers", byte_level: str = "byte_bpe_50k.json", pieces: str = "piece_bpe_32k.model", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), a row a row of ``documents``: how many tokens
     each side has, the groups and links, the links whose pair is linked in the most documents of all pairs of its side id, and
@@ -271,6 +297,7 @@ def align(documents: DataFrame, tokenizers: str = "/opt/tokenizers", byte_level:
     many = F.broadcast(slices.filter("slices > 1").select("a", "slices"))  # a row a side id at most
     dealt = posts.join(many, "a", "left").select("a", F.pmod(F.xxhash64("first"), F.coalesce("slices", F.lit(1))).cast("int").alias("slice"), "first", "b", "n", "docs", "times", F.lit(None).cast("array<long>").alias("total"))
     streams = heads.unionByName(dealt).repartition(parts, "a", "slice").sortWithinPartitions("a", "slice", F.asc_nulls_first("first"))
-    sums = streams.mapInArrow(_contributions, "row long, n_best long, count_sum long").groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    added = streams.mapInArrow(_contributions, "first long, docs binary, n_best binary, count_sum binary")
+    sums = added.repartition(parts, "first").sortWithinPartitions("first").mapInArrow(_document_sums, "row long, n_best long, count_sum long")
     docs = aligned.filter("row IS NOT NULL").select(*_NAMES[:7])
     return docs.join(sums, "row", "left").fillna(0, ["n_best", "count_sum"]).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
