@@ -13,6 +13,7 @@ from rillwood.operators.profile import CATEGORIC, NUMERIC
 from . import forest as FO
 from .model import Forest
 from .online import OnlineParams, collect_forest, train_online
+from .parallel import grow
 
 KINDS = [f"{m}_{t}" for m in ("hoeffding", "hoeffding_extra", "rf", "rf_extra") for t in ("classifier", "regressor")]
 
@@ -29,20 +30,23 @@ class Learner(Protocol):
 
 
 class TreeLearner:
-    """One online Hoeffding tree, or a forest trained level by level."""
+    """One online Hoeffding tree, or a forest trained level by level. A Hoeffding tree looks at each event, in one task; with
+    ``parallel`` all tasks grow it in micro-batches."""
 
-    def __init__(self, kind: str, **params):
+    def __init__(self, kind: str, parallel: bool = False, **params):
         if kind not in KINDS:
             raise RillwoodError(f"no learner {kind!r}; there are {', '.join(KINDS)}")
         self.kind, self.regression, extra = kind, kind.endswith("regressor"), "_extra" in kind
-        self.online = kind.startswith("hoeffding")
+        self.online, self.parallel = kind.startswith("hoeffding"), parallel
         self.params = replace(OnlineParams(extra=extra), **params) if self.online else replace(FO.Params(extra=extra), **params)
         self.model: Forest | None = None
         self.spark = None
 
     def fit(self, df: DataFrame, key: str, numeric: list[str], categoric: list[str], target: str) -> TreeLearner:
         self.spark = df.sparkSession
-        if self.online:
+        if self.online and self.parallel:
+            self.model = grow(df, key, numeric, categoric, target, self.regression, 1, self.params).forest()
+        elif self.online:
             state = train_online(df, key, numeric, categoric, target, self.regression, 1, self.params)
             self.model = collect_forest(state, target, numeric, categoric, self.regression)
         else:
@@ -65,8 +69,8 @@ class TreeLearner:
         return {"kind": self.kind, **self.model.info()}
 
 
-def make_learner(kind: str, **params) -> TreeLearner:
-    return TreeLearner(kind, **params)
+def make_learner(kind: str, parallel: bool = False, **params) -> TreeLearner:
+    return TreeLearner(kind, parallel, **params)
 
 
 def learner_for(target_type: str) -> str:

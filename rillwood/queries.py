@@ -5,8 +5,6 @@ Doubles are rounded on both sides; what depends on the order of floating-point s
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +24,9 @@ from rillwood.plans import forest as FO
 from rillwood.plans.estimator import Clusterer, make_learner
 from rillwood.plans.model import CATEGORIC, LEAF, NUMERIC, Forest, Node
 from rillwood.plans.online import OnlineParams, collect_forest, train_online
+from rillwood.plans.parallel import grow
 from rillwood.sources.files import parse_event_batches, read_table
+from rillwood.sources.work import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -655,9 +655,43 @@ def forest_out_of_bag(spark, sf):
 
 @query("SELECT unnest(range(4))::INT AS tree, true AS accurate")
 def online_hoeffding(spark, sf):
+    grown = grow(_lines(spark, sf), "key", *_FEATURES, "rule", trees=4, params=OnlineParams(split_freq=50))
+    return grown.quality().select("tree", (F.col("correct") / F.col("tested") > 0.9).alias("accurate"))  # from the second batch on
+
+
+_RULE_SQL = "CASE WHEN l_quantity > 25 AND l_discount <= 0.05 THEN 'bulk' WHEN l_returnflag = 'R' THEN 'back' ELSE 'plain' END"
+
+
+def _best_split_sql(rows: str, node: str) -> str:
+    """The best split of rows (node, q, d, y): by information gain, at bins up to which each k-th 16th of the rows is."""
+    labels = ["back", "bulk", "plain"]
+    upto = "sum({}) OVER (PARTITION BY node, attr ORDER BY x)"
+    whole = "sum({}) OVER (PARTITION BY node, attr)"
+    left, all_ = [f"l_{y}" for y in labels], [f"a_{y}" for y in labels]
+    right = [f"({a} - {b})" for a, b in zip(all_, left)]
+    cells = ", ".join(f"count(*) FILTER (WHERE y = '{y}') AS c_{y}" for y in labels)
+    sums = ", ".join(f"{upto.format(f'c_{y}')} AS l_{y}, {whole.format(f'c_{y}')} AS a_{y}" for y in labels)
+    return f"""SELECT node, attr, x AS split, round(gain, 9) AS gain FROM (
+        SELECT node, attr, x, {_entropy_sql(all_)} - m / n * {_entropy_sql(left)} - (1 - m / n) * {_entropy_sql(right)} AS gain FROM (
+            SELECT node, attr, x, {sums}, {upto.format("c")} AS m, {whole.format("c")} AS n, c FROM (
+                SELECT node, attr, x, count(*) AS c, {cells} FROM (
+                    SELECT {node} AS node, 'l_quantity' AS attr, l_quantity AS x, {_RULE_SQL} AS y FROM {rows}
+                    UNION ALL SELECT {node}, 'l_discount', l_discount, {_RULE_SQL} FROM {rows}) GROUP BY node, attr, x))
+        WHERE m < n AND 16 * m // n > 16 * (m - c) // n)
+        QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(gain, 12) DESC, attr, x) = 1"""
+
+
+@query(f"""
+    WITH root AS ({_best_split_sql("lineitem", "0")}),
+    routed AS (SELECT l.*, CASE WHEN CASE WHEN r.attr = 'l_quantity' THEN l.l_quantity ELSE l.l_discount END <= r.split THEN 1 ELSE 2 END AS side FROM lineitem AS l, root AS r),
+    below AS ({_best_split_sql("routed", "side")})
+    SELECT node::INT AS node, attr, split, gain FROM root UNION ALL SELECT node::INT, attr, split, gain FROM below WHERE gain > 0""")
+def hoeffding_depth_two(spark, sf):
+    """One tree of two levels from bins that all tasks merged, as the rows themselves say it."""
     lines = _lines(spark, sf)
-    state = train_online(lines, "key", *_FEATURES, "rule", trees=4, params=OnlineParams(split_freq=50))
-    return state.select("tree", (F.col("correct") / F.col("tested") > 0.9).alias("accurate"))  # from the first event on
+    grown = grow(lines, "key", ["l_quantity", "l_discount"], [], "rule", params=OnlineParams(delta=1.0, split_freq=1), batches=1, passes=2)
+    inner = grown.forest().table(spark).filter(F.col("kind") != LEAF)
+    return rounded(inner.select("node", "attr", "split", "gain"), "gain", digits=9)
 
 
 @query(_BAR_SQL)
@@ -698,13 +732,7 @@ def json_event_batches(spark, sf):
 def prequential_stream(spark, sf):
     from rillwood.streaming.streams import Config, Registry
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="rillwood-")
-    root = root.rstrip("/")
-    top = f"{root}/streams-{uuid.uuid4().hex}"
+    top = work_path(spark, "streams")
     lines = _lines(spark, sf).select("key", "l_quantity", "l_discount", "rule")
     lines.repartitionByRange(4, "key").write.parquet(f"{top}/landing")
     types = {"l_quantity": P.NUMERIC, "l_discount": P.NUMERIC, "rule": P.CATEGORIC}
@@ -712,3 +740,22 @@ def prequential_stream(spark, sf):
     s.start(spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/landing"))
     s.join()
     return s.stats_history()
+
+
+@query(_best_split_sql("lineitem", "0").replace("SELECT node,", "SELECT node::INT AS node,", 1))
+def keyed_stream_root(spark, sf):
+    """The split of a root whose bins three micro-batches have gathered in the state store, as all rows say it."""
+    from rillwood.streaming.keyed import KeyedStream
+
+    top, provider = work_path(spark, "keyed"), "spark.sql.streaming.stateStore.providerClass"
+    lines = _lines(spark, sf).select("key", "l_quantity", "l_discount", "rule")
+    lines.repartitionByRange(3, "key").write.parquet(f"{top}/landing")
+    events = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/landing")
+    params = OnlineParams(delta=1.0, split_freq=lines.count())  # due when all have come
+    stream, before = KeyedStream(spark, f"{top}/stream", ["l_quantity", "l_discount"], [], "rule", "key", params=params), spark.conf.get(provider, None)
+    try:
+        stream.start(events).awaitTermination()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    inner = stream.forest.forest().table(spark).filter(F.col("kind") != LEAF)
+    return rounded(inner.select("node", "attr", "split", "gain"), "gain", digits=9)
