@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rillwood.functions import arrays as A
+from rillwood.functions import countmin as C
 from rillwood.functions import dates as D
 from rillwood.functions import hashing as H
 from rillwood.functions import text as X
@@ -240,6 +241,46 @@ def tfidf_hashed(spark, sf):
     return rounded(X.hashed_tfidf(w, "doc_id"), "weight", digits=4)
 
 
+_CELL_SQL = "(" + _MD5.format("term") + " + i * " + _MD5.replace("1, 8", "9, 8").format("term") + ") % 200"
+_COUNTED_SQL = f"""{_TF_SQL}, part AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 3 = 1 THEN 1 ELSE 2 END AS batch FROM documents),
+    at AS (SELECT doc_id, term, i::INT AS row, ({_CELL_SQL})::INT AS cell FROM tf, range(5) AS r(i)),
+    cells AS (SELECT row, cell, count(*) AS n FROM at GROUP BY row, cell)""".replace("at AS", "placed AS").replace("FROM at GROUP", "FROM placed GROUP")
+
+
+@query(f"WITH {_COUNTED_SQL} SELECT row, cell, n FROM cells UNION ALL SELECT -1, 0, count(*) FROM documents")
+def countmin_cells(spark, sf):
+    """Cells of three parts of the table, added up."""
+    docs = read_table(spark, sf, "documents")
+    return C.merge_cells(*[C.document_cells(docs.filter(F.pmod("doc_id", F.lit(3)) == k), "text") for k in range(3)])
+
+
+@query(f"WITH {_COUNTED_SQL}, df AS (SELECT term, count(*) AS n_docs FROM tf GROUP BY term) SELECT df.term, n_docs, min(n) AS estimate FROM df JOIN (SELECT DISTINCT term, row, cell FROM placed) AS p USING (term) JOIN cells USING (row, cell) GROUP BY df.term, n_docs")
+def countmin_terms(spark, sf):
+    """Documents of each term: how many there are and how many the table says."""
+    docs = read_table(spark, sf, "documents")
+    terms = X.term_counts(docs, "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"))
+    return C.CountMin().estimated(terms, F.col("term"), C.document_cells(docs, "text"))
+
+
+@query(f"""WITH {_COUNTED_SQL}, placed_in AS (SELECT placed.*, batch FROM placed JOIN part USING (doc_id)),
+    own AS (SELECT batch, row, cell, count(*) AS n FROM placed_in GROUP BY ALL),
+    upto AS (SELECT b.batch, own.row, own.cell, sum(own.n) AS n FROM (SELECT DISTINCT batch FROM part) AS b JOIN own ON own.batch <= b.batch GROUP BY ALL),
+    docs AS (SELECT b.batch, count(*) AS n_docs FROM (SELECT DISTINCT batch FROM part) AS b JOIN part ON part.batch <= b.batch GROUP BY ALL),
+    est AS (SELECT doc_id, term, p.batch, min(n) AS n FROM placed_in AS p JOIN upto AS u ON u.batch = p.batch AND u.row = p.row AND u.cell = p.cell GROUP BY ALL)
+    SELECT doc_id, term, tf, e.batch::INT AS batch, round(least(1.0, e.n / n_docs), 6) AS df, round((1 + ln(tf)) * (1 + ln(1 / least(1.0, e.n / n_docs))), 6) AS weight
+    FROM est AS e JOIN tf USING (doc_id, term) JOIN docs ON docs.batch = e.batch""")
+def tfidf_stream(spark, sf):
+    """Three micro-batches, each weighed by all documents up to its end."""
+    from rillwood.streaming.tfidf import StreamingTfidf
+
+    top, docs = work_path(spark, "tfidf"), read_table(spark, sf, "documents").select("doc_id", "text")
+    for k in range(3):  # files come in this order
+        docs.filter(F.pmod("doc_id", F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{top}/landing")
+    stream = StreamingTfidf(spark, f"{top}/stream", "doc_id", "text")
+    stream.start(spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/landing")).awaitTermination()
+    return rounded(stream.weights(), "df", "weight")
+
+
 _TAGGED = "text || CASE doc_id % 3 WHEN 0 THEN ' #Tag' || doc_id || ' :)' WHEN 1 THEN ' #a_b :-(' ELSE '' END"
 
 
