@@ -26,6 +26,7 @@ from rillwood.plans.estimator import Clusterer, make_learner
 from rillwood.plans.model import CATEGORIC, LEAF, NUMERIC, Forest, Node
 from rillwood.plans.online import OnlineParams, collect_forest, train_online
 from rillwood.plans.parallel import grow
+from rillwood.plans.routing import predict_by_joins as routed
 from rillwood.sources.files import parse_event_batches, read_table
 from rillwood.sources.work import work_path
 
@@ -531,6 +532,14 @@ def predict_full_fixed_model(spark, sf):
     return out.select("event_id", F.col("distribution.buy").alias("buy"), F.col("distribution.leave").alias("leave"))
 
 
+@query(f"SELECT event_id, CASE WHEN c0 >= c1 THEN 'buy' ELSE 'leave' END AS prediction, c0 AS buy, c1 AS leave FROM ({_FULL_SQL})")
+def predict_by_joins(spark, sf):
+    """The fixed model as a table of nodes that rows are joined with, two levels at a time."""
+    f = _fixed()
+    out = routed(_model_rows(spark, sf), "event_id", f.table(spark), f.numeric, f.categoric, f.classes, 2)
+    return out.select("event_id", "prediction", F.col("distribution.buy").alias("buy"), F.col("distribution.leave").alias("leave"))
+
+
 _WORTH = {n.attr: n.gain * n.n for t in _fixed().trees for n in t if n.kind != LEAF}
 
 
