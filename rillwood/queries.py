@@ -16,6 +16,7 @@ from rillwood.functions import countmin as C
 from rillwood.functions import dates as D
 from rillwood.functions import hashing as H
 from rillwood.functions import text as X
+from rillwood.operators import auc as U
 from rillwood.operators import metrics as M
 from rillwood.operators import profile as P
 from rillwood.operators import sketch as K
@@ -362,6 +363,33 @@ def auc_online(spark, sf):
     return rounded(M.online_auc(_events(spark, sf), "event_id", F.col("event_type") == "purchase", F.col("value")), "auc")
 
 
+def _history_sql(rank: str) -> str:
+    """The AUC of purchases against histories of 10 slots a class, a slot keeping the row of the highest rank."""
+    slot, hash_ = (_MD5.format(f"('{x}:' || o)") for x in ("slot", "rank"))
+    return f"""WITH d AS (SELECT event_id AS o, (event_type = 'purchase')::INT AS y, value AS s FROM events WHERE value IS NOT NULL),
+        h AS (SELECT y, s FROM d QUALIFY row_number() OVER (PARTITION BY y, {slot} % 10 ORDER BY {rank.format(hash_)} DESC) = 1),
+        m AS (SELECT d.o, d.y, avg(CASE WHEN d.s > h.s THEN 1.0 WHEN d.s = h.s THEN 0.5 ELSE 0.0 END) AS m FROM d JOIN h ON h.y <> d.y GROUP BY d.o, d.y)
+        SELECT round((1 + avg(m) FILTER (y = 1) - avg(m) FILTER (y = 0)) / 2, 6) AS auc FROM m"""
+
+
+def _merged_auc(spark: SparkSession, sf: str, policy: str) -> DataFrame:
+    """By histories of three parts of the events, merged."""
+    of = "event_id", F.col("event_type") == "purchase", F.col("value")
+    e = _events(spark, sf)
+    kept = U.merge_histories(*[U.history(e.filter(F.pmod("event_id", F.lit(3)) == k), *of, 10, policy) for k in range(3)])
+    return rounded(U.history_auc(e, *of, kept), "auc")
+
+
+@query(_history_sql("-{0}"))
+def auc_fair(spark, sf):
+    return _merged_auc(spark, sf, U.FAIR)
+
+
+@query(_history_sql("o"))
+def auc_random(spark, sf):
+    return _merged_auc(spark, sf, U.RANDOM)
+
+
 @query("WITH c AS (SELECT user_id % 10 AS g, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT g, round(-sum(n / t * log2(n / t)), 6) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY g) AS t FROM c) GROUP BY g")
 def entropy_by_group(spark, sf):
     return rounded(M.entropy_by(_events(spark, sf).withColumn("g", F.col("user_id") % 10), "g", "event_type"), "entropy")

@@ -4,47 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from rillwood.functions.countmin import CountMin, document_cells, merge_cells, tfidf_counted
-from rillwood.sources.sinks import read_json, write_json
 
-_CELLS = "row int, cell int, n long"
+from .versions import Versioned
 
 
-class StreamingTfidf:
-    """Weights in ``path``/weights, a folder a batch; a document is weighed by all that came up to its own batch's end.
+class StreamingTfidf(Versioned):
+    """Weights in ``path``/weights, a folder a batch; a document is weighed by all that came up to its own batch's end."""
 
-    The cells of each batch are a version of their own, made from the one before, so a batch that is done again after a kill
-    gives the same and counts once.
-    """
+    columns = "row int, cell int, n long"
 
     def __init__(self, spark: SparkSession, path: str, key: str, text: str, settings: CountMin = CountMin(), **weighing):
-        self.spark, self.path, self.key, self.text, self.settings, self.weighing = spark, path, key, text, settings, weighing
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done")
-        there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-        self.batch = read_json(spark, f"{path}/done")["batch"] if there else -1
-
-    def cells(self) -> DataFrame:
-        """The table after the last batch."""
-        if self.batch < 0:
-            return self.spark.createDataFrame([], _CELLS)
-        return self.spark.read.schema(_CELLS).parquet(f"{self.path}/cells/{self.batch}")
-
-    def learn(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= self.batch:
-            return
-        at = f"{self.path}/cells/{batch_id}"
-        merge_cells(self.cells(), document_cells(batch, self.text, self.settings)).coalesce(1).write.mode("overwrite").parquet(at)
-        now = self.spark.read.schema(_CELLS).parquet(at)
-        tfidf_counted(batch, self.key, self.text, now, self.settings, **self.weighing).write.mode("overwrite").parquet(f"{self.path}/weights/batch={batch_id}")
-        write_json(self.spark, {"batch": batch_id}, f"{self.path}/done")
-        self.batch = batch_id
+        super().__init__(spark, path)
+        self.key, self.text, self.settings, self.weighing = key, text, settings, weighing
+
+    def fold(self, before: DataFrame, batch: DataFrame) -> DataFrame:
+        return merge_cells(before, document_cells(batch, self.text, self.settings))
 
-    def start(self, documents: DataFrame, seconds: float | None = None) -> StreamingQuery:
-        """Learns until what is there is done, or every so many ``seconds`` until it is stopped."""
-        when = {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
-        return documents.writeStream.foreachBatch(self.learn).option("checkpointLocation", f"{self.path}/progress").trigger(**when).start()
+    def written(self, batch: DataFrame, batch_id: int, now: DataFrame) -> None:
+        tfidf_counted(batch, self.key, self.text, now, self.settings, **self.weighing).write.mode("overwrite").parquet(f"{self.path}/weights/batch={batch_id}")
 
     def weights(self) -> DataFrame:
         """(key, term, tf, df, weight, batch) so far."""
@@ -52,4 +31,4 @@ class StreamingTfidf:
 
     def estimated(self, terms: DataFrame, term: str) -> DataFrame:
         """``terms`` with the documents that each is in, by the table so far."""
-        return self.settings.estimated(terms, F.col(term), self.cells(), "n_docs")
+        return self.settings.estimated(terms, F.col(term), self.state(), "n_docs")

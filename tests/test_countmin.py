@@ -52,11 +52,11 @@ def test_stream_goes_on_after_a_kill(spark, tmp_path):
     events = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     settings = CountMin(0.0001, 0.999)
     one = StreamingTfidf(spark, f"{tmp_path}/s", "id", "text", settings)
-    cells, learn = one.cells, one.learn
+    cells, learn = one.state, one.learn
 
     def dies(batch, batch_id):
         if batch_id == 1:
-            merge_cells(cells(), document_cells(batch, "text", settings)).write.parquet(f"{tmp_path}/s/cells/1")
+            merge_cells(cells(), document_cells(batch, "text", settings)).write.parquet(f"{tmp_path}/s/state/1")
             raise RuntimeError("killed")
         learn(batch, batch_id)
 
@@ -66,7 +66,7 @@ def test_stream_goes_on_after_a_kill(spark, tmp_path):
     two = StreamingTfidf(spark, f"{tmp_path}/s", "id", "text", settings)
     assert two.batch == 0
     two.start(events).awaitTermination()
-    assert sorted(map(tuple, two.cells().collect())) == sorted(map(tuple, document_cells(df, "text", settings).collect()))
+    assert sorted(map(tuple, two.state().collect())) == sorted(map(tuple, document_cells(df, "text", settings).collect()))
     exact = {(r.id, r.term): (r.tf, round(r.weight, 9)) for r in tfidf_batch(df, "id", "text").collect()}
     last = two.weights().filter("batch = 2").collect()
     assert last and all(exact[r.id, r.term] == (r.tf, round(r.weight, 9)) for r in last)
