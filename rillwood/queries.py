@@ -15,9 +15,11 @@ from rillwood.functions import arrays as A
 from rillwood.functions import countmin as C
 from rillwood.functions import dates as D
 from rillwood.functions import hashing as H
+from rillwood.functions import tables as TF
 from rillwood.functions import text as X
 from rillwood.operators import auc as U
 from rillwood.operators import metrics as M
+from rillwood.operators import nested as N
 from rillwood.operators import profile as P
 from rillwood.operators import sketch as K
 from rillwood.operators import splits as S
@@ -73,6 +75,53 @@ def profile_merge(spark, sf):
     return rounded(P.merge_profiles(parts[0].unionByName(parts[1]).unionByName(parts[2])), "mean", "variance", digits=9)
 
 
+_COUNTED = {"lineitem": ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"], "events": ["event_type", "user_id"]}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS n, count(DISTINCT {c}) AS n_distinct FROM {t}" for t, cs in _COUNTED.items() for c in cs))
+def profile_distinct(spark, sf):
+    """Distinct values by sketches of three parts, added up; few values are counted exactly."""
+    parts = []
+    for t, columns in _COUNTED.items():
+        df = read_table(spark, sf, t)
+        key = F.col("l_linenumber" if t == "lineitem" else "event_id")
+        parts += [P.sketched_profile(df.filter(F.pmod(key, F.lit(3)) == k), columns) for k in range(3)]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return P.sketched_distinct(P.merge_sketched(whole))
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def variant_props(spark, sf):
+    """Keys of JSON text as columns of the types that they turn out to have."""
+    e = _events(spark, sf).select("event_id", N.variant(F.col("props")).alias("v"))
+    return N.by_paths(e, F.col("v")).drop("v")
+
+
+@query("SELECT event_id, event_type AS \"kind\", user_id AS who_id, value AS who_deep_value, CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR ELSE '\"' || event_type || '\"' END AS \"either\", 'BIGINT,VARIANT,STRING,DOUBLE' AS types FROM events")
+def variant_nested(spark, sf):
+    """Nested events without a declared schema: one path holds numbers in some rows and words in others, and keeps both."""
+    e = _events(spark, sf)
+    either = F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise(F.concat(F.lit('"'), "event_type", F.lit('"')))
+    text = F.concat(F.lit('{"kind": "'), "event_type", F.lit('", "who": {"id": '), F.col("user_id").cast("string"), F.lit(', "deep": {"value": '), F.format_string("%.6fe0", "value"), F.lit('}}, "either": '), either, F.lit("}"))
+    rows = e.select("event_id", N.variant(text).alias("v"))
+    types = N.path_types(rows, F.col("v"))
+    found = N.by_paths(rows, F.col("v"), types).drop("v").withColumn("either", F.to_json("either"))
+    found = found.toDF(*[c.replace(".", "_") for c in found.columns])
+    return found.withColumn("types", F.lit(",".join(types[p] for p in ("who.id", "either", "kind", "who.deep.value"))))
+
+
+@query("SELECT o_orderkey, year(o_orderdate)::INT AS year, quarter(o_orderdate)::INT AS quarter, isodow(o_orderdate)::INT AS weekday, name, value, number FROM orders, LATERAL (SELECT unnest([{'name': 'price', 'value': o_totalprice::VARCHAR, 'number': o_totalprice}, {'name': 'status', 'value': o_orderstatus, 'number': NULL}], recursive := true))")
+def table_functions(spark, sf):
+    """Entries of orders by table functions in lateral joins of SQL."""
+    TF.register(spark)
+    read_table(spark, sf, "orders").createOrReplaceTempView("_orders")
+    return spark.sql("""
+        SELECT o.o_orderkey, d.*, e.* FROM _orders AS o, LATERAL date_entries(o.o_orderdate, 'year, quarter, weekday') AS d,
+            LATERAL entries('price, status', o.o_totalprice, o.o_orderstatus) AS e""")
+
+
 _EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 
 

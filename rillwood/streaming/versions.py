@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from rillwood.operators import profile as P
 from rillwood.sources.sinks import read_json, write_json
 
 
@@ -47,3 +48,21 @@ class Versioned:
         """Learns until what is there is done, or every so many ``seconds`` until it is stopped."""
         when = {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
         return events.writeStream.foreachBatch(self.learn).option("checkpointLocation", f"{self.path}/progress").trigger(**when).start()
+
+
+class StreamingProfile(Versioned):
+    """The numeric profile of a stream and its distinct counts, over all micro-batches so far; no value is kept."""
+
+    columns = "name string, n long, mean double, variance double, min double, max double, sketch binary"
+
+    def __init__(self, spark: SparkSession, path: str, names: list[str]):
+        super().__init__(spark, path)
+        self.names = names
+
+    def fold(self, before: DataFrame, batch: DataFrame) -> DataFrame:
+        new = P.numeric_profile(batch, self.names).join(P.sketched_profile(batch, self.names).drop("n"), "name")  # a row a name
+        both = before.unionByName(new)
+        return P.merge_profiles(both).join(P.merge_sketched(both).drop("n"), "name").select(*new.columns)
+
+    def profile(self) -> DataFrame:
+        return self.state().join(P.sketched_distinct(self.state()).drop("n"), "name").drop("sketch")
