@@ -148,6 +148,10 @@ def _absolute(t: Column) -> Column:
     return out
 
 
+#: Texts that begin with day, month and year are no words, clocks or sums: they are tried as absolute dates alone.
+_DATED = r"^(?:\d{1,4}[-/]\d{1,2}[-/]\d{1,4}|\p{L}+ \d{1,2}, \d{4}|\d{1,2} \p{L}+ \d{4})(?: |$)"
+
+
 def parse_date(text: Column, now: Column) -> Column:
     """A timestamp from an absolute date, a time of day, or words relative to ``now``; null where nothing fits.
 
@@ -160,7 +164,8 @@ def parse_date(text: Column, now: Column) -> Column:
     absolute = _absolute(t)
     md = r"(\d{1,2})/(\d{1,2})"
     short = F.when(_has(t, md), F.try_to_timestamp(F.concat_ws("/", F.year(now).cast("string"), t), F.lit("yyyy/M/d")))
-    return F.coalesce(_worded(t, now), _clock(t, today), short, F.when(_has(t, r"(next|last)\s+(\w+)"), _next_last(t, today, now)), _shift(t, now), absolute)
+    words = F.coalesce(_worded(t, now), _clock(t, today), short, F.when(_has(t, r"(next|last)\s+(\w+)"), _next_last(t, today, now)), _shift(t, now), absolute)
+    return F.when(t.rlike(_DATED), absolute).otherwise(words)
 
 
 def parse_date_strict(text: Column, now: Column) -> Column:

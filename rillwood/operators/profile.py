@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillwood.sources.work import written
+
 #: Fixed tokens that stand for a missing value, whatever their case.
 MISSING = ["none", "nan", "na", "n/a", "", "?", "??", "???", "none or unspecified", "unspecified", "unknown"]
 #: Types of attributes.
@@ -64,9 +66,10 @@ def _coded(first: DataFrame, order: str) -> DataFrame:
 
 
 def dictionary(df: DataFrame, value: str, order: str) -> DataFrame:
-    """(value, code): codes from 0 in the order in which values first come. One row a distinct value; ``order`` is a number."""
+    """(value, code): codes from 0 in the order in which values first come. One row a distinct value; ``order`` is a number.
+    ``df`` is read once: the distinct values are written down and then numbered."""
     first = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.min(order).alias("first"))
-    return _coded(first, "first").select("value", F.col("code").cast("long").alias("code"))
+    return _coded(written(first, "dictionary"), "first").select("value", F.col("code").cast("long").alias("code"))
 
 
 def merge_dictionaries(first: DataFrame, more: DataFrame) -> DataFrame:

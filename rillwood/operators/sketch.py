@@ -338,6 +338,25 @@ def sketch_by(df: DataFrame, group: list[str], value: str, target: str | None =
     return held.mapInArrow(partial, schema).groupBy(*group).agg(merged("sketch").alias("sketch"))
 
 
+def merge_sketches(sketches: DataFrame, group: list[str], sketch: str = "sketch", max_bins: int = 64) -> DataFrame:
+    """(group..., sketch): the sketches of a group as one of ``max_bins`` bins. All bins come together before any are joined, so
+    the order of the sketches doesn't matter."""
+
+    @F.pandas_udf("string")
+    def merged(parts: pd.Series) -> str:
+        out = None
+        for p in sorted(parts.dropna()):
+            one = Sketch.from_json(p)
+            one.max_bins = 1 << 60
+            out = one if out is None else out.merge(one)
+        out = out or Sketch(max_bins)
+        out.max_bins = max_bins
+        out._compress()
+        return out.to_json()
+
+    return sketches.groupBy(*group).agg(merged(sketch).alias("sketch"))
+
+
 def sketch_numbers(sketch: str, what: str, *args: float):
     """A column with what the sketch column says: sum, density, inverse_sum at the first argument; percentiles or uniform as
     arrays."""

@@ -6,10 +6,10 @@ and the trees of a forest grow side by side. Per leaf and attribute a mergeable
 
 from __future__ import annotations
 
+import json
 import math
-import pickle
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -192,7 +192,21 @@ class HoeffdingTree:
         return self.nodes
 
 
-_KEPT = [("model", "binary"), ("tested", "long"), ("correct", "long"), ("abs_error", "double")]
+    def to_json(self) -> str:
+        """All that the tree knows; strategies and parameters are given again."""
+        stats = {leaf: {a: {"sketch": s.to_json()} if isinstance(s, Sketch) else {"values": s} for a, s in by.items()} for leaf, by in self.stats.items()}
+        return json.dumps({"tree": self.tree, "nodes": [asdict(n) for n in self.nodes], "stats": stats, "label_counts": self.label_counts, "since": self.since, "square": self.square, "rng": self.rng.bit_generator.state})
+
+    def restore(self, text: str) -> HoeffdingTree:
+        d = json.loads(text)
+        self.tree, self.nodes, self.label_counts, self.square = d["tree"], [Node(**n) for n in d["nodes"]], d["label_counts"], d["square"]
+        self.stats = {int(leaf): {a: Sketch.from_json(s["sketch"]) if "sketch" in s else s["values"] for a, s in by.items()} for leaf, by in d["stats"].items()}
+        self.since = {int(k): v for k, v in d["since"].items()}
+        self.rng.bit_generator.state = d["rng"]
+        return self
+
+
+_KEPT = [("model", "string"), ("tested", "long"), ("correct", "long"), ("abs_error", "double")]
 _STATE = "tree int, " + ", ".join(f"{c} {k}" for c, k in _KEPT)
 
 
@@ -220,8 +234,8 @@ def train_online(df: DataFrame, order: str, numeric: list[str], categoric: list[
         model, counts = None, [0, 0, 0.0]
 
         def out() -> pa.RecordBatch:
-            values = [model.tree, pickle.dumps(model), *counts]
-            kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.float64()]
+            values = [model.tree, model.to_json(), *counts]
+            kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["tree", *(c for c, _ in _KEPT)])
 
         for b in batches:
@@ -233,7 +247,7 @@ def train_online(df: DataFrame, order: str, numeric: list[str], categoric: list[
                         yield out()
                     model, counts = HoeffdingTree(numeric, categoric, regression, params, tree[i]), [0, 0, 0.0]
                 if turn[i] == 0:
-                    model, counts = pickle.loads(kept[0][i]), [kept[1][i], kept[2][i], kept[3][i]]
+                    model, counts = HoeffdingTree(numeric, categoric, regression, params, tree[i]).restore(kept[0][i]), [kept[1][i], kept[2][i], kept[3][i]]
                     continue
                 if y[i] is None or y[i] != y[i]:
                     continue
@@ -252,7 +266,7 @@ def train_online(df: DataFrame, order: str, numeric: list[str], categoric: list[
 
 def collect_forest(state: DataFrame, target: str, numeric: list[str], categoric: list[str], regression: bool = False) -> Forest:
     """The trained trees as a forest: as many nodes as 2 to the depth at most, a tree."""
-    models = [pickle.loads(bytes(r["model"])) for r in state.select("tree", "model").orderBy("tree").collect()]
+    models = [HoeffdingTree(numeric, categoric, regression, tree=r["tree"]).restore(r["model"]) for r in state.select("tree", "model").orderBy("tree").collect()]
     classes = sorted({k for m in models for k in m.label_counts[0]})
     trees = [m.to_nodes(classes) for m in models]
     return Forest(trees, None if regression else classes, numeric, categoric, target)

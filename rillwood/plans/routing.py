@@ -11,19 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillwood.sources.work import work_path
+from rillwood.sources.work import written
 
 from .model import CATEGORIC, LEAF
 
 LEVELS = 6
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def node_blocks(nodes: DataFrame, numeric: list[str], categoric: list[str], levels: int = LEVELS) -> DataFrame:
     """(tree, block, slots): for each node at the top of ``levels`` levels, it and those below it in an array by place.
 
@@ -66,7 +60,7 @@ def _walk(levels: int) -> Column:
 def ends(df: DataFrame, key: str, nodes: DataFrame, numeric: list[str], categoric: list[str], levels: int = LEVELS) -> DataFrame:
     """(key, tree, n, total, counts): of the node where each row's walk ends, in every tree. ``key`` tells rows apart."""
     spark = df.sparkSession
-    blocks = _written(node_blocks(nodes, numeric, categoric, levels), "blocks")
+    blocks = written(node_blocks(nodes, numeric, categoric, levels), "blocks")
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
     roots = nodes.filter("depth = 1").select("tree", F.col("node").alias("block"))
     copies = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -78,7 +72,7 @@ def ends(df: DataFrame, key: str, nodes: DataFrame, numeric: list[str], categori
     parts = []
     for _ in range(0, deepest, levels):
         at = met.withColumn("at", _walk(levels)).withColumn("end", F.get("slots", F.col("at.place") - 1))
-        step = _written(at.select(F.col(key), "tree", "numbers", "words", F.col("at.out").alias("out"), F.when(F.col("at.out") < 0, F.struct("end.n", "end.total", "end.counts")).alias("end")), "routed")
+        step = written(at.select(F.col(key), "tree", "numbers", "words", F.col("at.out").alias("out"), F.when(F.col("at.out") < 0, F.struct("end.n", "end.total", "end.counts")).alias("end")), "routed")
         parts.append(step.filter("out < 0").select(F.col(key), "tree", "end.*"))
         met = step.filter("out >= 0").select(F.col(key), "tree", "numbers", "words", F.col("out").alias("block")).join(blocks, ["tree", "block"])
     if not parts:

@@ -23,6 +23,7 @@ from rillwood.plans import forest as FO
 from rillwood.plans.estimator import learner_for
 from rillwood.plans.model import Forest
 from rillwood.plans.online import OnlineParams, collect_forest, train_online
+from rillwood.plans.parallel import ParallelForest
 from rillwood.sources.files import new_files
 from rillwood.sources.sinks import append_line, read_json, write_json
 
@@ -52,10 +53,12 @@ class Description:
     batch: int = -1
     status: str = WAITING
     lineage: dict[str, str] = field(default_factory=dict)
+    parallel: bool = False
 
 
 class Stream:
-    """``transforms`` make the attributes out of what comes, to be learned as well as asked for; functions aren't written
+    """With ``parallel`` in its description all tasks grow its trees, batch by batch (plans/parallel.py); else each tree looks
+    at every event, in a task of its own. ``transforms`` make the attributes out of what comes, to be learned as well as asked for; functions aren't written
     down, so whoever loads a stream gives them again."""
 
     def __init__(self, spark: SparkSession, config: Config, about: Description, params: OnlineParams = OnlineParams(), transforms: tuple[Transform, ...] = ()):
@@ -118,9 +121,22 @@ class Stream:
             tested = batch.filter(F.col(self.about.target).isNotNull()).withColumn("prediction", F.lit(None).cast("double" if self.regression else "string"))
         actual = F.col(self.about.target).cast("double" if self.regression else "string").alias("actual")
         tested.select(F.col(self.about.order).alias("order"), actual, "prediction", F.lit(self.about.epoch).alias("epoch"), F.lit(version).alias("tick")).write.mode("overwrite").parquet(f"{self.path}/tested/tick={version}")
+        if self.about.parallel:
+            self._parallel(version - 1).learn(batch, self.about.order)
+            self._learned(version, batch_id)
+            return
         state = self._model(self.about.version) if known else None
         grown = train_online(batch, self.about.order, self.numeric, self.categoric, self.about.target, self.regression, self.about.trees, self.params, state)
         grown.write.mode("overwrite").parquet(f"{self.path}/model/{version}")
+        self._learned(version, batch_id)
+
+    def _parallel(self, version: int) -> ParallelForest:
+        at = f"{self.path}/model"
+        if version >= 0:
+            return ParallelForest.load(self.spark, at, version)
+        return ParallelForest(self.spark, at, self.numeric, self.categoric, self.about.target, self.regression, self.about.trees, self.params)
+
+    def _learned(self, version: int, batch_id: int | None) -> None:
         self.about.version = version
         self.about.batch = self.about.batch if batch_id is None else batch_id
         self.checkpoint()
@@ -177,7 +193,9 @@ class Stream:
         if self.about.version < 0:
             raise StreamError(f"{self.about.id} has learned nothing yet")
         if self._forest is None or self._forest[0] != self.about.version:
-            self._forest = (self.about.version, collect_forest(self._model(self.about.version), self.about.target, self.numeric, self.categoric, self.regression))
+            v = self.about.version
+            found = self._parallel(v).forest() if self.about.parallel else collect_forest(self._model(v), self.about.target, self.numeric, self.categoric, self.regression)
+            self._forest = (v, found)
         return self._forest[1]
 
     def predict(self, events: DataFrame, full: bool = False) -> DataFrame:
@@ -226,9 +244,9 @@ class Registry:
         self.spark, self.config = spark, config
         self.open: dict[str, Stream] = {}
 
-    def start_stream(self, types: dict[str, str], target: str, order: str, learner: str | None = None, trees: int = 10, stream_id: str | None = None, params: OnlineParams = OnlineParams(), transforms: tuple[Transform, ...] = ()) -> Stream:
+    def start_stream(self, types: dict[str, str], target: str, order: str, learner: str | None = None, trees: int = 10, stream_id: str | None = None, params: OnlineParams = OnlineParams(), transforms: tuple[Transform, ...] = (), parallel: bool = False) -> Stream:
         """A new stream; the learner follows from the target's type unless it is given."""
-        about = Description(stream_id or uuid.uuid4().hex, target, order, types, learner or learner_for(types[target]), trees)
+        about = Description(stream_id or uuid.uuid4().hex, target, order, types, learner or learner_for(types[target]), trees, parallel=parallel)
         s = Stream(self.spark, self.config, about, params, transforms)
         s.checkpoint()
         self.open[about.id] = s

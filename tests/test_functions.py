@@ -96,3 +96,20 @@ def test_running_shares_go_on_over_blocks(spark, monkeypatch):
 
 def test_murmur_is_that_of_the_engine(spark):
     assert one(spark, H.murmur(F.lit("x"))) == one(spark, F.hash(F.lit("x")))
+
+
+# what texts say at 2024-03-14 09:26:53, a Thursday
+DATES = {
+    "now": "2024-03-14 09:26:53", "today": "2024-03-14 00:00:00", "Midnight": "2024-03-14 00:00:00", "noon": "2024-03-14 12:00:00", "tonight": "2024-03-14 20:00:00",
+    "tomorrow": "2024-03-15 00:00:00", "tomorrow morning": "2024-03-15 07:00:00", "yesterday evening": "2024-03-13 17:00:00", "tomorrow at 3:15 pm": "2024-03-15 15:15:00", "yesterday 8 am": "2024-03-13 08:00:00",
+    "12:00 am": "2024-03-14 00:00:00", "12:30pm": "2024-03-14 12:30:00", "23:59:58": "2024-03-14 23:59:58", "Oct 26, 1981": "1981-10-26 00:00:00", "26 October 1981": "1981-10-26 00:00:00", "October 26, 1981 14:05": "1981-10-26 14:05:00",
+    "10/26/1981": "1981-10-26 00:00:00", "10-26-1981": "1981-10-26 00:00:00", "1981/10/26": "1981-10-26 00:00:00", "1981-10-26 01:02:03": "1981-10-26 01:02:03", "10/26": "2024-10-26 00:00:00",
+    "October": "2024-10-01 00:00:00", "monday": "2024-03-18 00:00:00", "Thursday": "2024-03-21 00:00:00", "next friday": "2024-03-15 00:00:00", "last friday": "2024-03-08 00:00:00", "next week": "2024-03-21 09:26:53", "last month": "2024-02-14 09:26:53",
+    "next year": "2025-03-14 09:26:53", "last january": "2024-01-01 00:00:00", "next january": "2025-01-01 00:00:00", "+1 week 2 days": "2024-03-23 09:26:53", "-3 hours": "2024-03-14 06:26:53", "2 months ago": "2024-01-14 09:26:53", "13:75": None, "no date": None,
+}
+
+
+def test_dates_in_words(spark):
+    rows = spark.createDataFrame([(k,) for k in DATES], "input string")
+    got = rows.select("input", D.formatted(D.parse_date(F.col("input"), F.lit("2024-03-14 09:26:53").cast("timestamp"))).alias("parsed")).collect()
+    assert {r.input: r.parsed for r in got} == DATES

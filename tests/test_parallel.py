@@ -224,3 +224,21 @@ def test_keyed_state_starts_from_a_saved_forest(spark, tmp_path, rocks):
     s = KeyedStream(spark, str(tmp_path / "stream"), ["size"], ["kind"], "label", "id", params=OnlineParams(split_freq=5000), initial=start)
     s.start(events).awaitTermination()
     assert plain(s.forest) == plain(whole)
+
+
+def test_named_stream_in_parallel(spark, tmp_path):
+    """A stream of the registry whose trees all tasks grow; reloaded, it predicts and goes on."""
+    from rillwood.operators.profile import CATEGORIC, NUMERIC
+    from rillwood.streaming.streams import Config, Registry
+
+    df = spark.createDataFrame(rows(), SCHEMA).select("id", "size", "kind", "label")
+    config = Config(str(tmp_path / "streams"), reload_seconds=0)
+    s = Registry(spark, config).start_stream({"size": NUMERIC, "kind": CATEGORIC, "label": CATEGORIC}, "label", "id", trees=3, stream_id="p", params=OnlineParams(split_freq=20), parallel=True)
+    for k in range(8):
+        s.train(df.filter(F.col("id") % 8 == k))
+    again = Registry(spark, config).get_stream("p")
+    assert plain(again._parallel(again.about.version)) == plain(s._parallel(s.about.version))
+    again.train(df)
+    known = df.filter("size IS NOT NULL AND kind IS NOT NULL")
+    assert again.predict(known).filter("label = prediction").count() / known.count() > 0.95
+    assert again.stats_history().count() == 9
