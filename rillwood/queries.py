@@ -905,11 +905,11 @@ def prequential_stream(spark, sf):
     from rillwood.streaming.streams import Config, Registry
 
     top = work_path(spark, "streams")
-    lines = _lines(spark, sf, "l_orderkey").select("key", "l_quantity", "l_discount", "rule", "l_orderkey")
+    lines = _lines(spark, sf, "l_orderkey").select("key", "l_quantity", "l_discount", "l_returnflag", "rule", "l_orderkey")
     for k in range(4):  # files come in this order
         lines.filter(F.pmod("l_orderkey", F.lit(4)) == k).repartition(2).drop("l_orderkey").coalesce(1).write.mode("append").parquet(f"{top}/landing")
     lines = lines.drop("l_orderkey")
-    types = {"l_quantity": P.NUMERIC, "l_discount": P.NUMERIC, "rule": P.CATEGORIC}
+    types = {"l_quantity": P.NUMERIC, "l_discount": P.NUMERIC, "l_returnflag": P.CATEGORIC, "rule": P.CATEGORIC}
     s = Registry(spark, Config(f"{top}/streams")).start_stream(types, "rule", "key", trees=3, params=OnlineParams(split_freq=50))
     s.start(spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/landing"))
     s.join()
