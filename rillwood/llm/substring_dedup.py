@@ -11,7 +11,9 @@ digest, where sums are partial before they are shuffled, so no task ever holds a
 
 from __future__ import annotations
 
+import math
 import struct
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -22,11 +24,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, write_table
+from .common import free_name, input_bytes, write_table
 
 #: Words of a minimiser; text that a task holds back to find equal super-k-mers; text that a bucket may gather; buckets for
-#: each shuffle partition.
-PIECE, HOLD_BYTES, BUCKET_BYTES, BUCKETS = 8, 48_000_000, 32_000_000, 48
+#: each shuffle partition at least, and bytes of input (files are some three times smaller than texts, packed strings three
+#: times larger) for each bucket at most, so that a bucket gathers about 2 MB whatever the input.
+PIECE, HOLD_BYTES, BUCKET_BYTES, BUCKETS, BUCKET_INPUT = 8, 48_000_000, 32_000_000, 48, 250_000
 #: Stands for a null id, which is larger than every other.
 NO_ID = (1 << 63) - 1
 _HEAD = struct.Struct("<QqqiiI")  # minimiser, document, text key, first window, windows, bytes of text
@@ -78,16 +81,12 @@ def _digests(text: bytes, n: int, window: int) -> np.ndarray:
     return np.frombuffer(out, np.int64).reshape(-1, 2)
 
 
-def _pack(spans: list[tuple[int, int, int, int]]) -> bytes:
-    return np.array(spans, np.int64).tobytes()
-
-
 class _Holder:
     """Super-k-mers of a task by their text: those of the smallest document travel, the others are repeats."""
 
     def __init__(self) -> None:
         self.held: dict[bytes, list] = {}
-        self.repeats: list[tuple[int, int, int, int]] = []
+        self.repeats = array("q")  # (document, text key, first, end) one after another
         self.size = 0
 
     def add(self, doc: int, key: int, m: int, start: int, n: int, text: bytes) -> None:
@@ -99,18 +98,23 @@ class _Holder:
             got[2].append((key, start, n))
             self.size += 60
         elif doc > got[1]:
-            self.repeats.append((doc, key, start, start + n))
+            self._repeat(doc, key, start, n)
         else:
-            self.repeats += [(got[1], k, s, s + c) for k, s, c in got[2]]
+            for place in got[2]:
+                self._repeat(got[1], *place)
             got[1:] = [doc, [(key, start, n)]]
 
+    def _repeat(self, doc: int, key: int, start: int, n: int) -> None:
+        self.repeats.extend((doc, key, start, start + n))
+        self.size += 32
+
     def flush(self, buckets: int) -> Iterator[pa.RecordBatch]:
         blobs, squeeze = defaultdict(list), zstandard.ZstdCompressor(level=3)
         for text, (m, doc, places) in self.held.items():
             for key, start, n in places:
                 blobs[m % buckets] += [_HEAD.pack(m, doc, key, start, n, len(text)), text]
         rows = [(b, sum(map(len, parts)), squeeze.compress(b"".join(parts))) for b, parts in blobs.items()]
-        rows += [(hash(i) % buckets, 0, _pack(self.repeats[i : i + 50_000])) for i in range(0, len(self.repeats), 50_000)]
+        rows += [(i // 200_000 % buckets, 0, self.repeats[i : i + 200_000].tobytes()) for i in range(0, len(self.repeats), 200_000)]
         self.__init__()
         for i in range(0, len(rows), 512):
             part = rows[i : i + 512]
@@ -194,11 +198,15 @@ def _repeated(packed: list[tuple[bytes, int, int]], window: int) -> Iterator[tup
         yield k, list(_runs(flags[starts[k] : starts[k] + counts[k]].tolist()))
 
 
+def bucket_count(size: int, partitions: int) -> int:
+    return max(BUCKETS * partitions, math.ceil(size / BUCKET_INPUT))
+
+
 def repeated_spans(docs: DataFrame, window: int = 50, piece: int = PIECE, bucket_bytes: int = BUCKET_BYTES, hold_bytes: int = HOLD_BYTES) -> DataFrame:
     """(doc, key, a, b): runs of windows of ``docs`` (doc, key, text) whose words also start in a document with a smaller
     number; window i covers words i to i + window - 1."""
     spark = docs.sparkSession
-    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = bucket_count(input_bytes(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Holder()
