@@ -7,37 +7,30 @@ that needs no shuffle on the index side, and appends the rest.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import input_bytes, write_table
+from .common import LOWER, UPPER, input_bytes, work_dir, write_table
 
 #: Bytes of input for each bucket of a new index, and buckets at least and at most.
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 1_000_000_000, 64, 100_000
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = b.column(1).cast(pa.large_binary())
-        out = [hashlib.sha256((t.as_py() or b"").lower()).digest() for t in texts]  # bytes.lower() touches A-Z only
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "digest"])
-
-
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, digest): SHA-256 of each whole text after lower-casing A-Z only. Null counts as empty."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_digests, "id long, digest binary")
+    text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
 
 
 class DigestIndex:
-    """A table (digest, keep_id) bucketed and sorted by digest; a digest once in the index keeps its row for good."""
+    """A table (digest, keep_id) bucketed and sorted by digest; a digest once in the index keeps its row for good. Its files are
+    at ``path``, or where the catalog keeps its tables. Each batch adds a file a bucket: sorted in itself, so the merge join
+    sorts again from the second batch on, a bucket at a time."""
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = 64):
-        self.spark, self.name, self.buckets = spark, name, buckets
+    def __init__(self, spark: SparkSession, name: str, buckets: int = 64, path: str | None = None):
+        self.spark, self.name, self.buckets, self.path = spark, name, buckets, path
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
@@ -53,8 +46,9 @@ class DigestIndex:
             new = new.hint("merge").join(self.read().select("digest").hint("merge"), "digest", "left_anti")
         # a task for each bucket, told by number: the optimizer drops a hash partitioning by digest after the sum's own, and
         # each of its tasks would write a file into nearly every bucket
-        (new.repartitionById(self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets)).cast("int")).write.mode("append").format("parquet")
-            .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
+        writer = new.repartitionById(self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets)).cast("int")).write.mode("append").format("parquet")
+        writer = writer.option("path", self.path) if self.path else writer
+        writer.bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -73,7 +67,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     found = write_table(digests(docs, id_col, text_col), "digests")
     buckets = buckets or min(MOST_BUCKETS, max(LEAST_BUCKETS, input_bytes(docs) // BUCKET_BYTES))
-    own = index or DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets)
+    name = f"digest_index_{uuid.uuid4().hex}"
+    own = index or DigestIndex(spark, name, buckets, f"{work_dir(spark)}/{name}")
+    try:
+        groups = _groups(found, own, batches)
+    finally:
+        if index is None:
+            own.drop()
+    return found.join(groups, "digest").select(
+        F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
+def _groups(found: DataFrame, own: DigestIndex, batches: int) -> DataFrame:
+    """(digest, group_size, keep_id) of the digests ``found``, added to the index in batches from the largest ids on."""
     low, high = found.agg(F.min("id"), F.max("id")).first()
     if low is None or high - low < batches:
         own.add(found)
@@ -85,9 +92,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             own.add(found.filter(part == k))
     sizes = found.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
     # written first, so that the last join has a shuffle alone on either side and a digest of very many rows is split
-    groups = write_table(sizes.join(own.read(), "digest"), "groups")
-    if index is None:
-        own.drop()
-    return found.join(groups, "digest").select(
-        F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    return write_table(sizes.join(own.read(), "digest"), "groups")
