@@ -26,6 +26,8 @@ from .decontamination import words_of
 #: Labelled documents that are fitted on at most (a fifth of them calibrate), the words of the text view, rounds of
 #: co-training, pseudo-labels that a view gives a round and class, and how sure it must be to give one.
 LABELLED, WORDS, ROUNDS, PSEUDO, SURE = 12_000, 256, 4, 300, 0.97
+#: Parts in which the surest rows of a view and class are found before those of all.
+PARTS = 64
 #: Twice the log likelihood ratio that a word of the text view must have at least; chance gives few words as much.
 CLEAR = 25.0
 _SOURCES, _LANGS, _SIZES = 64, 16, 12
@@ -123,12 +125,13 @@ Pick = Callable[[list[tuple[Logistic, Logistic]], list[set]], list[tuple[int, in
 
 
 def picked(ids: np.ndarray, x: np.ndarray, judge: tuple[Logistic, Logistic], given: set, most: int, least: float) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-    """(label, rows, how sure): the rows of a class that a view is surest of and that the other has no label for; among
-    equals to six digits ids are taken in an order of their hashes."""
+    """(label, rows, how sure): the rows of a class that a view is surest of and that the other has no label for, one an id;
+    among equals to six digits ids are taken in an order of their hashes."""
     p = _sigmoid(judge[1].logit(judge[0].logit(x)[:, None]))
     for label, sure in ((1.0, p), (0.0, 1 - p)):
         at = np.array([r for r in np.flatnonzero(sure >= least).tolist() if int(ids[r]) not in given], np.int64)
-        at = at[np.lexsort((_spread(ids[at]), -np.round(sure[at], 6)))][:most]
+        at = at[np.lexsort((_spread(ids[at]), -np.round(sure[at], 6)))]
+        at = at[np.sort(np.unique(ids[at], return_index=True)[1])][:most]
         yield label, at, sure[at]
 
 
@@ -213,8 +216,14 @@ def pick_among(pool: DataFrame, words: int, most: int, least: float) -> Pick:
                         yield pa.RecordBatch.from_arrays([to, pa.array(np.full(len(rows), label)), pa.array(np.round(sure, 6)), pa.array(_spread(ids[rows])), *(c.take(pa.array(rows)) for c in b.columns)], names=["to", "label", "sure", "tie", *b.schema.names])
 
         found = pool.mapInArrow(run, "to int, label double, sure double, tie long, id long, view binary, source string, lang string, n_chars long")
-        order = W.partitionBy("to", "label").orderBy(F.desc("sure"), "tie", "id", "view", "source", "lang", "n_chars")
-        got = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).drop("r").collect()
+        # one row an id; then the surest of each of many parts, and of those the surest of all
+        least_first = F.min(F.struct((-F.col("sure")).alias("sure"), "view", "source", "lang", "n_chars"))
+        found = found.groupBy("to", "label", "id", "tie").agg(least_first.alias("b")).select("to", "label", (-F.col("b.sure")).alias("sure"), "tie", "id", "b.view", "b.source", "b.lang", "b.n_chars")
+        found = found.withColumn("part", F.pmod("tie", F.lit(PARTS)))
+        for by in (["to", "label", "part"], ["to", "label"]):
+            order = W.partitionBy(*by).orderBy(F.desc("sure"), "tie", "id")
+            found = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).drop("r")
+        got = found.drop("part").collect()
         shared.unpersist()
         got.sort(key=lambda r: (r.to, r.label, -r.sure, r.tie, bytes(r.view), str(r.source), str(r.lang), r.n_chars or 0))
         return [(r.to, r.id, r.label, meta_row(r.source, r.lang, r.n_chars) if r.to else _unpacked([bytes(r.view)], words)[0]) for r in got]
@@ -227,7 +236,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, wo
 
     It is fitted on a sample of at most about ``labelled`` labelled documents, and each view may give labels to ``pseudo`` of all
     other documents a round and class, where it is at least so ``sure``; the text view has ``words`` words. Rows with a null id, quality or toxic and ids with two
-    verdicts teach nothing; of rows with one id the least by (text, source, lang, n_chars) teaches. Without labels, or with
+    verdicts teach nothing; of rows with one id the least by (text, source, lang, n_chars) teaches, and
+    of unlabelled ones the one that is surest is given a label, once a view. Without labels, or with
     one class only, every document scores alike.
     """
     spark = docs.sparkSession
