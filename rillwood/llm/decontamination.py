@@ -4,6 +4,9 @@ A benchmark window (10 consecutive words, or a shorter item whole) can occur in
 so with containment of 1 one word of it, its prefix, is enough to find all candidates. Words are ordered by rarity over all
 documents and the rarest is the prefix; a document word that equals it fixes where the window would have to start, which the
 positional and length bounds test before the words themselves are compared.
+
+A benchmark of a few MB is broadcast with its windows, and documents don't move. Of a larger one only the prefix words are
+sent out; the places in documents where one stands travel with the words around them and meet the windows in a shuffled join.
 """
 
 from __future__ import annotations
@@ -15,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import LOWER, UPPER, free_name, write_table
 
-#: Bytes of benchmark text that are broadcast at a time; a larger benchmark is taken in blocks of about this size. A block's
-#: windows take about 85 times as much on the driver and in each worker.
-BLOCK_BYTES = 3_000_000
+#: Bytes of benchmark text whose windows are broadcast at most, which takes about 85 times as much on the driver and in each
+#: worker; bytes of prefix words that are sent out at a time for a larger benchmark.
+BLOCK_BYTES, PREFIX_BYTES = 3_000_000, 16_000_000
 
 _KEPT = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 _TABLE = bytes(c if c in _KEPT else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -71,13 +74,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    held = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").cast("binary").alias("text")).filter("text IS NOT NULL")
-    total = held.agg(F.sum(F.length("text") + 64)).first()[0] or 0
-    n = total // block_bytes + 1
-    for k in range(n):
-        part = held if n == 1 else held.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r[0], bytes(r[1])) for r in part.toLocalIterator()]
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").cast("binary").alias("text")).filter("text IS NOT NULL")
 
 
 def _rarity(texts: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
@@ -97,42 +95,124 @@ def _rarity(texts: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
     return out
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 10, block_bytes: int = BLOCK_BYTES, prefix_bytes: int = PREFIX_BYTES) -> DataFrame:
     """``docs`` with ``n_words``, ``hit_spans`` (merged [start, end) word spans, flat) and ``hit_items`` (sorted item ids as
     strings): every occurrence of every benchmark window. Columns of these names are replaced; all others pass through.
 
-    The benchmark is broadcast in blocks of bounded size, each held against all documents in one pass without a shuffle.
+    A benchmark of up to ``block_bytes`` is broadcast and held against all documents in one pass without a shuffle. For a
+    larger one documents are read once for the words' rarity and once for each ``prefix_bytes`` of prefix words, a benchmark
+    of some 100 MB once; both ways find the same.
     Null text has no words; items without words are never found; those with a null id give spans and no item; repeated items
-    share their windows; an empty benchmark hits nothing; an empty table gives an empty result.
+    share their windows; an empty benchmark hits nothing; an empty table gives an empty result. One text must fit a task,
+    however long it is.
     """
     docs = docs.drop("n_words", "hit_spans", "hit_items")
+    items = _items(benchmark, item_col, item_text)
+    if (items.agg(F.sum(F.length("text") + 64)).first()[0] or 0) <= block_bytes:
+        return _by_broadcast(docs, [(r[0], bytes(r[1])) for r in items.collect()], text_col, size)  # at most block_bytes
+    return _by_join(docs, items, text_col, size, prefix_bytes)
+
+
+def _by_broadcast(docs: DataFrame, items: list[tuple[str | None, bytes]], text_col: str, size: int) -> DataFrame:
     (raw,) = free_name(docs, "raw_text")
-    n_docs = len(docs.columns)
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    out = docs.withColumns({raw: F.col(text_col).cast("string"), "n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast("array<int>"), "hit_items": F.array().cast("array<string>")})
-    spark = docs.sparkSession
-    for items in _blocks(benchmark, item_col, item_text, block_bytes):
-        windows = windows_of(items, size)
-        rarity = _rarity(texts, {w for window in windows for w in window}) if windows else {}
-        index = spark.sparkContext.broadcast(prefix_index(windows, rarity))
-
-        def hits(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            held = index.value
+    n_docs, windows = len(docs.columns), windows_of(items, size)
+    rarity = _rarity(docs.select(F.col(text_col).cast("string").alias("text")), {w for window in windows for w in window}) if windows else {}
+    index = docs.sparkSession.sparkContext.broadcast(prefix_index(windows, rarity))
+    schema = docs.withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast("array<int>"), "hit_items": F.array().cast("array<string>")}).schema
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = index.value
+        for b in batches:
+            n_words, spans, found = [], [], []
+            for t in b.column(n_docs).cast(pa.large_binary()):
+                w = words_of(t.as_py())
+                s, i = occurrences(w, held)
+                n_words.append(len(w))
+                spans.append([x for ab in merged(s) for x in ab])
+                found.append(sorted(i))
+            yield pa.RecordBatch.from_arrays([*b.columns[:n_docs], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], names=schema.names)
+
+    return docs.withColumn(raw, F.col(text_col).cast("string")).mapInArrow(hits, schema)
+
+
+def _item_windows(items: DataFrame, size: int) -> DataFrame:
+    """(win, words, items): each window once, with the items that have it."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = [list(w) for w in windows_of([(item, text)], size)]
+                yield pa.RecordBatch.from_arrays([pa.array([b" ".join(w) for w in found], pa.binary()), pa.array(found, pa.list_(pa.binary())), pa.array([item] * len(found), pa.string())], names=["win", "words", "item"])
+
+    return items.mapInArrow(cut, "win binary, words array<binary>, item string").groupBy("win").agg(F.first("words").alias("words"), F.collect_set("item").alias("items"))
+
+
+def _word_documents(texts: DataFrame) -> DataFrame:
+    """(word, n): documents that have each word, of all words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = Counter(w for t in b.column(0).cast(pa.large_binary()) for w in set(words_of(t.as_py())))
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+
+    return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _places(texts: DataFrame, prefixes: set[bytes], size: int) -> DataFrame:
+    """(prefix, row, place, before, around): where prefix words stand in documents (row, text), with up to size - 1 words on
+    either side, ``before`` of them in front."""
+    sent = texts.sparkSession.sparkContext.broadcast(prefixes)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = sent.value
+        for b in batches:
+            for row, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()), strict=True):
+                w = words_of(t.as_py())
+                at = [i for i, x in enumerate(w) if x in have]
+                low = [max(0, i - size + 1) for i in at]
+                columns = [pa.array([w[i] for i in at], pa.binary()), pa.array([row] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array([i - k for i, k in zip(at, low)], pa.int32()), pa.array([w[k : i + size] for i, k in zip(at, low)], pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["prefix", "row", "place", "before", "around"])
+
+    return texts.mapInArrow(find, "prefix binary, row long, place int, before int, around array<binary>")
+
+
+def _by_join(docs: DataFrame, items: DataFrame, text_col: str, size: int, prefix_bytes: int) -> DataFrame:
+    row, raw = free_name(docs, "row", "raw_text")
+    held = write_table(docs.withColumns({row: F.monotonically_increasing_id(), raw: F.col(text_col).cast("string")}), "numbered")
+    texts = held.select(F.col(row).alias("row"), F.col(raw).alias("text"))
+    windows = write_table(_item_windows(items, size), "windows")
+    words = windows.select("win", F.posexplode("words").alias("k", "word"))
+    # the rarest word of each window; joined by the word, whose rows of a very common one can be split
+    seen = _word_documents(texts.select("text")).join(words.select("word").distinct(), "word", "left_semi")
+    ranked = words.join(write_table(seen, "rarity"), "word", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word").alias("prefix"), "k")).alias("p"))
+    known = write_table(windows.join(ranked.filter("p.n > 0"), "win").select("p.prefix", "p.k", "words", "items"), "prefixed")
+    prefixes = write_table(known.select("prefix").distinct(), "prefixes")
+    n = (prefixes.agg(F.sum(F.length("prefix") + 64)).first()[0] or 0) // prefix_bytes + 1
+    found = []
+    for part in range(n):
+        some = {bytes(r[0]) for r in prefixes.filter(F.pmod(F.xxhash64("prefix"), F.lit(n)) == part).toLocalIterator()}  # about prefix_bytes
+        places = write_table(_places(texts, some, size), "places") if some else None
+        if places is not None:
+            start = F.col("before") - F.col("k")
+            same = places.join(known, "prefix").filter((start >= 0) & (F.slice("around", F.greatest(start, F.lit(0)) + 1, F.size("words")) == F.col("words")))
+            found.append(same.select("row", (F.col("place") - F.col("k")).alias("a"), (F.col("place") - F.col("k") + F.size("words")).alias("b"), "items"))
+    spans = held.sparkSession.createDataFrame([], "row long, hit_spans array<int>, hit_items array<string>")
+    if found:
+        every = found[0]
+        for f in found[1:]:
+            every = every.unionByName(f)
+        grouped = every.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("hit_items"))
+
+        def join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                n_words, spans, found = [], [], []
-                for t, old, of in zip(b.column(n_docs).cast(pa.large_binary()), b.column(n_docs + 2), b.column(n_docs + 3), strict=True):
-                    w = words_of(t.as_py())
-                    s, i = occurrences(w, held)
-                    had = old.as_py()
-                    n_words.append(len(w))
-                    spans.append([x for ab in merged(s + list(zip(had[::2], had[1::2], strict=True))) for x in ab])
-                    found.append(sorted(i.union(of.as_py())))
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns[: n_docs + 1], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], names=b.schema.names
-                )
-
-        out = out.mapInArrow(hits, out.schema)
-    return out.drop(raw)
+                flat = [[x for ab in merged([(s["a"], s["b"]) for s in of]) for x in ab] for of in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(flat, pa.list_(pa.int32())), b.column(2)], names=["row", "hit_spans", "hit_items"])
+
+        spans = grouped.mapInArrow(join_spans, "row long, hit_spans array<int>, hit_items array<string>")
+    n_words = F.regexp_count(F.translate(F.coalesce(F.col(raw), F.lit("")), UPPER, LOWER), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    out = held.withColumn("n_words", n_words.cast("long")).join(spans.withColumnRenamed("row", row), row, "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return out.select(*docs.columns, "n_words", none("hit_spans", "array<int>"), none("hit_items", "array<string>"))
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

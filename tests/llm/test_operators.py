@@ -302,6 +302,17 @@ def test_rounds_over_all_documents_match_arrays(spark, sf_dir, monkeypatch):
     assert not np.allclose(alone.text.weights, got.text.weights, atol=1e-3)  # labels were exchanged
 
 
+def test_an_id_is_given_one_label_a_view(spark):
+    """500 rows of one id among 100 others: it takes one place, and the others take theirs."""
+    rng = np.random.default_rng(1)
+    judge = (quality.Logistic(np.array([4.0, 0.0]), np.zeros(1), np.ones(1)), quality.Logistic(np.array([1.0, 0.0]), np.zeros(1), np.ones(1)))
+    ids, x = np.append(np.full(500, 7), np.arange(1000, 1100)), np.append(np.full(500, 9.0), rng.uniform(2, 5, 100))[:, None]
+    ((label, rows, _), _) = quality.picked(ids, x, judge, set(), 60, 0.5)
+    assert label == 1.0 and len(rows) == 60 == len(set(ids[rows].tolist())) and 7 in ids[rows]
+    best = sorted(range(500, 600), key=lambda r: -x[r, 0])[:40]
+    assert set(ids[best].tolist()) <= set(ids[rows].tolist())
+
+
 def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, 0), (None, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.score_quality(odd(spark, TEXTS), labels)
@@ -348,3 +359,33 @@ def test_substrings(spark, options):
 
 def test_substrings_of_nothing(spark):
     assert substring_dedup.repeats_report(odd(spark, [])).count() == 0
+
+
+# -- what a task of substring deduplication holds ----------------------------------------------------------------------
+
+
+def test_repeats_count_in_what_is_held():
+    """A million repeats of one passage: 32 bytes each, counted, and given on in pieces."""
+    held, text = substring_dedup._Holder(), b"w " * 60
+    for doc in range(1_000_000, 0, -1):
+        held.add(doc, 1, 77, 0, 5, text)
+    assert 32_000_000 <= held.size < 33_000_000 and len(held.repeats) * held.repeats.itemsize < held.size
+    spans = set()
+    for batch in held.flush(64):
+        for n, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if n == 0:
+                assert len(data) <= 1_600_000
+                spans.update(map(tuple, np.frombuffer(data, np.int64).reshape(-1, 4).tolist()))
+    assert spans == {(d, 1, 0, 5) for d in range(2, 1_000_001)} and held.size == 0
+
+
+def test_held_repeats_are_flushed(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"a{i} {passage} b{i}") for i in range(300)], "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.n_removed for r in substring_dedup.drop_repeats(docs, hold_bytes=2_000).collect()}
+    assert got == {i: 60 * (i > 0) for i in range(300)}
+
+
+def test_buckets_follow_the_input():
+    assert substring_dedup.bucket_count(0, 8) == 8 * substring_dedup.BUCKETS
+    assert substring_dedup.bucket_count(100_000_000_000_000, 200) * 2_000_000 >= 8 * 100_000_000_000_000  # some 2 MB of packed strings each
