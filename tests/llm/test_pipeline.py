@@ -25,5 +25,5 @@ def test_stages(spark, tmp_path):
 
 
 def test_every_operator_has_a_query():
-    assert {f"op{k}_" for k in range(1, 11)} == {q.split("_")[0] + "_" for q in queries.QUERIES}
+    assert {f"op{k}_" for k in range(1, 14)} == {q.split("_")[0] + "_" for q in queries.QUERIES}
     assert queries.ORACLE.keys() <= queries.QUERIES.keys()
