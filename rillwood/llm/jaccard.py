@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import write_table
 
-#: Documents that the frequent shingles are counted on, and how many of those must have one.
-SAMPLE, FREQUENT = 10_000, 3
+#: Documents that the frequent shingles are counted on, how many of those must have one, and how many shingles are sent out.
+SAMPLE, FREQUENT, MOST_FREQUENT = 10_000, 3, 200_000
 #: Rows of a bucket beyond which it is cut, and how often that is done by one more shingle.
 LIMIT, LEVELS = 2_048, 2
 #: Bits of the filter by which texts that no pair asks for are passed over.
@@ -90,7 +90,8 @@ def lists(of: list[np.ndarray]) -> pa.Array:
 
 
 def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of several documents of a sample, sorted, and of how many. Only the order of prefixes comes from it."""
+    """The most frequent shingles of several documents of a sample, sorted, and of how many. Only the order of prefixes comes
+    from it, so which ones are sent out changes no pair."""
     n = docs.count() // SAMPLE + 1
     part = docs if n == 1 else docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == 0)
 
@@ -99,7 +100,7 @@ def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
             for t in b.column(0).cast(pa.large_binary()):
                 yield pa.RecordBatch.from_arrays([pa.array(whole_set(t.as_py(), shingle).view(np.int64))], names=["h"])
 
-    got = part.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT).toArrow()
+    got = part.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
     h, counts = got["h"].to_numpy().view(np.uint64), got["n"].to_numpy()
     order = np.argsort(h)
     return h[order], counts[order]
