@@ -6,12 +6,8 @@ computable from its number and the seed alone, counts differ by one at most, and
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,17 +56,10 @@ def feistel(numbers: np.ndarray, n: int, seed: int) -> np.ndarray:
     return place.astype(np.int64)
 
 
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = [t.as_py() or b"" for t in b.column(1).cast(pa.large_binary())]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array([zlib.crc32(t) for t in texts], pa.int64())], names=["doc_id", "size", "text_crc32"]
-        )
-
-
 def text_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32): UTF-8 bytes plus 1 and unsigned CRC-32 of each whole text; null counts as empty."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_facts, "doc_id long, size long, text_crc32 long")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
 
 
 def number_rows(df: DataFrame, keys: list[str], name: str, parts: int = 4096) -> tuple[DataFrame, int]:
