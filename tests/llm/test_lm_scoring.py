@@ -47,6 +47,47 @@ def test_query_matches_brute_force(spark, sf_dir, monkeypatch):
     assert sum(got[i][5] for i in held) > sum(got[i][4] for i in held)  # better than the base on what it hasn't seen
 
 
+def test_weights_are_those_of_a_plain_em(spark, sf_dir, monkeypatch):
+    """Weights by expectation-maximisation over every kept-out token, from plain counts; the query rounds estimates to a
+    quarter of a power of two."""
+    seen, learn = {}, lm_scoring.learn_weights
+    monkeypatch.setattr(lm_scoring, "learn_weights", lambda *a: seen.setdefault("w", learn(*a)))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    lm_scoring.score_documents(docs, batch_tokens=5_000).count()
+    uni, bi, fits, kept = Counter(), Counter(), 0, []
+    for r in docs.collect():
+        crc, w = zlib.crc32(str(r.doc_id).encode()), [*(r.text or "").encode().lower().split(), b"\n"]
+        if crc % 5 != 1 and crc // 5 % 8 == 0:
+            kept.append(w)
+        elif crc % 5 != 1:
+            fits += 1
+            uni.update(w)
+            bi.update(zip([None, *w[:-1]], w, strict=True))
+    n, by = sum(uni.values()), {}
+    for w in kept:
+        for v, x in zip([None, *w[:-1]], w, strict=True):
+            c = fits if v is None else uni[v]
+            by.setdefault(0 if not c else c.bit_length(), []).append((bi[v, x] / c if c else 0.0, uni[x] / n, 1 / (len(uni) + 1)))
+
+    def em(estimates, first):
+        a = np.array(first)
+        for _ in range(40):
+            share = a * np.array(estimates)
+            a = (share / share.sum(axis=1, keepdims=True)).sum(axis=0) + 1e-3 * np.array(first)
+            a /= a.sum()
+        return a
+
+    whole, compared = em([e for es in by.values() for e in es], [0.5, 0.4, 0.1]), 0
+    for bucket, es in by.items():
+        if len(es) >= 100:
+            want = em(es, whole)
+            if not bucket:
+                want = np.array([0, *want[1:]]) / want[1:].sum()
+            assert np.abs(seen["w"][bucket] - want).max() < 0.03, (bucket, seen["w"][bucket], want)
+            compared += 1
+    assert compared >= 4
+
+
 def test_weights_follow_the_data():
     steps = lm_scoring.FINE * lm_scoring.POWERS + 2
     code = lambda b, two, one: (b * steps + two) * steps + one
