@@ -32,27 +32,31 @@ class CountMin:
     def depth(self) -> int:
         return max(1, math.ceil(-math.log2(1 - self.confidence)))
 
-    def places(self, item: Column) -> list[Column]:
-        """The cell of each row, by one md5: its first 32 bits and, a row, its next 32 bits more."""
+    def hashed(self, df: DataFrame, item: Column) -> DataFrame:
+        """``df`` with _first and _step: two parts of an item's md5, 32 bits each, worked out once a row."""
         digest = F.md5(item.cast("string"))
-        first, step = (F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint") for at in (1, 9))
-        return [F.pmod(first + row * step, F.lit(self.width)).cast("int") for row in range(self.depth)]
+        return df.withColumn("_md5", digest).select(*df.columns, *[F.conv(F.substring("_md5", at, 8), 16, 10).cast("bigint").alias(name) for name, at in (("_first", 1), ("_step", 9))])
+
+    def places(self) -> list[Column]:
+        """The cell of each row for an item that is hashed: the first part and, a row, the second once more."""
+        return [F.pmod(F.col("_first") + row * F.col("_step"), F.lit(self.width)).cast("int") for row in range(self.depth)]
 
     def cells(self, df: DataFrame, item: Column, n: Column | None = None) -> DataFrame:
         """(row, cell, n): ``n`` (1 where it isn't given) of every row of ``df`` at its item's cells; a null item isn't counted.
         One partial aggregation."""
-        placed = df.select(item.alias("_i"), (F.lit(1) if n is None else n).cast("bigint").alias("n")).filter("_i IS NOT NULL")
-        cells = F.array(*[F.struct(F.lit(row).alias("row"), c.alias("cell")) for row, c in enumerate(self.places(F.col("_i")))])
+        held = df.select(item.alias("_i"), (F.lit(1) if n is None else n).cast("bigint").alias("n")).filter("_i IS NOT NULL")
+        placed = self.hashed(held, F.col("_i"))
+        cells = F.array(*[F.struct(F.lit(row).alias("row"), c.alias("cell")) for row, c in enumerate(self.places())])
         return placed.select("n", F.explode(cells).alias("c")).groupBy("c.row", "c.cell").agg(F.sum("n").alias("n"))
 
     def estimated(self, df: DataFrame, item: Column, cells: DataFrame, name: str = "estimate") -> DataFrame:
-        """``df`` with each item's estimate. The cells come along as one array, of rows times cells numbers."""
+        """``df`` with each item's estimate, from the cells as one array of rows times cells numbers."""
         size = self.width * self.depth
         held = cells.filter(F.col("row") >= 0).select((F.col("row") * self.width + F.col("cell")).alias("id"), "n")
         dense = df.sparkSession.range(size).join(held, "id", "left").agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("n", F.lit(0)).alias("n")))).alias("_a"))
-        table = F.broadcast(dense.select(F.transform("_a", lambda x: x["n"]).alias("_cells")))  # one row
-        least = F.least(*[F.get("_cells", row * self.width + c) for row, c in enumerate(self.places(item))]) if self.depth > 1 else F.get("_cells", self.places(item)[0])
-        return df.crossJoin(table).withColumn(name, least).drop("_cells")
+        table = dense.select(F.transform("_a", lambda x: x["n"])).scalar()  # one row, worked out once and looked up in place
+        found = [F.get(table, row * self.width + c) for row, c in enumerate(self.places())]
+        return self.hashed(df, item).withColumn(name, F.least(*found) if self.depth > 1 else found[0]).drop("_first", "_step")
 
 
 def merge_cells(*tables: DataFrame) -> DataFrame:
