@@ -112,6 +112,27 @@ def sketched_distinct(profiles: DataFrame) -> DataFrame:
     return profiles.select("name", "n", F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0)).cast("long").alias("n_distinct"))
 
 
+def distinct_profile(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, value, n): how often each value occurs, as text, and a row with a null value and 0 for each attribute. Profiles of
+    parts add up to that of the whole without an error; each column is one partial aggregation."""
+    nothing = F.lit(None).cast("string").alias("value"), F.lit(0).cast("long").alias("n")
+    out = df.sparkSession.range(0, 1, 1, 1).select(F.explode(F.array(*map(F.lit, columns))).alias("name"), *nothing)
+    for c in columns:
+        found = df.groupBy(F.col(f"`{c}`").alias("value")).agg(F.count(F.lit(1)).alias("n")).filter("value IS NOT NULL")
+        out = out.unionByName(found.select(F.lit(c).alias("name"), F.col("value").cast("string").alias("value"), "n"))
+    return out
+
+
+def merge_distinct(profiles: DataFrame) -> DataFrame:
+    """Profiles of distinct values of parts of the data as one."""
+    return profiles.groupBy("name", "value").agg(F.sum("n").alias("n"))
+
+
+def exact_distinct(profiles: DataFrame) -> DataFrame:
+    """(name, n, n_distinct) of a merged profile of distinct values, one row a value."""
+    return profiles.groupBy("name").agg(F.sum("n").alias("n"), F.count("value").alias("n_distinct"))
+
+
 def _scale(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[x for c in columns for x in (F.avg(c).alias(f"_m_{c}"), F.var_pop(c).alias(f"_v_{c}"))])
 

@@ -144,3 +144,16 @@ def test_small_helpers(spark):
     assert df.select(transforms.unmapped(F.array("u", "v"), ["x", "y"]).alias("m")).first()["m"] == {"x": 1.0, "y": 2.0}
     ticks = spark.createDataFrame([(1, None), (None, 5)], "x int, tick int")
     assert transforms.drop_ticks()(ticks).collect() == [(1,)]
+
+
+def test_distinct_values_are_counted_exactly(spark):
+    """1,500 values, more than a sketch tells apart; nulls, both zeros and an attribute without values."""
+    from rillwood import queries as Q
+    from rillwood.operators import profile as P
+
+    df = spark.range(6000).select((F.col("id") % 1500).cast("double").alias("a"), F.when(F.col("id") % 2 == 0, F.when(F.col("id") % 4 == 0, -0.0).otherwise(0.0)).alias("z"), F.lit(None).cast("int").alias("none"), "id")
+    parts = [P.distinct_profile(df.filter(F.col("id") % 3 == k), ["a", "z", "none"]) for k in range(3)]
+    got = {r["name"]: (r.n, r.n_distinct) for r in P.exact_distinct(P.merge_distinct(parts[0].unionByName(parts[1]).unionByName(parts[2]))).collect()}
+    assert got == {"a": (6000, 1500), "z": (3000, 1), "none": (0, 0)}
+    users = {r["name"]: r.n_distinct for r in Q.QUERIES["profile_distinct"](spark, "/root/testdata/sf0.1").collect()}
+    assert users["user_id"] == 1500
