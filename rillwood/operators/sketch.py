@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -375,9 +376,21 @@ def sketch_numbers(sketch: str, what: str, *args: float):
     return ask(F.col(sketch))
 
 
+def value_bins(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group..., mean, n): a bin for each value, counted exactly by one partial aggregation."""
+    held = df.select(*group, F.col(value).cast("double").alias("mean")).filter("mean IS NOT NULL")
+    return held.groupBy(*group, "mean").agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+
 def native_histogram(df: DataFrame, group: list[str], value: str, bins: int = 64) -> DataFrame:
-    """The case without targets wholly in the engine: (group..., bins array<struct<x, y>>)."""
-    return df.groupBy(*group).agg(F.histogram_numeric(value, F.lit(bins)).alias("bins"))
+    """The case without targets wholly in the engine: (group..., bins array<struct<x, y>>). Up to ``bins`` values of a group are
+    counted exactly; the engine's own histogram, whose merged parts round means and repeat them, stands for more."""
+    order = F.row_number().over(W.partitionBy(*group).orderBy("mean"))
+    first = value_bins(df, group, value).withColumn("_r", order).filter(F.col("_r") <= bins + 1)
+    few = first.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(F.col("mean").alias("x"), F.col("n").alias("y")))).alias("_few"))
+    whole = df.groupBy(*group).agg(F.histogram_numeric(F.col(value).cast("double"), F.lit(bins)).alias("_whole")).alias("w")
+    same = [F.col(f"w.{g}").eqNullSafe(F.col(f"f.{g}")) for g in group]
+    return whole.join(few.alias("f"), same, "left").select(*[f"w.{g}" for g in group], F.when(F.size("_few") <= bins, F.col("_few")).otherwise(F.col("_whole")).alias("bins"))
 
 
 def bin_rows(df: DataFrame, sketch: str) -> DataFrame:

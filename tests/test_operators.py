@@ -157,3 +157,16 @@ def test_distinct_values_are_counted_exactly(spark):
     assert got == {"a": (6000, 1500), "z": (3000, 1), "none": (0, 0)}
     users = {r["name"]: r.n_distinct for r in Q.QUERIES["profile_distinct"](spark, "/root/testdata/sf0.1").collect()}
     assert users["user_id"] == 1500
+
+
+def test_native_histogram_of_merged_parts(spark):
+    """Thirty partitions of fifty values: the means of the engine's merged parts are rounded and come twice."""
+    from rillwood.operators import sketch as K
+
+    df = spark.range(0, 90_000, 1, 30).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(50)) + 1).cast("double").alias("x"))
+    want = {(r.g, r.x): r["count"] for r in df.groupBy("g", "x").count().collect()}
+    assert {(r.g, r["mean"]): r.n for r in K.value_bins(df, ["g"], "x").collect()} == want
+    got = K.native_histogram(df, ["g"], "x").collect()
+    assert {(r.g, b.x): b.y for r in got for b in r.bins} == want and sum(len(r.bins) for r in got) == len(want)
+    many = {r.g: r.bins for r in K.native_histogram(df.withColumn("x", F.col("x") + F.rand(1)), ["g"], "x").collect()}
+    assert all(len(b) == 64 for b in many.values()) and sum(x.y for b in many.values() for x in b) == 90_000
