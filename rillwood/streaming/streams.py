@@ -54,6 +54,7 @@ class Description:
     status: str = WAITING
     lineage: dict[str, str] = field(default_factory=dict)
     parallel: bool = False
+    grown: int | None = None  # the version of a parallel forest, which has one a step
 
 
 class Stream:
@@ -122,7 +123,9 @@ class Stream:
         actual = F.col(self.about.target).cast("double" if self.regression else "string").alias("actual")
         tested.select(F.col(self.about.order).alias("order"), actual, "prediction", F.lit(self.about.epoch).alias("epoch"), F.lit(version).alias("tick")).write.mode("overwrite").parquet(f"{self.path}/tested/tick={version}")
         if self.about.parallel:
-            self._parallel(version - 1).learn(batch, self.about.order)
+            forest = self._parallel(version - 1)
+            forest.learn_in_steps(batch, self.about.order)
+            self.about.grown = forest.version
             self._learned(version, batch_id)
             return
         state = self._model(self.about.version) if known else None
@@ -133,7 +136,7 @@ class Stream:
     def _parallel(self, version: int) -> ParallelForest:
         at = f"{self.path}/model"
         if version >= 0:
-            return ParallelForest.load(self.spark, at, version)
+            return ParallelForest.load(self.spark, at, version if self.about.grown is None else self.about.grown)
         return ParallelForest(self.spark, at, self.numeric, self.categoric, self.about.target, self.regression, self.about.trees, self.params)
 
     def _learned(self, version: int, batch_id: int | None) -> None:

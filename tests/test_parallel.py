@@ -242,3 +242,23 @@ def test_named_stream_in_parallel(spark, tmp_path):
     known = df.filter("size IS NOT NULL AND kind IS NOT NULL")
     assert again.predict(known).filter("label = prediction").count() / known.count() > 0.95
     assert again.stats_history().count() == 9
+
+
+def test_large_first_batch_of_a_parallel_stream(spark, tmp_path):
+    """A batch is learned in steps, so the next one is predicted by trees of more than one split; a batch that is learned once
+    more after a crash gives the same trees."""
+    from rillwood.operators.profile import CATEGORIC, NUMERIC
+    from rillwood.streaming.streams import Config, Registry, Stream
+
+    df = spark.createDataFrame(rows(), SCHEMA).select("id", "size", "kind", "label")
+    config = Config(str(tmp_path / "streams"), reload_seconds=0)
+    s = Registry(spark, config).start_stream({"size": NUMERIC, "kind": CATEGORIC, "label": CATEGORIC}, "label", "id", trees=3, stream_id="p", params=OnlineParams(split_freq=20), parallel=True)
+    s.train(df.filter("id % 2 = 0"))
+    assert max(len(t) for t in s.forest().trees) > 3
+    crashed = Stream.load(spark, config, "p")
+    crashed._parallel(0).learn_in_steps(df.filter("id % 2 = 1"), "id")  # its description is never written
+    s.train(df.filter("id % 2 = 1"))
+    history = s.stats_history().collect()
+    assert [r.tick for r in history] == [0, 1] and history[1].accuracy > 0.8
+    again = Stream.load(spark, config, "p")
+    assert plain(again._parallel(1)) == plain(s._parallel(1)) and again.about.grown > 2
