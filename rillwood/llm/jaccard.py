@@ -2,8 +2,8 @@
 
 A set of n shingles that is similar to another shares at least 4/5 of its own with it, so in any one order of all shingles
 its first n - ceil(4n/5) + 1 hold one that both have. Those are its prefix, and sets meet in the bucket of each prefix
-shingle. Shingles that many documents have come last in the order, so buckets are small; which ones those are is counted on
-a sample, and no pair depends on it. Bounds by size, place and a sketch of the whole set, none of which loses a similar
+shingle. Shingles that many documents have come last in the order, so buckets are small; which ones those are is counted
+over all documents in a table of fixed size, and no pair depends on it. Bounds by size, place and a sketch of the whole set, none of which loses a similar
 pair, leave few pairs of a bucket, and all of those are verified.
 
 No task holds more than ``LIMIT`` rows of a bucket. With one more shingle in the prefix similar sets share one more of it, so
@@ -23,14 +23,15 @@ from pyspark.sql import functions as F
 
 from .common import write_table
 
-#: Documents that the frequent shingles are counted on, how many of those must have one, and how many shingles are sent out.
-SAMPLE, FREQUENT, MOST_FREQUENT = 10_000, 3, 200_000
+#: Cells that shingles are counted in, by the low bits of their hashes, and cells of one part of the table.
+CELLS, _PART = 1 << 24, 1 << 18
 #: Rows of a bucket beyond which it is cut, and how often that is done by one more shingle.
 LIMIT, LEVELS = 2_048, 2
 #: Bits of the filter by which texts that no pair asks for are passed over.
 FILTER = 1 << 22
 _CHUNK = 1 << 16
 _PAIRS = "a binary, b binary"
+_NONE = np.empty(0, np.uint64)
 
 
 def hashes(text: bytes | None, shingle: int) -> Iterator[np.ndarray]:
@@ -52,8 +53,13 @@ def digest(members: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(members.tobytes())
 
 
-def prefix(members: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first n - ceil(4n/5) + 1 members by (count, hash), and ``LEVELS`` more. Sets of three or fewer are similar to
+def ranked(members: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The members by (rank of the cell, hash)."""
+    return members[np.argsort(ranks[(members & np.uint64(len(ranks) - 1)).astype(np.int64)], kind="stable")]
+
+
+def prefix(members: np.ndarray, frequent: np.ndarray = _NONE, counts: np.ndarray = _NONE) -> np.ndarray:
+    """The first n - ceil(4n/5) + 1 members by (count of those listed, place), and ``LEVELS`` more. Sets of three or fewer are similar to
     equal ones only and need none."""
     n = len(members)
     if n < 4:
@@ -89,21 +95,36 @@ def lists(of: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in of])]).astype(np.int32)), pa.array(flat))
 
 
-def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of several documents of a sample, sorted, and of how many. Only the order of prefixes comes
-    from it, so which ones are sent out changes no pair."""
-    n = docs.count() // SAMPLE + 1
-    part = docs if n == 1 else docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == 0)
+def shingle_ranks(docs: DataFrame, shingle: int) -> np.ndarray:
+    """How frequent the shingles of each of ``CELLS`` cells are over all documents, as eighths of an octave in a byte. Each
+    task counts its documents' shingles by cell; what is shuffled is its table, compressed, and what is sent out is a byte
+    a cell, whatever the input. Only the order of prefixes comes from it, so cells that several shingles share lose no pair."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, np.uint32)
         for b in batches:
-            for t in b.column(0).cast(pa.large_binary()):
-                yield pa.RecordBatch.from_arrays([pa.array(whole_set(t.as_py(), shingle).view(np.int64))], names=["h"])
-
-    got = part.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
-    h, counts = got["h"].to_numpy().view(np.uint64), got["n"].to_numpy()
-    order = np.argsort(h)
-    return h[order], counts[order]
+            for at in range(0, b.num_rows, 256):
+                held = [whole_set(t.as_py(), shingle) for t in b.column(0).slice(at, 256).cast(pa.large_binary())]
+                where, n = np.unique(np.concatenate([np.empty(0, np.uint64), *held]) & np.uint64(CELLS - 1), return_counts=True)
+                cells[where] += n.astype(np.uint32)
+        for k, part in enumerate(cells.reshape(-1, _PART)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["part", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                more = np.frombuffer(pa.decompress(n, 4 * _PART, "zstd", asbytes=True), np.uint32)
+                sums[k] = sums[k] + more if k in sums else more.astype(np.int64)
+        for k, n in sums.items():
+            ranks = np.minimum(255, 8 * np.log2(n + 1.0)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([ranks.tobytes()], pa.binary())], names=["part", "n"])
+
+    kinds, out = "part long, n binary", np.zeros((CELLS // _PART, _PART), np.uint8)
+    for r in docs.select("text").mapInArrow(count, kinds).repartition("part").mapInArrow(add, kinds).collect():  # a byte a cell
+        out[r["part"]] = np.frombuffer(bytes(r["n"]), np.uint8)
+    return out.ravel()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:

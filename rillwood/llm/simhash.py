@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import write_table
-from .jaccard import candidates, digest, frequent_shingles, hashes, lists, possible, prefix, sketch, verified, whole_set
+from .jaccard import candidates, digest, hashes, lists, possible, prefix, ranked, shingle_ranks, sketch, verified, whole_set
 
 #: Fingerprints of a shard beyond which it is cut again, and how often that is tried.
 SHARD_LIMIT, REFINEMENTS = 20_000, 2
@@ -428,12 +428,12 @@ SIMILAR = Plan.sampled(4, 50, 56, 16)
 def shingle_sets(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
     """(doc_id, digest, fp, n, prefix, sketch) of the whole set of shingles of each text of (doc_id, text), with a fingerprint in
     which a repeated shingle counts once."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))
+    ranks = docs.sparkSession.sparkContext.broadcast(shingle_ranks(docs, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [whole_set(t.as_py(), shingle) for t in b.column(1).cast(pa.large_binary())]
-            fps, heads = [fingerprint_of([x], lanes) for x in sets], lists([prefix(x, *frequent.value) for x in sets])
+            fps, heads = [fingerprint_of([x], lanes) for x in sets], lists([prefix(ranked(x, ranks.value)) for x in sets])
             columns = [b.column(0), pa.array(map(digest, sets), pa.binary()), pa.array(fps, pa.binary()), pa.array(map(len, sets), pa.int64()), heads, pa.array(map(sketch, sets), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "fp", "n", "prefix", "sketch"])
 

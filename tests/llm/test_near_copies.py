@@ -120,3 +120,16 @@ def test_odd_rows(spark):
     assert got.columns == df.columns
     assert sorted((str(r.doc_id) for r in got.collect())) == ["2", "5", "5", "7", "9", "None", "None"]
     assert simhash.drop_near_copies(df.limit(0)).count() == 0
+
+
+def test_shingles_are_counted_over_all_documents(spark):
+    """A line of 45 in 15,000 documents, which a sample of every second one or fewer ranks by chance, comes last everywhere."""
+    import numpy as np
+
+    df = spark.range(15_000).selectExpr("id AS doc_id", "concat(CASE WHEN id % 333 = 0 THEN 'one line that some have ' ELSE '' END, array_join(transform(sequence(1, 12), k -> sha2(concat(id, ':', k), 256)), ' ')) AS text")
+    ranks = jaccard.shingle_ranks(df, 5)
+    line = jaccard.whole_set(b"one line that some have", 5)
+    at = lambda h: ranks[(h & np.uint64(jaccard.CELLS - 1)).astype(np.int64)]
+    assert at(line).tolist() == [int(8 * np.log2(47))]  # 46 documents
+    members = jaccard.whole_set(df.filter("doc_id = 333").first()["text"].encode(), 5)
+    assert jaccard.ranked(members, ranks)[-1] == line[0] and line[0] not in jaccard.prefix(jaccard.ranked(members, ranks))
