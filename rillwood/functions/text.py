@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rillwood.sources.work import written
+
 from .hashing import hashed_bucket
 
 
@@ -35,7 +37,9 @@ def term_counts(df: DataFrame, key: str, text: str, shortest: int = 1) -> DataFr
     """(key, term, tf)"""
     # null terms, of which there are none, are left out here: a join would push that filter into one of its sides, and the
     # two could no longer share this shuffle
-    terms = df.select(key, F.explode(clean_words(F.col(text))).alias("term")).filter(F.col("term").isNotNull() & (F.length("term") >= shortest))
+    # texts are dealt by key, so the counts are made where they lie: a text is a few times smaller than its rows of terms
+    texts = df.select(key, text).repartition(key)
+    terms = texts.select(key, F.explode(clean_words(F.col(text))).alias("term")).filter(F.col("term").isNotNull() & (F.length("term") >= shortest))
     return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -65,6 +69,11 @@ def tfidf_batch(df: DataFrame, key: str, text: str, log_tf: bool = True, binary:
     """(key, term, tf, df, weight) with document shares over the whole table: weight = tf' * (1 + ln(1 / df))."""
     counts, n = term_counts(df, key, text, shortest), df.agg(F.count(F.lit(1)).alias("n_docs"))
     shares = counts.groupBy("term").agg(_documents().alias("n_with"))
+    if min_df > 0:  # a document has few of the terms of a least share: there are no more than its mean number by min_df
+        total = n.first()[0]
+        kept = written(shares.filter((F.col("n_with") / total >= min_df) & (F.col("n_with") / total <= max_df)), "shares")
+        joined = counts.join(kept, "term").withColumn("n_docs", F.lit(total))  # a small table is sent out, as its files' size says
+        return _weighed(joined, F.col("n_with") / F.col("n_docs"), log_tf, binary, min_df, max_df).select(key, "term", "tf", "df", "weight")
     joined = _by_term(counts, shares).crossJoin(F.broadcast(n))  # one row
     return _weighed(joined, F.col("n_with") / F.col("n_docs"), log_tf, binary, min_df, max_df).select(key, "term", "tf", "df", "weight")
 
@@ -79,13 +88,15 @@ def tfidf_running(df: DataFrame, key: str, text: str, log_tf: bool = True, binar
 
     place = numbered(df.select(key), key, "seen")
     counts = term_counts(df, key, text).join(place, key).withColumn("block", F.floor(F.col("seen") / BLOCK))
-    inside = counts.withColumn("inside", F.row_number().over(W.partitionBy("term", "block").orderBy("seen")))
     before = W.partitionBy("term").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    # asks for all columns, so that nothing is pruned and the windows are made from one shuffle
-    all_held = (F.col("tf") > 0) & F.col(key).isNotNull()
-    starts = inside.groupBy("term", "block").agg(F.count_if(all_held).alias("n_in")).withColumn("before", F.coalesce(F.sum("n_in").over(before), F.lit(0)))
-    joined = inside.join(starts.drop("n_in"), ["term", "block"])
-    return _weighed(joined, (F.col("before") + F.col("inside")) / F.col("seen"), log_tf, binary, 0.0, 1.0).select(key, "term", "tf", "df", "weight")
+    starts = counts.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n_in")).withColumn("n", F.sum("n_in").over(before)).filter("n > 0")
+    # what lies before a block leads its rows, so they are shuffled once and joined with nothing
+    kind = counts.schema[key].dataType
+    heads = starts.select("term", "block", F.lit(None).cast(kind).alias(key), F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("tf"), "n")
+    rows = heads.unionByName(counts.select("term", "block", key, "seen", "tf", F.lit(1).cast("long").alias("n")))
+    so_far = W.partitionBy("term", "block").orderBy("seen").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = rows.withColumn("with", F.sum("n").over(so_far)).filter("tf > 0")
+    return _weighed(found, F.col("with") / F.col("seen"), log_tf, binary, 0.0, 1.0).select(key, "term", "tf", "df", "weight")
 
 
 def hashed_tfidf(weights: DataFrame, key: str, probes: int = 2, buckets: int = 100) -> DataFrame:
