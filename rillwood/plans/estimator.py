@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 from typing import Protocol
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rillwood.errors import RillwoodError
 from rillwood.operators.profile import CATEGORIC, NUMERIC
+from rillwood.sources.work import written
 
 from . import forest as FO
 from .model import Forest
@@ -90,8 +93,16 @@ class Regressor(TreeLearner):
         super().__init__("rf_regressor", **params)
 
 
+#: Distinct rows of numbers in a task of k-means, which keeps them in memory.
+POINTS = 1 << 18
+
+
 class Clusterer:
-    """k-means over numeric columns; rows with a missing value have no cluster."""
+    """k-means over numeric columns; rows with a missing value have no cluster.
+
+    Rows alike are one point with their number as its weight, so that k-means holds distinct points only. Points are dealt by
+    their values, at most some ``POINTS`` to a task, in order: how the table was cut doesn't matter to the clusters.
+    """
 
     def __init__(self, k: int = 8, seed: int = 42):
         self.k, self.seed, self.model, self.columns = k, seed, None, []
@@ -100,7 +111,10 @@ class Clusterer:
         from pyspark.ml.clustering import KMeans
 
         self.columns = numeric
-        self.model = KMeans(k=self.k, seed=self.seed, featuresCol="_v", predictionCol="prediction").fit(self._vectors(df))
+        names = [f"`{c}`" for c in numeric]
+        points = written(df.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("_w")), "points")
+        dealt = points.repartition(max(1, math.ceil(points.count() / POINTS)), *names).sortWithinPartitions(*names)
+        self.model = KMeans(k=self.k, seed=self.seed, featuresCol="_v", predictionCol="prediction", weightCol="_w").fit(self._vectors(dealt))
         return self
 
     def _vectors(self, df: DataFrame) -> DataFrame:

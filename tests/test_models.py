@@ -137,6 +137,22 @@ def test_clusters(spark):
     assert Clusterer(2).fit(df, ["x"]).predict(df).select("prediction").distinct().count() == 2
 
 
+def test_clusters_of_rows_alike(spark, monkeypatch):
+    """k-means holds each distinct row once, a bounded number to a task, and finds the same however the table is cut."""
+    from rillwood.plans import estimator
+
+    df = spark.range(3000).select((F.col("id") % 50).cast("double").alias("x"), F.when(F.col("id") % 500 > 0, (F.col("id") % 11).cast("double")).alias("y"))
+    one, many = (Clusterer(4).fit(df.repartition(n, "x"), ["x", "y"]) for n in (1, 7))
+    assert [list(c) for c in one.model.clusterCenters()] == [list(c) for c in many.model.clusterCenters()]
+    assert one.model.summary.predictions.count() == df.dropna().distinct().count()
+    assert one.predict(df).count() == df.dropna().count()
+    plain = [r.n for r in one.predict(df).groupBy("prediction").agg(F.count("*").alias("n")).collect()]
+    assert sum(one.model.summary.predictions.toPandas()["_w"]) == sum(plain)
+    monkeypatch.setattr(estimator, "POINTS", 100)
+    cut = Clusterer(4).fit(df, ["x", "y"]).model.summary.predictions
+    assert max(r.n for r in cut.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < 200
+
+
 def test_stream_learns_and_restarts(spark, tmp_path):
     df = separator(spark, 900)
     df.repartitionByRange(3, "id").write.parquet(str(tmp_path / "in"))
