@@ -28,6 +28,8 @@ from .model import CATEGORIC, COMPILED_NODES, LEAF, NUMERIC, Forest, Node, route
 
 #: Values of a category that can be split on, the most frequent ones; rows of others train and go with those that aren't equal.
 MAX_VALUES = 255
+#: Numbers that a task gathers before it joins rows alike; rows that it adds to histograms at a time.
+CELLS, CHUNK = 1 << 22, 1 << 14
 
 
 @dataclass(frozen=True)
@@ -67,23 +69,51 @@ class Encoding:
             out.values[c] = [r["v"] for r in top.collect()]
         return out
 
-    def coded(self, df: DataFrame) -> DataFrame:
-        """(_key, _y, a code for each attribute) of (_key, _y, attributes); values beyond the kept ones share the last code."""
+    def coded(self, df: DataFrame, trees: int, seed: int, bagging: bool) -> DataFrame:
+        """(_y, a code for each attribute, _w0, _w1, ...: the weight in each tree, one for all without bagging) of (_key, _y,
+        attributes); values beyond the kept ones share the last code. Of a task's rows those alike in label and codes are one
+        with their weights summed, unless most differ: whole weights add up exactly, so no tree can tell."""
         raw = df.select("_key", "_y", *[F.col(f"`{c}`").cast("double").alias(c) for c in self.edges], *[F.col(f"`{c}`").cast("string").alias(c) for c in self.values])
         edges, values = [np.array(e) for e in self.edges.values()], [pa.array(v, pa.string()) for v in self.values.values()]
+        like = ["_y", *(f"_a{k}" for k in range(len(edges) + len(values)))]
+        weights = [f"_w{t}" for t in range(trees if bagging else 1)]
+        names = like + weights
+
+        def codes(b: pa.RecordBatch) -> pa.Table:
+            out = []
+            for k, e in enumerate(edges):
+                x = b.column(2 + k).to_numpy(zero_copy_only=False)  # null is NaN
+                out.append(np.where(np.isnan(x), -1, np.searchsorted(e, x)))  # edges below
+            for k, v in enumerate(values, 2 + len(edges)):
+                at = pc.fill_null(pc.index_in(b.column(k), v), MAX_VALUES).to_numpy(zero_copy_only=False)
+                out.append(np.where(pc.is_null(b.column(k)).to_numpy(zero_copy_only=False), -1, at))
+            keys = b.column(0).to_numpy()
+            out += [bag_weights(keys, t, seed) for t in range(trees)] if bagging else [np.ones(len(keys))]
+            return pa.table([b.column(1), *(pa.array(x.astype(np.int32)) for x in out)], names=names)
+
+        def joined(parts: list[pa.Table]) -> pa.Table:
+            sums = pa.concat_tables(parts).group_by(like, use_threads=False).aggregate([(w, "sum") for w in weights])
+            return pa.table([sums.column(c) for c in like] + [sums.column(f"{w}_sum").cast(pa.int32()) for w in weights], names=names)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            most, parts, n = max(1, CELLS // len(names)), [], 0
             for b in batches:
-                out = []
-                for k, e in enumerate(edges):
-                    x = b.column(2 + k).to_numpy(zero_copy_only=False)  # null is NaN
-                    out.append(np.where(np.isnan(x), -1, np.searchsorted(e, x)))  # edges below
-                for k, v in enumerate(values, 2 + len(edges)):
-                    at = pc.fill_null(pc.index_in(b.column(k), v), MAX_VALUES).to_numpy(zero_copy_only=False)
-                    out.append(np.where(pc.is_null(b.column(k)).to_numpy(zero_copy_only=False), -1, at))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x.astype(np.int32)) for x in out)], names=b.schema.names)
-
-        return raw.mapInArrow(run, "_key long, _y double, " + ", ".join(f"`{c}` int" for c in [*self.edges, *self.values]))
+                if b.num_rows == 0:
+                    continue
+                parts.append(codes(b))
+                n += b.num_rows
+                if n >= most:
+                    whole = joined(parts)
+                    if whole.num_rows > most // 2:
+                        yield from whole.to_batches(max_chunksize=CHUNK)
+                        parts, n = [], 0
+                    else:
+                        parts, n = [whole], whole.num_rows
+            if n:
+                yield from joined(parts).to_batches(max_chunksize=CHUNK)
+
+        out = raw.mapInArrow(run, ", ".join(["_y double", *(f"{c} int" for c in names[1:])]))
+        return out.toDF("_y", *self.edges, *self.values, *weights)
 
 
 def bag_weights(keys: np.ndarray, tree: int, seed: int) -> np.ndarray:
@@ -96,6 +126,19 @@ def bag_weights(keys: np.ndarray, tree: int, seed: int) -> np.ndarray:
     return np.searchsorted(poisson_thresholds(), (x >> np.uint64(11)) / float(1 << 53), side="right").astype(np.float64)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, at least ``CHUNK`` at a time."""
+    waiting, n = [], 0
+    for b in batches:
+        waiting.append(b)
+        n += b.num_rows
+        if n >= CHUNK:
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            waiting, n = [], 0
+    if n:
+        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+
 def _chosen(attrs: int, most: int, tree: int, node: int, seed: int) -> list[int]:
     rng = np.random.default_rng([seed, tree, node])
     return sorted(rng.permutation(attrs)[:most].tolist())
@@ -118,7 +161,7 @@ class ForestTrainer:
             y = F.array_position(F.array(*[F.lit(c) for c in classes]).cast("array<string>"), F.col(target).cast("string")).cast("double") - 1
         else:
             y = F.col(target).cast("double")
-        coded = enc.coded(rows.select(F.col(key).cast("long").alias("_key"), y.alias("_y"), *[F.col(f"`{c}`") for c in attrs]).filter("_y IS NOT NULL"))
+        coded = enc.coded(rows.select(F.col(key).cast("long").alias("_key"), y.alias("_y"), *[F.col(f"`{c}`") for c in attrs]).filter("_y IS NOT NULL"), p.trees, p.seed, p.bagging)
         coded.persist()
         try:
             trees = [[Node(t, 0)] for t in range(p.trees)]
@@ -204,14 +247,12 @@ class ForestTrainer:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             all_trees, chosen = shared.value
             cells: dict[tuple[int, int], np.ndarray] = {}
-            for b in batches:
-                if b.num_rows == 0:
-                    continue
-                keys, y = b.column(0).to_numpy(), b.column(1).to_numpy()
-                x = np.stack([b.column(2 + a).to_numpy() for a in range(n_attrs)])
+            for b in _gathered(batches):
+                y = b.column(0).to_numpy()
+                x = np.stack([b.column(1 + a).to_numpy() for a in range(n_attrs)])
                 for t, (attr, code, cat, left, right) in enumerate(all_trees):
-                    w = bag_weights(keys, t, p.seed) if p.bagging else np.ones(len(keys))
-                    at, moving = np.zeros(len(keys), np.int64), np.flatnonzero(w > 0)
+                    w = b.column(1 + n_attrs + (t if p.bagging else 0)).to_numpy().astype(np.float64)
+                    at, moving = np.zeros(len(y), np.int64), np.flatnonzero(w > 0)
                     stuck = w <= 0
                     while len(moving):
                         nd = at[moving]

@@ -263,3 +263,25 @@ def test_profiles_of_batches(spark, tmp_path):
     spark.range(6).selectExpr("cast(id AS double) AS x").repartition(2).write.parquet(str(tmp_path / "in"))
     profile_stream(spark.readStream.schema("x double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), ["x"], str(tmp_path / "out")).awaitTermination()
     assert spark.read.json(str(tmp_path / "out/batch=*")).agg(F.sum("n")).first()[0] == 6
+
+
+def test_forests_join_rows_alike(spark, monkeypatch):
+    """A level passes rows alike once a task, and the trees are those of all rows one by one."""
+    df = spark.range(6000).select("id", (F.col("id") % 7).cast("double").alias("a"), F.when(F.col("id") % 9 > 0, F.concat(F.lit("v"), (F.col("id") % 3).cast("string"))).alias("k"), F.when(F.col("id") % 7 > 3, "hi").otherwise("lo").alias("y"), (F.col("id") % 7 * 3).cast("double").alias("z"))
+    seen, inner = [], FO.ForestTrainer._histograms
+
+    def counted(self, coded, *more):
+        seen.append(coded.count())
+        return inner(self, coded, *more)
+
+    monkeypatch.setattr(FO.ForestTrainer, "_histograms", counted)
+    for target, regression in (("y", False), ("z", True)):
+        for bagging in (True, False):
+            trainer = FO.ForestTrainer(FO.Params(trees=3, depth=3, mtry=2, bagging=bagging))
+            grown = []
+            for cells in (1 << 22, 1):
+                monkeypatch.setattr(FO, "CELLS", cells)
+                seen.clear()
+                grown.append(trainer.fit(df.repartition(4, "id"), "id", ["a"], ["k"], target, regression).to_json())
+                assert max(seen) <= (4 * 7 * 4 if cells > 1 else 6000)
+            assert grown[0] == grown[1] and '"numeric"' in grown[0]
