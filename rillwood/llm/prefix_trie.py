@@ -76,8 +76,11 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefixes(conversations: DataFrame) -> DataFrame:
-    """(c, depth, node, parent, n_chars, ends): every prefix of every rebuilt conversation, the empty one with them."""
-    return rebuilt(conversations).repartition("c").sortWithinPartitions("c", "part", "k").mapInArrow(_chain, "c long, depth long, node binary, parent binary, n_chars long, ends boolean")
+    """(c, depth, node, parent, n_chars, ends): every prefix of every rebuilt conversation, the empty one with them.
+
+    Conversations are dealt by a hash of c, not by c: the parts may all lie by c already, then Spark leaves this shuffle out,
+    and as it joins small partitions of each part by itself, a conversation's parts would meet in different tasks."""
+    return rebuilt(conversations).repartition(F.xxhash64("c")).sortWithinPartitions("c", "part", "k").mapInArrow(_chain, "c long, depth long, node binary, parent binary, n_chars long, ends boolean")
 
 
 def _digest_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

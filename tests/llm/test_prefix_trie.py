@@ -72,6 +72,29 @@ def test_chunks_of_ends(spark, monkeypatch):
     assert found(prefix_trie.prefix_trie(table(spark, rows))) == brute(rows)
 
 
+def test_parts_of_conversations_meet(spark, monkeypatch):
+    """All parts lie by c already, and small partitions are joined, fewer of turns than of bare ids: a conversation's parts
+    still come to one task. Whether Spark plans the query so depends on which of its stages ends first; here it always does."""
+    plain = prefix_trie.rebuilt
+
+    def by_c(conversations):
+        parts = [plain(conversations).filter(f"part = {k}").repartition("c") for k in (-1, 0, 1)]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+    monkeypatch.setattr(prefix_trie, "rebuilt", by_c)
+    kept = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "40k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    rows = some(2, range(1000), ["a", "bb", "é", "long text"])
+    df = table(spark, rows)
+    before = {k: spark.conf.get(k) for k in kept}
+    try:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        assert found(prefix_trie.prefix_trie(df)) == brute(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_odd_rows(spark):
     """Nulls in any column, turns alike, repeated rows, a conversation without any turn left, no lender."""
     rows = [(0, None, None, None), (0, 0, "user", ""), (0, 0, "user", "x"), (0, 0, "user", "x"), (None, 0, "user", "x"), (1, 5, "", "userx"), (1, 6, None, "a:b"), (2, 1, "user", "only"), (777, 0, "user", "alone"), (778, 3, "u", "ser"), (778, None, "use", "r")]
